@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,3 +51,15 @@ def word_count(text: Column) -> Column:
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """`df`, a written table, with a broadcast hint if a count shows that it has at most `limit` rows."""
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+
+
+def slices(text: bytes, size: int) -> Iterator[bytes]:
+    """The text in pieces of about `size` bytes, cut at ASCII white space only; one piece if there is none."""
+    at = 0
+    while len(text) - at > size:
+        cut = re.compile(rb"[\x20\x09-\x0D]").search(text, at + size)
+        if not cut:
+            break
+        yield text[at : cut.end()]
+        at = cut.end()
+    yield text[at:]

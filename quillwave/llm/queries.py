@@ -5,10 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import mixing, warc
+from . import binary_records, decontam, mixing, warc
 from .common import shared_dir
 
 
+def tokenizer_file() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op1_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_dir(spark)
+    binary_records.write_records(table(spark, sf_dir, "documents"), path, tokenizer_file(), end_id=1, words_apart=True)
+    index = binary_records.write_index(spark, path, f"{path}-index")
+    return index.select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_dir(spark)
     warc.write_warc(table(spark, sf_dir, "pages"), path)
@@ -20,9 +33,15 @@ def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
 
+def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("longest")
+
+
 QUERIES = {
+    "op1_records": op1_records,
     "op2_warc": op2_warc,
     "op8_mix": op8_mix,
+    "op10_decontam": op10_decontam,
 }
 
 ORACLE_SQL = {
@@ -58,5 +77,20 @@ h AS (SELECT b.source, b.at + CASE WHEN (c.need - c.upto + c.here) * 2 > c.here
 SELECT sized.doc_id, sized.size, CAST(q.words AS BIGINT) AS source_size, q.target,
        CAST(sized.size * (q.whole + CASE WHEN sized.key < coalesce(h.threshold, 0) THEN 1 ELSE 0 END) AS BIGINT) AS taken
 FROM sized JOIN q ON sized.source IS NOT DISTINCT FROM q.source LEFT JOIN h ON sized.source IS NOT DISTINCT FROM h.source
+""",
+    "op10_decontam": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]', ' ', 'g'), '[^ ]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]', ' ', 'g'), '[^ ]+') AS w FROM benchmark),
+n AS (SELECT DISTINCT item_id, least(10, len(w)) AS n, array_to_string(list_slice(w, i, i + least(10, len(w)) - 1), ' ') AS win
+      FROM (SELECT item_id, w, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i FROM b WHERE len(w) > 0)),
+ns AS (SELECT DISTINCT n FROM n),
+o AS (SELECT doc_id, i, ns.n, array_to_string(list_slice(w, i, i + ns.n - 1), ' ') AS win
+      FROM ns, (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d) x WHERE i + ns.n - 1 <= len(w)),
+m AS (SELECT o.doc_id, o.i, o.n, n.item_id FROM o JOIN n ON o.n = n.n AND o.win = n.win),
+h AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM m) GROUP BY doc_id),
+t AS (SELECT doc_id, count(*) AS n_items, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS items FROM (SELECT DISTINCT doc_id, item_id FROM m) GROUP BY doc_id)
+SELECT d.doc_id, len(d.w) AS n_words, coalesce(h.n_hit, 0) AS n_hit, coalesce(t.n_items, 0) AS n_items,
+       sha256(coalesce(t.items, '')) AS items_sha256, coalesce(h.n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN h ON d.doc_id = h.doc_id LEFT JOIN t ON d.doc_id = t.doc_id
 """,
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import binary_records, decontam, langid, mixing, warc
+from . import binary_records, decontam, langid, mixing, secrets, warc
 from .common import shared_dir
 
 
@@ -37,6 +37,10 @@ def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
 
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(table(spark, sf_dir, "documents"))
+
+
 def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("longest")
 
@@ -46,6 +50,7 @@ QUERIES = {
     "op2_warc": op2_warc,
     "op5_langid": op5_langid,
     "op8_mix": op8_mix,
+    "op9_secrets": op9_secrets,
     "op10_decontam": op10_decontam,
 }
 

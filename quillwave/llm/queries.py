@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import binary_records, decontam, langid, mixing, secrets, warc
+from . import binary_records, decontam, langid, mixing, secrets, simhash, warc
 from .common import shared_dir
 
 
@@ -29,6 +29,10 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.report(table(spark, sf_dir, "documents"))
+
+
 def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
@@ -48,6 +52,7 @@ def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_records": op1_records,
     "op2_warc": op2_warc,
+    "op3_simhash": op3_simhash,
     "op5_langid": op5_langid,
     "op8_mix": op8_mix,
     "op9_secrets": op9_secrets,

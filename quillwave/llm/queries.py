@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import binary_records, decontam, langid, mixing, secrets, simhash, warc
+from . import binary_records, decontam, html_text, langid, mixing, secrets, simhash, warc
 from .common import shared_dir
 
 
@@ -33,6 +33,10 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.report(table(spark, sf_dir, "documents"))
 
 
+def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
@@ -53,6 +57,7 @@ QUERIES = {
     "op1_records": op1_records,
     "op2_warc": op2_warc,
     "op3_simhash": op3_simhash,
+    "op4_html": op4_html,
     "op5_langid": op5_langid,
     "op8_mix": op8_mix,
     "op9_secrets": op9_secrets,

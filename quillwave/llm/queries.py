@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import binary_records, decontam, html_text, langid, mixing, secrets, simhash, warc
+from . import ann, binary_records, decontam, html_text, langid, mixing, secrets, simhash, warc
 from .common import shared_dir
 
 
@@ -41,6 +41,10 @@ def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op7_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"))
+
+
 def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
@@ -59,6 +63,7 @@ QUERIES = {
     "op3_simhash": op3_simhash,
     "op4_html": op4_html,
     "op5_langid": op5_langid,
+    "op7_ann": op7_ann,
     "op8_mix": op8_mix,
     "op9_secrets": op9_secrets,
     "op10_decontam": op10_decontam,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import ann, binary_records, decontam, html_text, langid, mixing, secrets, simhash, warc
+from . import ann, binary_records, decontam, html_text, langid, mixing, secrets, simhash, substring, warc
 from .common import shared_dir
 
 
@@ -41,6 +41,10 @@ def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op6_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.report(table(spark, sf_dir, "documents"))
+
+
 def op7_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"))
 
@@ -63,6 +67,7 @@ QUERIES = {
     "op3_simhash": op3_simhash,
     "op4_html": op4_html,
     "op5_langid": op5_langid,
+    "op6_substring": op6_substring,
     "op7_ann": op7_ann,
     "op8_mix": op8_mix,
     "op9_secrets": op9_secrets,
@@ -77,6 +82,16 @@ SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, p.payload_digest
        CASE WHEN first_id IS NULL OR first_id = page_id THEN 'response' ELSE 'revisit' END AS record_type,
        CASE WHEN first_id <> page_id THEN first_id END AS refers_to
 FROM p LEFT JOIN f ON p.payload_digest = f.payload_digest
+""",
+    "op6_substring": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+o AS (SELECT doc_id, i, array_to_string(list_slice(w, i, i + 34), ' ') AS win FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35)),
+r AS (SELECT doc_id, i FROM o WHERE win IN (SELECT win FROM o GROUP BY win HAVING count(*) > 1)),
+g AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS p FROM r),
+x AS (SELECT doc_id, list(p) AS ps FROM g GROUP BY doc_id),
+k AS (SELECT d.doc_id, len(w) AS n, coalesce(len(x.ps), 0) AS gone, CASE WHEN x.ps IS NULL THEN array_to_string(w, ' ')
+        ELSE array_to_string(list_filter(w, lambda v, j : NOT list_contains(x.ps, j)), ' ') END AS kept FROM d LEFT JOIN x ON d.doc_id = x.doc_id)
+SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(gone AS BIGINT) AS n_removed, sha256(kept) AS kept_sha256 FROM k
 """,
     "op8_mix": r"""
 WITH sized AS (

@@ -212,6 +212,8 @@ def identify(docs: DataFrame, model: LanguageFilter | None = None) -> DataFrame:
 def keep_identified(docs: DataFrame, least_score: float = 0.0, languages: tuple[str, ...] | None = None, model: LanguageFilter | None = None) -> DataFrame:
     """The rows of `docs` whose language is known with at least `least_score`, and is one of `languages` if they are given."""
     model = model or fit(docs)
+    if not model.languages:  # nothing to learn from: only texts without letters are rejected
+        return docs.filter(docs["text"].rlike(r"\p{L}"))
     said = F.col("__said_lang")
     wanted = (said["lang_pred"] != UNKNOWN) & (said["score"] >= least_score)
     if languages:

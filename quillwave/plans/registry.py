@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import gains, levels, scripts, texts
+from . import gains, levels, scripts, spectra, texts
 
-_MODULES = (scripts, texts, levels, gains)
+_MODULES = (scripts, texts, levels, gains, spectra)
 QUERIES = {name: q for m in _MODULES for name, (q, _) in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in _MODULES for name, (_, sql) in m.QUERIES.items() if sql}

@@ -10,17 +10,16 @@ part streams all segments of the shard.
 
 from __future__ import annotations
 
-import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import slices, written
 from .fm_index import FMIndex, repeated_windows
 
 WINDOW, STEM = 35, 6
@@ -28,51 +27,98 @@ WINDOW, STEM = 35, 6
 SHARD_WORDS = 300_000
 #: Repeated minimizers that may be broadcast (8 bytes each); more go through a shuffle join.
 BROADCAST_STEMS = 1_000_000
-KNOWN_WORDS = 500_000
 BASE = np.uint64(0x9E3779B97F4A7C15)
-BLOCK_WORDS = 1_000_000
-
-
-class WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        self[word] = h = xxhash.xxh64_intdigest(word, 11)
-        return h
-
-
-_hashes = WordHashes()
-
-
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    if len(_hashes) > KNOWN_WORDS:
-        _hashes.clear()
-    return np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
-
-
-def segments(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(minimizer, content hash, first word, words) of each segment; its windows start at its first words - WINDOW + 1 words."""
-    n = len(words) - WINDOW + 1
-    if n <= 0:
-        return (np.zeros(0, np.int64),) * 4
-    h = word_hashes(words)
+GROUP_BYTES = 2_000_000
+
+
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """BASE and its inverse modulo 2^64, to the powers 0 to n at least; kept in the worker while short."""
+    ahead, back = _powers
+    if len(ahead) <= n:
+        size = max(n + 1, 2 * GROUP_BYTES)
+        ahead = np.cumprod(np.r_[np.uint64(1), np.full(size, BASE)], dtype=np.uint64)
+        back = np.cumprod(np.r_[np.uint64(1), np.full(size, np.uint64(pow(int(BASE), -1, 1 << 64)))], dtype=np.uint64)
+        if size <= 8 * GROUP_BYTES:
+            _powers[:] = ahead, back
+    return ahead, back
+
+
+def spans_hash(values: np.ndarray, first: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Hash of each span of the values, the same wherever it stands: sums of value * BASE ^ place, by differences, then mixed."""
+    ahead, back = powers(len(values))
+    sums = np.r_[np.uint64(0), np.cumsum(values * ahead[: len(values)], dtype=np.uint64)]
+    h = (sums[first + length] - sums[first]) * back[first]
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    h ^= h >> np.uint64(29)
+    return h * np.uint64(0xFF51AFD7ED558CCD) + length.astype(np.uint64)
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of every word of all texts, number of words of each text), without an object per word."""
+    if len(texts) == 1 and len(texts[0]) > 4 * GROUP_BYTES:
+        parts = [word_hashes([p])[0] for p in slices(texts[0], GROUP_BYTES)]
+        return np.concatenate(parts), np.array([sum(map(len, parts))])
+    x = np.frombuffer(b"\n" + b"\n".join(texts) + b"\n", np.uint8)
+    space = _SPACE[x]
+    edge = np.flatnonzero(space[1:] != space[:-1]) + 1
+    first, length = edge[0::2], edge[1::2] - edge[0::2]
+    begins = np.cumsum([1, *(len(t) + 1 for t in texts)])
+    return spans_hash(x.astype(np.uint64), first, length), np.diff(np.searchsorted(first, begins))
+
+
+def segments(texts: list[bytes], contents: bool = True) -> tuple[np.ndarray, ...]:
+    """(text, minimizer, content hash, first word, words) of each segment of the texts, by text and place.
+
+    Its windows start at its first words - WINDOW + 1 words. All texts are worked on at once; a sliding minimum in doubling
+    steps runs over keys of hash and place, so that of equal hashes the first is taken.
+    """
+    h, counts = word_hashes(texts)
+    width = WINDOW - STEM + 1
+    n_windows = np.maximum(counts - WINDOW + 1, 0)
+    begins = np.cumsum(counts) - counts
+    if not n_windows.sum():
+        return (np.zeros(0, np.int64),) * 5
     stems = np.zeros(len(h) - STEM + 1, np.uint64)
     for i in range(STEM):
         stems = stems * BASE + h[i : len(stems) + i]
     stems ^= stems >> np.uint64(31)
     stems *= np.uint64(0xD6E8FEB86659FD93)
     stems ^= stems >> np.uint64(29)
-    width = WINDOW - STEM + 1
-    place = np.concatenate([np.lib.stride_tricks.sliding_window_view(stems[a : a + BLOCK_WORDS + width - 1], width).argmin(1) + np.arange(a, min(n, a + BLOCK_WORDS)) for a in range(0, n, BLOCK_WORDS)])
-    first = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
-    length = np.diff(np.r_[first, n]) + WINDOW - 1
-    power = np.cumprod(np.r_[np.uint64(1), np.full(WINDOW + width, BASE)], dtype=np.uint64)
-    # Horner form per segment: every segment has fewer than 2 * WINDOW words
-    content = np.zeros(len(first), np.uint64)
-    for i in range(int(length.max())):
-        on = i < length
-        content[on] = content[on] * BASE + h[first[on] + i]
-    content ^= content >> np.uint64(32)
-    content = (content + power[1]) * np.uint64(0xD6E8FEB86659FD93)
-    return stems[place[first]].view(np.int64), content.view(np.int64), first, length
+    bits = np.uint64(max(1, len(stems)).bit_length())
+    least = stems >> bits << bits | np.arange(len(stems), dtype=np.uint64)
+    span = 1
+    while span * 2 <= width:
+        least = np.minimum(least[:-span], least[span:])
+        span *= 2
+    if width > span:
+        least = np.minimum(least[: len(least) - (width - span)], least[width - span :])
+    text = np.repeat(np.arange(len(texts)), n_windows)
+    start = np.repeat(begins - np.cumsum(n_windows) + n_windows, n_windows) + np.arange(len(text))
+    place = (least[start] & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    cut = np.flatnonzero(np.r_[True, (place[1:] != place[:-1]) | (text[1:] != text[:-1])])
+    first, length = start[cut], np.diff(np.r_[cut, len(text)]) + WINDOW - 1
+    content = spans_hash(h, first, length) if contents else np.zeros(len(cut), np.uint64)
+    return text[cut], stems[place[cut]].view(np.int64), content.view(np.int64), first - begins[text[cut]], length
+
+
+def _groups(column: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
+    """The texts of an Arrow column in groups of bounded size, each with the number of its first."""
+    group: list[bytes] = []
+    size = at = 0
+    for i, t in enumerate(column.cast(pa.binary())):
+        t = t.as_py() or b""
+        if group and size + len(t) > GROUP_BYTES:
+            yield at, group
+            group, size, at = [], 0, i
+        group.append(t)
+        size += len(t)
+    if group:
+        yield at, group
 
 
 def _stem_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -84,8 +130,8 @@ def _stem_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(stems), pa.array(np.minimum(n, 2), pa.int32())], ["stem", "n"])
 
     for b in batches:
-        for t in b.column(0).cast(pa.binary()):
-            held.append(segments((t.as_py() or b"").split())[0])
+        for _, texts in _groups(b.column(0)):
+            held.append(segments(texts, contents=False)[1])
         if sum(map(len, held)) > 2_000_000:
             yield give()
     yield give()
@@ -95,18 +141,12 @@ SEGMENT = "doc_id long, h long, stem long, content long, first int, words int"
 
 
 def _segment_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = [x.split()[0] for x in SEGMENT.split(", ")]
     for b in batches:
-        parts: list[tuple] = []
-        size = 0
-        for i, t in enumerate(b.column(2).cast(pa.binary())):
-            stem, content, first, words = segments((t.as_py() or b"").split())
-            parts.append((np.full(len(stem), i), stem, content, first, words))
-            size += len(stem)
-            if size > 100_000 or i == b.num_rows - 1:
-                row, *rest = (np.concatenate(c) for c in zip(*parts, strict=True))
-                at = pa.array(row)
-                yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(rest[0]), pa.array(rest[1]), pa.array(rest[2].astype(np.int32)), pa.array(rest[3].astype(np.int32))], [x.split()[0] for x in SEGMENT.split(", ")])
-                parts, size = [], 0
+        for at, texts in _groups(b.column(2)):
+            text, stem, content, first, words = segments(texts)
+            row = pa.array(text + at)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(row), b.column(1).take(row), pa.array(stem), pa.array(content), pa.array(first.astype(np.int32)), pa.array(words.astype(np.int32))], names)
 
 
 def _pack(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -206,28 +246,36 @@ def repeats(docs: DataFrame) -> DataFrame:
     return rows.join(found, (F.col("stem") == F.col("s")) & (F.col("content") == F.col("c"))).select("doc_id", "h", "first", "mask")
 
 
-def covered(n_words: int, hits: list[tuple[int, int]]) -> np.ndarray:
-    """Which words a repeated window covers. hits: (first, mask)."""
+def covered(n_words: int, first: np.ndarray, masks: np.ndarray) -> np.ndarray:
+    """Which words a repeated window covers: bit i of a mask is the window at word first + i."""
     edge = np.zeros(n_words + 1, np.int64)
-    for first, mask in hits:
-        mask &= (1 << 64) - 1
-        starts = np.flatnonzero(np.unpackbits(np.frombuffer(mask.to_bytes(8, "little"), np.uint8), bitorder="little")) + first
-        np.add.at(edge, starts, 1)
-        np.add.at(edge, starts + WINDOW, -1)
+    row, bit = np.nonzero(np.unpackbits(masks.astype("<i8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
+    starts = first[row] + bit
+    np.add.at(edge, starts, 1)
+    np.add.at(edge, starts + WINDOW, -1)
     return np.cumsum(edge[:-1]) > 0
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     unpacker = zstandard.ZstdDecompressor()
     for b in batches:
-        out = []
-        for z, hits in zip(b.column(1), b.column(2), strict=True):
+        hits = b.column(2)
+        bounds, rows = hits.offsets.to_numpy() - hits.offsets[0].as_py(), hits.flatten()
+        first, masks = rows.field("first").to_numpy().astype(np.int64), rows.field("mask").to_numpy()
+        there = hits.is_valid().to_numpy(zero_copy_only=False)
+        out: list[tuple] = []
+        size = begun = 0
+        for i, z in enumerate(b.column(1)):
             words = unpacker.decompress(z.as_py()).split()
-            gone = covered(len(words), [(x["first"], x["mask"]) for x in hits.as_py() or ()])
-            kept = [w for w, g in zip(words, gone.tolist(), strict=True) if not g] if gone.any() else words
-            out.append((len(words), len(words) - len(kept), b" ".join(kept)))
-        columns = list(zip(*out, strict=True)) or [[]] * 3
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.binary())], ["doc_id", "n_words", "n_removed", "kept"])
+            n, lo, hi = len(words), bounds[i], bounds[i + 1]
+            if there[i] and hi > lo:
+                words = list(itertools.compress(words, (~covered(n, first[lo:hi], masks[lo:hi])).tolist()))
+            out.append((n, n - len(words), b" ".join(words)))
+            size += len(out[-1][2])
+            if size > 8_000_000 or i == b.num_rows - 1:
+                columns = list(zip(*out, strict=True))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(begun, len(out)), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.binary())], ["doc_id", "n_words", "n_removed", "kept"])
+                out, size, begun = [], 0, i + 1
 
 
 def remove(docs: DataFrame) -> DataFrame:

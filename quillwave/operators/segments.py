@@ -74,7 +74,8 @@ def _merge_pauses(segments: DataFrame, length: Column, source: Column) -> DataFr
 
 def paragraph_pause_priority(scripts: DataFrame, pause_sec: float = PARAGRAPH_FIRST) -> DataFrame:
     """First policy: blank lines are pauses that give way to written ones in the same run. Voice tags stay in the text."""
-    marked = scripts.withColumn("text", F.regexp_replace("text", r"\n\n+", f" [para-pause:{pause_sec}s] "))
+    spoken = strip(F.col("text")) != ""
+    marked = scripts.withColumn("text", F.when(spoken, F.regexp_replace("text", r"\n\n+", f" [para-pause:{pause_sec}s] ")).otherwise(F.col("text")))
     explicit = F.sum(F.when(F.col("source") == "explicit", F.col("duration_sec")))
     return _merge_pauses(tokenize_segments(normalize_tags(marked), voices=False), F.coalesce(explicit, F.sum("duration_sec")), F.min("source"))
 
@@ -84,7 +85,8 @@ def paragraph_pause_suppress(scripts: DataFrame, pause_sec: float = PARAGRAPH_SE
     blocks = F.split("text", r"\n\n+")
     lone = F.transform(blocks, lambda b: strip(b).rlike(rf"^{PAUSE}$"))
     between = lambda i: F.when(i == F.size(blocks) - 1, "").when(F.get(lone, i) | F.get(lone, i + 1), " ").otherwise(f" [pause:{pause_sec}s] ")
-    return scripts.withColumn("text", F.array_join(F.transform(blocks, lambda b, i: F.concat(b, between(i))), ""))
+    joined = F.array_join(F.transform(blocks, lambda b, i: F.concat(b, between(i))), "")
+    return scripts.withColumn("text", F.when(strip(F.col("text")) != "", joined).otherwise(F.col("text")))
 
 
 def merge_pauses_sum(segments: DataFrame) -> DataFrame:

@@ -85,7 +85,7 @@ def harmonic_stability(spectrum: DataFrame, least: float = MIN_HARMONIC, referen
     rows = spectrum.filter("hz > 0").groupBy("series_id", "frame", pitch.alias("pitch")).agg(F.sum("power").alias("p"))
     rows = rows.withColumn("p", F.col("p") / F.greatest(F.max("p").over(Window.partitionBy("series_id", "frame")), F.lit(1e-20)))
     rows = rows.withColumn("before", F.lag("p").over(Window.partitionBy("series_id", "pitch").orderBy("frame")))
-    classes = rows.groupBy("series_id", "pitch").agg(F.stddev_pop("p").alias("s"), F.corr("before", "p").alias("c"), F.count(F.lit(1)).alias("n"))
+    classes = rows.groupBy("series_id", "pitch").agg(F.stddev_pop("p").alias("s"), F.try_divide(F.covar_pop("before", "p"), F.stddev_pop("before") * F.stddev_pop(F.when(F.col("before").isNotNull(), F.col("p")))).alias("c"), F.count(F.lit(1)).alias("n"))
     value = F.when((F.col("s") < 1e-8) | (F.col("n") < 2), 1.0).when(~F.isnan("c"), F.col("c"))
     return classes.groupBy("series_id").agg(F.coalesce(F.avg(value), F.lit(0.0)).alias("stability")).withColumn("passed", F.col("stability") >= least)
 

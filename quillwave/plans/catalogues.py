@@ -9,7 +9,7 @@ from ..functions.vectors import slerp
 from ..operators import catalogue as C
 from ..operators import prompts as P
 from ..operators import vectors as V
-from ..session import table
+from ..session import shared_folder, table
 from ..sources import assets as A
 from ..sources.fixtures import RATE, SIGNAL_SQL, signal
 
@@ -47,14 +47,17 @@ def _pcm(s: SparkSession, d: str) -> DataFrame:
 
 
 def _chunk_ids(s: SparkSession, d: str) -> DataFrame:
-    rows = signal(s, d).withColumn("chunk_id", F.floor(F.col("pos") / (A.CHUNK_SEC * RATE)))
-    return rows.groupBy("series_id", "chunk_id").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("first_pos"))
+    path = shared_folder(s)
+    A.write_chunks(signal(s, d), path, RATE)
+    return s.read.parquet(path).groupBy("series_id", F.col("chunk_id").cast("long").alias("chunk_id")).agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("first_pos"))
 
 
 def _stems(s: SparkSession, d: str) -> DataFrame:
+    path = shared_folder(s)
     rows = signal(s, d).filter("series_id IN ('click', 'view')")
     stem = F.when(F.col("series_id") == "click", "voice").otherwise("music")
-    return rows.select(F.floor(F.col("pos") / 1000).alias("job_id"), stem.alias("stem"), "pos", "value").groupBy("job_id", "stem").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 6).alias("total"))
+    A.write_stems(rows.select(F.floor(F.col("pos") / 1000).alias("job_id"), stem.alias("stem"), "pos", "value"), path)
+    return s.read.parquet(path).groupBy(F.col("job_id").cast("long").alias("job_id"), "stem").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 6).alias("total"))
 
 
 def _blends(s: SparkSession, d: str) -> DataFrame:

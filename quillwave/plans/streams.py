@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,20 +9,16 @@ from ..functions.duration import words_per_minute
 from ..functions.recursion import alpha_of, asymmetric_ema
 from ..operators import segments as S
 from ..operators import timeline as T
-from ..session import table
+from ..session import shared_folder, table
 from ..sources.fixtures import RATE, scripts, signal
 from ..streaming import operators as O
 
 
-def _folder(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quillwave-")
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
-
-
 def _stream(spark: SparkSession, d: str, name: str) -> DataFrame:
     spark.conf.set(*O.STATE_STORE)
-    known = table(spark, d, name)
-    return spark.readStream.schema(known.schema).option("pathGlobFilter", f"{name}.parquet").parquet(d) if not _is_folder(spark, f"{d}/{name}.parquet") else spark.readStream.schema(known.schema).parquet(f"{d}/{name}.parquet")
+    reader = spark.readStream.schema(table(spark, d, name).schema)
+    path = f"{d}/{name}.parquet"
+    return reader.parquet(path) if _is_folder(spark, path) else reader.option("pathGlobFilter", f"{name}.parquet").parquet(d)
 
 
 def _is_folder(spark: SparkSession, path: str) -> bool:
@@ -35,7 +28,7 @@ def _is_folder(spark: SparkSession, path: str) -> bool:
 
 def _done(stream: DataFrame) -> DataFrame:
     spark = stream.sparkSession
-    folder = _folder(spark)
+    folder = shared_folder(spark)
     stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{folder}/out")
 
@@ -48,7 +41,7 @@ def _events(spark: SparkSession, d: str) -> DataFrame:
 
 def _progress(spark: SparkSession, d: str) -> DataFrame:
     rows = _stream(spark, d, "events").select(F.col("user_id").alias("job_id"), (F.col("event_id") / 1e6).alias("fraction"), F.concat("event_type", F.lit(":"), "event_id").alias("message"))
-    folder = _folder(spark)
+    folder = shared_folder(spark)
     query = O.stream_progress(rows).writeStream.outputMode("update").foreachBatch(O.upsert_latest(f"{folder}/out")).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.parquet(f"{folder}/out/v={query.lastProgress['batchId']}")
@@ -88,7 +81,7 @@ QUERIES = {
     "stream_envelope": (lambda s, d: _done(O.stream_envelope(_events(s, d), alpha_of(300.0, RATE))).withColumn("env", F.round("env", 6)), None),
     "stream_silence_alert": (
         lambda s, d: _done(O.stream_silence_alert(_events(s, d), 0.3, 3600.0)).select("series_id", F.unix_millis("quiet_since").alias("quiet_since")),
-        None,
+        f"WITH {_E}, l AS (SELECT series_id, epoch_us(ts) // 1000 AS t, lead(epoch_us(ts) // 1000) OVER (PARTITION BY series_id ORDER BY ts) AS n, epoch_us(newest) // 1000 AS newest FROM e WHERE abs(value) > 0.3) SELECT series_id, t AS quiet_since FROM l WHERE n - t > 3600000 OR n IS NULL AND t + 3600000 <= newest - 600000",
     ),
     "stream_byte_budget": (_budget, "WITH e AS (SELECT user_id AS session, event_id AS seq, len(props) * 7 AS bytes, coalesce(sum(len(props) * 7) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM events) SELECT session, seq, CAST(greatest(least(bytes, 1000 - before), 0) AS BIGINT) AS kept FROM e WHERE before < 1003"),
     "stream_progress": (_progress, "SELECT user_id AS job_id, max(event_id) / 1e6 AS fraction, arg_max(event_type || ':' || event_id, event_id) AS message FROM events GROUP BY 1"),

@@ -59,22 +59,30 @@ class _Silence(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.heard = handle.getValueState("heard", "ms long")
+        self.heard = handle.getValueState("heard", "ms long, alerted boolean")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        """Gaps that the rows themselves close are told at once; a timer waits behind the latest loud row."""
         p = pd.concat(list(rows))
-        loud = p.ts[p.value.abs() > self.threshold]
-        if len(loud):
-            latest = int(loud.max().timestamp() * 1000)
-            if not self.heard.exists() or latest > self.heard.get()[0]:
-                for t in list(self.handle.listTimers()):
-                    self.handle.deleteTimer(t)
-                self.heard.update((latest,))
-                self.handle.registerTimer(latest + self.limit)
-        yield pd.DataFrame({"series_id": pd.Series(dtype=str), "quiet_since": pd.Series(dtype="datetime64[ns]")})
+        loud = sorted(t.value // 1_000_000 for t in p.ts[p.value.abs() > self.threshold])
+        last, alerted = self.heard.get() if self.heard.exists() else (None, False)
+        quiet = []
+        for t in loud:
+            if last is None or t > last:
+                if last is not None and t - last > self.limit and not alerted:
+                    quiet.append(pd.Timestamp(last, unit="ms"))
+                last, alerted = t, False
+        if loud and (not self.heard.exists() or last > self.heard.get()[0]):
+            for t in list(self.handle.listTimers()):
+                self.handle.deleteTimer(t)
+            self.heard.update((last, False))
+            self.handle.registerTimer(last + self.limit)
+        yield pd.DataFrame({"series_id": pd.Series([key[0]] * len(quiet), dtype=str), "quiet_since": pd.Series(quiet, dtype="datetime64[ns]")})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield pd.DataFrame({"series_id": [key[0]], "quiet_since": [pd.Timestamp(self.heard.get()[0], unit="ms")]})
+        last = self.heard.get()[0]
+        self.heard.update((last, True))
+        yield pd.DataFrame({"series_id": [key[0]], "quiet_since": [pd.Timestamp(last, unit="ms")]})
 
     def close(self) -> None:
         pass

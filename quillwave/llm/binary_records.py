@@ -17,7 +17,7 @@ from __future__ import annotations
 import itertools
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +30,10 @@ MASK = 0xA282EAD8
 #: Files hold at most so many records, so that one task reads a file whole.
 RECORDS_PER_FILE = 4_000
 #: Text encoded at once in a task, and words whose ids a Python worker remembers.
-BATCH_BYTES, KNOWN_WORDS = 4_000_000, 600_000
+BATCH_BYTES, KNOWN_WORDS = 1_500_000, 400_000
+
+#: Put between words that are encoded in one text; a word of its own to the tokenizer.
+MARK = " \x01 "
 
 INDEX = "part long, file_no long, record long, doc_id long, path string, position long, bytes long, local_start long, n_tokens long, ids_crc32 long"
 
@@ -74,6 +77,8 @@ class WordIds(dict):
 
     def __init__(self, tokenizer, end_id: int) -> None:
         self.tokenizer, self.end_id = tokenizer, end_id
+        mark = tokenizer.encode(MARK, add_special_tokens=False).ids
+        self.mark = mark[0] if len(mark) == 1 else -1
         self.reset()
 
     def reset(self) -> None:
@@ -81,6 +86,23 @@ class WordIds(dict):
         self[None] = 0
         self.new: list[bytes] = []
         self.flat, self.starts, self.lengths = np.array([self.end_id], np.uint32), np.zeros(1, np.int64), np.ones(1, np.int64)
+        self.uses = np.zeros(1, np.int64)
+
+    def forget(self) -> None:
+        """Keeps the words met more than once, the most used half at most; counts age, so that others can take their place."""
+        known, uses = list(self), self.uses
+        order = np.argsort(-uses[1:], kind="stable")[: KNOWN_WORDS // 2] + 1
+        kept = np.sort(order[uses[order] > 1])
+        parts = [self.flat[self.starts[i] : self.starts[i] + self.lengths[i]] for i in kept]
+        words, ages = [known[i] for i in kept], uses[kept] // 2
+        self.reset()
+        for w in words:
+            self[w] = len(self)
+        lengths = np.array([len(p) for p in parts], np.int64)
+        self.starts = np.concatenate([self.starts, 1 + np.cumsum(lengths) - lengths])
+        self.lengths = np.concatenate([self.lengths, lengths])
+        self.flat = np.concatenate([self.flat, *parts])
+        self.uses = np.concatenate([self.uses, ages])
 
     def __missing__(self, word: bytes) -> int:
         self.new.append(word)
@@ -88,17 +110,31 @@ class WordIds(dict):
         return n
 
     def learn(self) -> None:
-        found = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in self.new], add_special_tokens=False)]
-        lengths = np.fromiter(map(len, found), np.int64, len(found))
-        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(lengths) - lengths])
-        self.lengths = np.concatenate([self.lengths, lengths])
-        self.flat = np.concatenate([self.flat, np.fromiter(itertools.chain.from_iterable(found), np.uint32)])
+        """Encodes the new words, many in one text with a mark between them; one by one where a word holds the mark itself."""
+        parts, lengths = [self.flat], []
+        for at in range(0, len(self.new), 2_000):
+            words = [w.decode("utf-8", "replace") for w in self.new[at : at + 2_000]]
+            ids = np.array(self.tokenizer.encode_batch_fast([MARK.join(words)], add_special_tokens=False)[0].ids, np.uint32)
+            marks = np.flatnonzero(ids == self.mark)
+            if len(marks) == len(words) - 1:
+                edges = np.r_[-1, marks, len(ids)]
+                lengths.append(np.diff(edges) - 1)
+                parts.append(ids[ids != self.mark])
+            else:
+                found = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+                lengths.append(np.fromiter(map(len, found), np.int64, len(found)))
+                parts.append(np.fromiter(itertools.chain.from_iterable(found), np.uint32))
+        new = np.concatenate(lengths)
+        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(new) - new])
+        self.lengths = np.concatenate([self.lengths, new])
+        self.flat = np.concatenate(parts)
+        self.uses = np.concatenate([self.uses, np.zeros(len(new), np.int64)])
         self.new = []
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         """Ids of each text, the end included."""
         if len(self) > KNOWN_WORDS:
-            self.reset()
+            self.forget()
         words: list = []
         ends = []
         for text in texts:
@@ -108,6 +144,7 @@ class WordIds(dict):
         numbers = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
         if self.new:
             self.learn()
+        self.uses += np.bincount(numbers, minlength=len(self.uses))
         lengths = self.lengths[numbers]
         stops = np.cumsum(lengths)
         ids = self.flat[np.repeat(self.starts[numbers] - stops + lengths, lengths) + np.arange(stops[-1] if len(stops) else 0)]
@@ -129,7 +166,7 @@ def word_ids(path: str, end_id: int) -> WordIds:
     return _loaded[path, end_id]
 
 
-def encode_texts(texts: list[bytes], path: str, end_id: int, words_apart: bool) -> Iterator[np.ndarray]:
+def encode_texts(texts: Iterable[bytes], path: str, end_id: int, words_apart: bool) -> Iterator[np.ndarray]:
     """Ids of each whole text and `end_id`. words_apart: ASCII white space always ends a token and leaves no trace in ids.
 
     Then each distinct word is encoded once. Long texts go in pieces cut at white space.
@@ -142,7 +179,7 @@ def encode_texts(texts: list[bytes], path: str, end_id: int, words_apart: bool)
         return
     group: list[bytes] = []
     size = 0
-    for t in [*texts, None]:
+    for t in itertools.chain(texts, (None,)):
         if t is None or size + len(t) > BATCH_BYTES:
             yield from known.encode(group)
             group, size = [], 0
@@ -162,13 +199,13 @@ def write_records(docs: DataFrame, path: str, tokenizer_path: str, end_id: int,
 
     def to_frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [t or b"" for t in b.column(1).cast(pa.binary()).to_pylist()]
+            texts = (t.as_py() or b"" for t in b.column(1).cast(pa.binary()))
             out: list[bytes] = []
             held = 0
-            for doc_id, ids in zip(b.column(0).to_pylist(), encode_texts(texts, tokenizer_path, end_id, words_apart), strict=True):
+            for doc_id, ids in zip(b.column(0), encode_texts(texts, tokenizer_path, end_id, words_apart), strict=True):
                 if not wide and len(ids) and ids.max() > 0xFFFF:
                     raise ValueError("ids above 65,535: write with wide=True")
-                out.append(frame(pack(doc_id, ids, wide)))
+                out.append(frame(pack(doc_id.as_py(), ids, wide)))
                 held += len(out[-1])
                 if held > 8_000_000:
                     yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["frame"])
@@ -217,16 +254,18 @@ def write_index(spark: SparkSession, path: str, index_path: str) -> DataFrame:
 def read_records(spark: SparkSession, path: str, index: DataFrame | None = None) -> DataFrame:
     """(doc_id, ids) of all records, or of those in `index` only: a part of the offset index, such as one slice of a shuffled epoch."""
 
+    everything = index is None
+
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
                 content = b.column(0)[i].as_py()
-                wanted = [(0, len(content))] if index is None else [(x["position"], x["bytes"]) for x in b.column(1)[i].as_py()]
+                wanted = [(0, len(content))] if everything else [(x["position"], x["bytes"]) for x in b.column(1)[i].as_py()]
                 got = [unpack(p) for at, n in wanted for _, p in frames(content[at : at + n])]
                 yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in got], pa.int64()), pa.array([x.astype(np.int32) for _, x in got], pa.list_(pa.int32()))], ["doc_id", "ids"])
 
     files = record_files(spark, path)
-    if index is None:
+    if everything:
         return files.select("content").mapInArrow(take, "doc_id long, ids array<int>")
     wanted = index.groupBy("path").agg(F.collect_list(F.struct("position", "bytes")).alias("wanted"))  # at most RECORDS_PER_FILE each
     return files.join(wanted, "path").select("content", "wanted").mapInArrow(take, "doc_id long, ids array<int>")

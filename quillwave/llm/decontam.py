@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import slices, written
 
 WINDOW = 10
 #: Words at a suffix's start that decide whether it enters the suffix array.
@@ -111,18 +111,23 @@ def occurrences(numbers: np.ndarray, tests: Tests) -> tuple[np.ndarray, np.ndarr
 
 
 def _one_shard(texts: list[bytes | None], tests: Tests) -> Iterator[dict]:
-    words = [words_of(t) for t in texts]
-    counts = np.array([len(w) for w in words], np.int64)
-    starts = np.cumsum(counts + 1) - counts - 1  # a 0, which no test has, ends each text
     get = tests.numbers.get
-    total = int(counts.sum() + len(words))
-    numbers = np.fromiter(map(get, itertools.chain.from_iterable((*w, None) for w in words), itertools.repeat(0)), np.int32, total)
+    lists: list[np.ndarray] = []
+    counts = np.zeros(len(texts), np.int64)
+    for i, text in enumerate(texts):
+        for piece in slices(text or b"", SHARD_BYTES):  # white space always ends a word
+            words = words_of(piece)
+            lists.append(np.fromiter(map(get, words, itertools.repeat(0)), np.int32, len(words)))
+            counts[i] += len(words)
+        lists.append(np.zeros(1, np.int32))  # a 0, which no test has, ends each text
+    numbers = np.concatenate(lists)
+    starts = np.cumsum(counts + 1) - counts - 1
     position, item, word, length = occurrences(numbers, tests)
     doc = np.searchsorted(starts, position, "right") - 1
     order = np.lexsort((position, position - word, item, doc))
     position, item, word, length, doc = (x[order] for x in (position, item, word, length, doc))
-    bounds = np.searchsorted(doc, np.arange(len(words) + 1))
-    for d in range(len(words)):
+    bounds = np.searchsorted(doc, np.arange(len(texts) + 1))
+    for d in range(len(texts)):
         a, b = bounds[d], bounds[d + 1]
         if a == b:
             yield {"n_words": int(counts[d]), "hits": [], "matches": []}

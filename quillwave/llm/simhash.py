@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, written
+from .common import broadcast_if_small, slices, written
 from .components import components
 
 BITS, DISTANCE, SHINGLE, SEED = 64, 4, 4, 42
@@ -31,25 +31,32 @@ WIDE = 1 << 28
 #: Homes of one anchor that a task holds; more are dealt over several tasks.
 HOMES = 4_096
 PAIRS_AT_ONCE = 2_000_000
+PIECE_BYTES = 500_000
 
 
-def fingerprint(text: bytes | None) -> int:
-    """Signed 64-bit fingerprint of the words `[^\\x20\\x09-\\x0D]+`, A-Z lower-cased; no words: 0."""
-    words = (text or b"").lower().split()
-    if not words:
-        return 0
+def _set_bits(words: list[bytes]) -> np.ndarray:
+    """How many shingles of the words set each bit."""
     joined, hashed = b" ".join(words), xxhash.xxh64_intdigest
-    n = len(words) - SHINGLE + 1
-    if n <= 1:
-        return int(np.uint64(hashed(joined, SEED)).astype(np.int64))
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     stops = np.cumsum(lengths + 1) - 1
-    starts, stops = (stops - lengths)[:n].tolist(), stops[SHINGLE - 1 :].tolist()
-    set_bits = np.zeros(BITS, np.int64)
-    for at in range(0, n, 100_000):
-        h = np.fromiter((hashed(joined[a:b], SEED) for a, b in zip(starts[at : at + 100_000], stops[at : at + 100_000], strict=True)), np.uint64)
-        set_bits += np.unpackbits(h.view(np.uint8), bitorder="little").reshape(-1, BITS).sum(0, dtype=np.int64)
-    return int(np.packbits(set_bits * 2 > n, bitorder="little").view(np.int64)[0])
+    starts, stops = (stops - lengths)[: len(words) - SHINGLE + 1].tolist(), stops[SHINGLE - 1 :].tolist()
+    h = np.fromiter((hashed(joined[a:b], SEED) for a, b in zip(starts, stops, strict=True)), np.uint64, len(starts))
+    return np.unpackbits(h.view(np.uint8), bitorder="little").reshape(-1, BITS).sum(0, dtype=np.int64)
+
+
+def fingerprint(text: bytes | None) -> int:
+    """Signed 64-bit fingerprint of the words `[^\\x20\\x09-\\x0D]+`, A-Z lower-cased; no words: 0. Long texts go in pieces."""
+    carried: list[bytes] = []
+    n, bits = 0, np.zeros(BITS, np.int64)
+    for piece in slices((text or b"").lower(), PIECE_BYTES):
+        carried += piece.split()
+        if len(carried) >= SHINGLE:
+            n += len(carried) - SHINGLE + 1
+            bits += _set_bits(carried)
+            carried = carried[1 - SHINGLE :]
+    if n:
+        return int(np.packbits(bits * 2 > n, bitorder="little").view(np.int64)[0])
+    return int(np.uint64(xxhash.xxh64_intdigest(b" ".join(carried), SEED)).astype(np.int64)) if carried else 0
 
 
 def _fingerprints(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:

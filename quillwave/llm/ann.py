@@ -80,8 +80,15 @@ def _hashed(tables: int, probes: int):
     return run
 
 
-def _compare(key: tuple, queries: pa.Table, base: pa.Table) -> pa.Table:
-    """The best K + 1 entries of the tile for each of its queries; scores are computed per pair, alike in every tile."""
+def _comparer(k: int):
+    def compare(key: tuple, queries: pa.Table, base: pa.Table) -> pa.Table:
+        return _compare(queries, base, k + 1)
+
+    return compare
+
+
+def _compare(queries: pa.Table, base: pa.Table, most: int) -> pa.Table:
+    """The best `most` entries of the tile for each of its queries; scores are computed per pair, alike in every tile."""
     schema = pa.schema([("query", pa.int64()), ("first", pa.int64()), ("score", pa.float64()), ("ids", pa.list_(pa.int64()))])
     if not queries.num_rows or not base.num_rows:
         return schema.empty_table()
@@ -91,7 +98,7 @@ def _compare(key: tuple, queries: pa.Table, base: pa.Table) -> pa.Table:
     first, names = base.column("first").to_numpy(), queries.column("query").to_numpy()
     unit = (x / norm_x[:, None]).T
     out = []
-    most = min(K + 1, len(x))
+    most = min(most, len(x))
     for at in range(0, len(q), 256):
         s = (q[at : at + 256] / norm_q[at : at + 256, None]) @ unit
         least = -np.partition(-s, most - 1, 1)[:, most - 1]
@@ -113,8 +120,6 @@ def search(vectors: DataFrame, is_query=None, k: int = K, tables: int = TABLES,
     are null, empty, zero or not finite, take no part; a row that repeats in full counts once. Vectors of different length
     are never compared. A bucket or a vector may hold any share of the rows.
     """
-    if k != K:
-        raise ValueError(f"lists are kept for k = {K}")
     rows = written(usable(vectors))
     query = (F.col("vec_id") % 50 == 0) if is_query is None else is_query
     smallest = Window.partitionBy("embedding").orderBy("vec_id")
@@ -135,7 +140,7 @@ def search(vectors: DataFrame, is_query=None, k: int = K, tables: int = TABLES,
     for_queries = tiles.select(F.col("of").alias("at"), F.col("nb").alias("mb"), F.col("nq").alias("mq"))
     probing = probing.join(F.broadcast(for_queries), F.col("key") == F.col("at")).withColumn("v", own("mq")).withColumn("u", every("mb"))
     probing = probing.select(F.col("key").alias("asked"), "u", "v", F.col("first").alias("query"), F.col("vector").alias("q"))
-    found = probing.groupBy("asked", "u", "v").cogroup(dealt.groupBy("key", "x", "y")).applyInArrow(_compare, "query long, first long, score double, ids array<long>")
+    found = probing.groupBy("asked", "u", "v").cogroup(dealt.groupBy("key", "x", "y")).applyInArrow(_comparer(k), "query long, first long, score double, ids array<long>")
     best = Window.partitionBy("query").orderBy(F.col("score").desc(), "first")
     found = found.dropDuplicates(["query", "first"]).withColumn("n", F.row_number().over(best)).filter(F.col("n") <= k + 1)
     found = written(found.select("query", "score", F.explode("ids").alias("vec_id")))

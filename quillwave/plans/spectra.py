@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import frames as L
 from ..operators import spectrum as P
 from ..session import table
 from ..sources.fixtures import RATE, SIGNAL_SQL, TWO_SQL, signal, two_signals

@@ -28,7 +28,7 @@ SHARD_WORDS = 300_000
 #: Repeated minimizers that may be broadcast (8 bytes each); more go through a shuffle join.
 BROADCAST_STEMS = 1_000_000
 BASE = np.uint64(0x9E3779B97F4A7C15)
-GROUP_BYTES = 2_000_000
+GROUP_BYTES = 1_000_000
 
 
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
@@ -39,7 +39,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE and its inverse modulo 2^64, to the powers 0 to n at least; kept in the worker while short."""
     ahead, back = _powers
     if len(ahead) <= n:
-        size = max(n + 1, 2 * GROUP_BYTES)
+        size = max(n + 1, GROUP_BYTES * 5 // 4)
         ahead = np.cumprod(np.r_[np.uint64(1), np.full(size, BASE)], dtype=np.uint64)
         back = np.cumprod(np.r_[np.uint64(1), np.full(size, np.uint64(pow(int(BASE), -1, 1 << 64)))], dtype=np.uint64)
         if size <= 8 * GROUP_BYTES:

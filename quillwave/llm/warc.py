@@ -6,8 +6,9 @@ top byte isn't zero is closed by an empty member). So the files are plain record
 on whatever store the path names.
 
 The reader is splittable. Spark's text source cuts each byte range at the gzip magic (the line separator when reading), and
-a range owns the pieces that start in it. A piece is a record only if its gzip header and its WARC header decode; any other
-piece is data that happens to look like the magic and is joined to the record before it, across ranges if need be.
+a range owns the pieces that start in it. From its first piece whose gzip header and WARC header decode, a range takes member
+after member; a piece that comes before a member is whole is data that happens to look like the magic. What stands before
+that first piece (the rest of a record, or a record cut in its head) is joined to the ranges before it.
 Archives must not be named so that Hadoop unpacks them itself (.gz).
 """
 
@@ -60,7 +61,11 @@ def encode_record(page_id: int | None, url: str | None, kind: str, refers_to: in
 
 
 def decode_record(record: bytes) -> tuple | None:
-    """The fields of a response or revisit record; None for other record types. Raises ValueError where checks fail."""
+    """The fields of a response or revisit record; None for other record types and an empty member. Raises ValueError where checks fail."""
+    if not record:
+        return None
+    if not record.startswith(b"WARC/"):
+        raise ValueError("a gzip member holds no WARC record")
     head, _, rest = record.partition(b"\r\n\r\n")
     lines = head.decode("utf-8", "replace").split("\r\n")
     fields = {k.lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
@@ -79,24 +84,41 @@ def decode_record(record: bytes) -> tuple | None:
 
 
 def starts_record(piece: bytes) -> bool:
-    """Whether bytes behind a magic begin a gzip member that holds the start of a WARC record (or an empty member)."""
+    """Whether bytes behind a magic surely begin a gzip member with a WARC record. A cut in the member's head leaves it open."""
     if len(piece) < 7 or piece[0] & 0xE0:
         return False
     try:
-        opened = zlib.decompressobj(31)
-        begun = opened.decompress(MAGIC + piece[:4096], 16)
+        return zlib.decompressobj(31).decompress(MAGIC + piece[:4096], 16).startswith(b"WARC/1.")
     except zlib.error:
         return False
-    return begun.startswith(b"WARC/1.") or (opened.eof and not begun)
 
 
-def unpack(data: bytes) -> tuple[bytes, bool]:
-    """The record in a member, and whether the member is whole. Later members in the same bytes (empty ones) are left."""
-    opened = zlib.decompressobj(31)
-    try:
-        return opened.decompress(data), opened.eof
-    except zlib.error:
-        return b"", False
+class Members:
+    """The gzip members of bytes that come in pieces, in file order from a member's first byte. Zeros between members are padding.
+
+    Each byte is decoded once, wherever the pieces are cut: a member ends where its trailer does, and the next begins there.
+    """
+
+    def __init__(self, file: str) -> None:
+        self.file, self.rest = file, []  # rest: the bytes of the member that is not whole yet
+        self._opened, self._out = None, []
+
+    def feed(self, data: bytes) -> list[bytes]:
+        """The contents of the members that these bytes make whole."""
+        found = []
+        while data:
+            self._opened = self._opened or zlib.decompressobj(31)
+            self.rest.append(data)
+            try:
+                self._out.append(self._opened.decompress(data))
+            except zlib.error as e:
+                raise ValueError(f"a record in {self.file} is damaged: {e}") from e
+            if not self._opened.eof:
+                break
+            data = self._opened.unused_data.lstrip(b"\0")
+            found.append(b"".join(self._out))
+            self.rest, self._opened, self._out = [], None, []
+        return found
 
 
 def with_duplicates(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
@@ -134,28 +156,14 @@ def write_warc(pages: DataFrame, path: str, least_bytes: int = LEAST_BYTES) -> N
 def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pieces in file order to records; what may belong to another range goes out as (part, place, bytes)."""
     made: list[tuple] = []
-    held = {"range": None, "data": None, "lead": b"", "begun": False}
-
-    def close(last: bool) -> bool:
-        """Gives out the record held, if there is one and it is whole; at a range's end, what there is of it."""
-        if held["data"] is None:
-            return True
-        record, whole = unpack(held["data"])
-        if whole:
-            if record and (fields := decode_record(record)):
-                made.append((*fields, None, None, None))
-        elif last:
-            made.append((*[None] * 7, *held["range"], b"T" + held["data"]))
-        else:
-            return False
-        held["data"] = None
-        return True
+    held = {"range": None, "members": None, "lead": []}
 
     def leave() -> None:
+        """At a range's end: what stood before its first sure start, and the record that is not whole."""
         if held["lead"]:
-            made.append((*[None] * 7, *held["range"], b"H" + held["lead"]))
-            held["lead"] = b""
-        close(True)
+            made.append((*[None] * 7, *held["range"], b"H" + b"".join(held["lead"])))
+        if held["members"] is not None and held["members"].rest:
+            made.append((*[None] * 7, *held["range"], b"T" + b"".join(held["members"].rest)))
 
     def flush() -> pa.RecordBatch:
         kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.string(), pa.int64(), pa.binary()]
@@ -168,39 +176,33 @@ def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece, file, start in zip(b.column(0), b.column(1), b.column(2), strict=True):
             at, piece = (file.as_py(), start.as_py()), piece.as_py()
             if at != held["range"]:
-                if held["range"] is not None:
-                    leave()
-                held.update(range=at, begun=at[1] > 0)
+                leave()
+                held.update(range=at, members=None if at[1] else Members(at[0]), lead=[])
                 if at[1] == 0:  # what stands before a file's first magic
                     continue
-            if starts_record(piece) and close(False):
-                held["data"] = MAGIC + piece
-            elif held["data"] is not None:
-                held["data"] += MAGIC + piece
+            if held["members"] is None and starts_record(piece):
+                held["members"] = Members(at[0])
+            if held["members"] is None:
+                held["lead"].append(MAGIC + piece)
             else:
-                held["lead"] += MAGIC + piece
+                made += [(*fields, None, None, None) for record in held["members"].feed(MAGIC + piece) if (fields := decode_record(record))]
             if len(made) >= 500:
                 yield flush()
-    if held["range"] is not None:
-        leave()
+    leave()
     yield flush()
 
 
 def _join_pieces(key: tuple, pieces: pa.Table) -> pa.Table:
-    """The few records of one file that go on in a later range: a tail, then the heads of the ranges behind it."""
+    """The few records of one file that no range could tell alone: a tail, then the heads of the ranges behind it.
+
+    A head without a tail before it follows a whole record, so it begins with a member; bytes that make no record are an error.
+    """
     rows = sorted(zip(pieces.column("start").to_pylist(), pieces.column("piece").to_pylist(), strict=True), key=lambda r: (r[0], r[1][:1] == b"T"))
-    out, data = [], b""
+    out, members = [], Members(key[0].as_py())
     for _, piece in [*rows, (None, b"T")]:
-        if piece[:1] == b"T":
-            if data:
-                record, whole = unpack(data)
-                if not whole:
-                    raise ValueError(f"a record in {key[0].as_py()} is cut off")
-                if fields := decode_record(record):
-                    out.append(fields)
-            data = piece[1:]
-        elif data:
-            data += piece[1:]
+        if piece[:1] == b"T" and members.rest:
+            raise ValueError(f"a record in {members.file} is cut off")
+        out += [fields for record in members.feed(piece[1:]) if (fields := decode_record(record))]
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.binary())])
     return pa.Table.from_pylist([dict(zip(schema.names, r, strict=True)) for r in out], schema)
 
@@ -209,7 +211,7 @@ def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFram
     """The response and revisit records of the archives at `path`: the columns of RECORD (payload null for revisits).
 
     Digests of responses are checked; a damaged record is an error. Without `payloads` they are dropped in the tasks. The
-    rare records cut by a false magic just at the end of a range are joined by a small shuffle by file.
+    rare records cut by a false magic at the end of a range or in their own head are joined by a small shuffle by file.
     """
     pieces = spark.read.option("lineSep", MAGIC.decode("latin-1")).option("encoding", "ISO-8859-1").text(path)
     pieces = pieces.select(F.col("value").cast("binary").alias("value"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))

@@ -140,6 +140,31 @@ def test_members_with_false_magics_over_many_ranges(spark, tmp_path):
     spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 
 
+def test_magics_in_the_head_of_a_member_lose_no_record(spark, tmp_path):
+    """A magic in an extra field cuts a member before its first content byte: 1 to 80 bytes behind the gzip header, over many ranges."""
+    r = np.random.default_rng(1)
+    data = b""
+    for i in range(80):
+        payload = r.integers(0, 256, 200, np.uint8).tobytes()
+        record = warc.encode_record(i, f"http://h/{i}", "response", None, hashlib.sha256(payload).hexdigest(), len(payload), payload)
+        plain = warc.member(record) + b"\x00"
+        extra = b"x" * i + warc.MAGIC + b"\x00" * (90 - i)
+        data += plain[:3] + b"\x04" + plain[4:10] + len(extra).to_bytes(2, "little") + extra + plain[10:]
+    (tmp_path / "one.warc").write_bytes(data)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for size in ("300b", "5k", "1m"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", "1")
+            assert sorted(x.page_id for x in warc.read_warc(spark, str(tmp_path / "one.warc")).collect()) == list(range(80)), size
+        (tmp_path / "cut.warc").write_bytes(data[:-300])
+        with pytest.raises(Exception, match="cut off"):
+            warc.read_warc(spark, str(tmp_path / "cut.warc")).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 # 3 SimHash
 
 

@@ -4,8 +4,9 @@ Shards are made by content: each window of WINDOW words belongs to its minimizer
 the stretch of windows that share one occurrence of a minimizer is a segment. Equal windows have equal minimizers, so all
 occurrences of a window are in one shard. Minimizers that occur once can hold no repeat and are left out; equal segments
 become one with a count. Each shard builds an FM-index (wavelet matrix over the transform) of its distinct segments, streams
-its segments through by backward search, and reports the windows that occur elsewhere. Large shards are dealt in parts; each
-part streams all segments of the shard.
+its segments through by backward search, and reports the windows that occur elsewhere. Large shards are dealt in parts, and
+each pair of parts is a group: one part is indexed, the other streamed. So a group is no larger than an undealt shard, however
+many segments share a minimizer; the work grows with the square of such a minimizer's words, over as many groups.
 """
 
 from __future__ import annotations
@@ -186,8 +187,8 @@ FOUND = "stem long, content long, mask long"
 
 
 def _search(rows: pa.Table) -> pa.Table:
-    """Columns stem, content, n, words, own (in this part's index). Masks of the windows that occur elsewhere."""
-    own, n = rows.column("own").to_numpy(), rows.column("n").to_numpy()
+    """Columns stem, content, n, words, own (in this group's index), streamed. Masks of the windows that occur elsewhere."""
+    own, streamed, n = (rows.column(name).to_numpy() for name in ("own", "streamed", "n"))
     numbers: dict[bytes, int] = {b"": 0}
     texts = [np.array([numbers.setdefault(w, len(numbers)) for w in t.as_py().split()], np.int64) for t in rows.column("words")]
     lengths = np.array([len(t) for t in texts], np.int64)
@@ -195,7 +196,7 @@ def _search(rows: pa.Table) -> pa.Table:
     starts = np.cumsum(lengths + 1) - lengths - 1
     indexed = np.repeat(own, lengths + 1)
     index = FMIndex(flat[indexed] if not own.all() else flat, 2 * WINDOW)
-    stream = np.flatnonzero(n < 2)  # equal segments elsewhere: all their windows are repeated
+    stream = np.flatnonzero((n < 2) & streamed)  # equal segments elsewhere: all their windows are repeated
     masks = np.where(n < 2, np.uint64(0), (np.uint64(1) << (lengths - WINDOW + 1).astype(np.uint64)) - np.uint64(1))
     if len(stream):
         # a symbol that the index does not hold ends a match: its range is empty
@@ -231,17 +232,22 @@ def repeats(docs: DataFrame) -> DataFrame:
     dealt = contents.withColumn("shard", shard)
     if sizes.limit(1).count():
         dealt = dealt.join(sizes, "shard", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-        dealt = dealt.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        dealt = dealt.withColumn("own", F.pmod(F.xxhash64("content"), F.col("parts")) == F.col("part"))
+        # a segment of part m is indexed in the groups (m, any) and streamed in (any, m)
+        mine, every = F.pmod(F.xxhash64("content"), F.col("parts")), F.sequence(F.lit(0), F.col("parts") - 1)
+        dealt = dealt.withColumn("mine", mine.cast("int"))
+        indexed = F.transform(every, lambda i: F.struct(F.col("mine").alias("part"), i.alias("slice")))
+        streams = F.transform(F.filter(every, lambda i: i != F.col("mine")), lambda i: F.struct(i.alias("part"), F.col("mine").alias("slice")))
+        dealt = dealt.withColumn("group", F.explode(F.concat(indexed, streams))).select("stem", "content", "n", "words", "shard", "mine", "group.*")
+        dealt = dealt.withColumn("own", F.col("part") == F.col("mine")).withColumn("streamed", F.col("slice") == F.col("mine"))
     else:
-        dealt = dealt.withColumn("part", F.lit(0)).withColumn("own", F.lit(True))
+        dealt = dealt.withColumns({"part": F.lit(0), "slice": F.lit(0), "own": F.lit(True), "streamed": F.lit(True)})
 
     def one(table: pa.Table) -> pa.Table:
         pair = np.stack([table.column("stem").to_numpy(), table.column("content").to_numpy()], 1)
         first = np.sort(np.unique(pair, axis=0, return_index=True)[1])
         return _search(table.take(pa.array(first)))
 
-    found = dealt.groupBy("shard", "part").applyInArrow(one, FOUND).groupBy("stem", "content").agg(F.bit_or("mask").alias("mask"))
+    found = dealt.groupBy("shard", "part", "slice").applyInArrow(one, FOUND).groupBy("stem", "content").agg(F.bit_or("mask").alias("mask"))
     found = written(found.select(F.col("stem").alias("s"), F.col("content").alias("c"), "mask"))
     return rows.join(found, (F.col("stem") == F.col("s")) & (F.col("content") == F.col("c"))).select("doc_id", "h", "first", "mask")
 

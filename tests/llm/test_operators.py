@@ -339,6 +339,30 @@ def test_repeats_of_cut_and_joined_passages(spark):
     assert sorted(found(substring.report(df), "doc_id", "n_words", "n_removed", "kept_sha256")) == sorted(want)
 
 
+def test_hot_phrase_is_dealt_in_bounded_groups(spark, monkeypatch):
+    """One phrase with different surroundings in every text: its segments share a minimizer and cannot spread over shards."""
+    most, search = 6_000, substring._search
+    monkeypatch.setattr(substring, "SHARD_WORDS", 1_000)
+
+    def bounded(rows):
+        words = sum(len(t.as_py().split()) for t in rows.column("words"))
+        assert words <= most, f"{words} words in a group"
+        return search(rows)
+
+    monkeypatch.setattr(substring, "_search", bounded)
+    r = random.Random(3)
+    fresh = lambda n: " ".join(f"w{r.randrange(10**9)}" for _ in range(n))
+    # a phrase whose hash is the least of many, so that it is the minimizer of nearly all windows around it
+    around = [fresh(29), fresh(29)]
+    least = lambda t: max(int(substring.segments([f"{t} {x}".encode()])[1].view(np.uint64)[0]) for x in around)
+    phrase = min((fresh(6) for _ in range(3_000)), key=least)
+    texts = [f"{fresh(40)} {phrase} {fresh(40)}" for _ in range(300)]
+    texts += [f"{fresh(5)} {' '.join(texts[i].split()[20:70])} {fresh(5)}" for i in range(0, 300, 10)]
+    got = {x.doc_id: x for x in substring.remove(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    want = slow_repeats(texts)
+    assert [got[i].n_removed for i in range(len(texts))] == [w[1] for w in want] and sum(w[1] for w in want) >= 3_000
+
+
 def test_index_counts():
     r = np.random.default_rng(1)
     text = np.r_[r.integers(1, 9, 500), 0]

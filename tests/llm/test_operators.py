@@ -479,6 +479,23 @@ def test_secrets(spark, docs, nothing):
     assert secrets.report(docs).count() == len(corpus()) and secrets.report(nothing).count() == 0
 
 
+def test_many_keys_outside_the_rules(spark):
+    """Most documents hold a key that no rule matches; those must not teach the network that keys are harmless."""
+    r = random.Random(4)
+    key = lambda n: "".join(r.choices("ABCDEFGHJKLMNPQRSTUVWXYZabcdefghjkmnpqrstuvwxyz0123456789", k=n))
+    texts = [f"{w} token = {key(32)} end" for w in lines(7, 100, 3)] + [f"plain {w} words chapter-12/page-3 on 2024-11-28" for w in lines(8, 100, 9)]
+    keys = [f"{w} see {key(30)} there" for w in lines(9, 400, 3)]
+    df = spark.createDataFrame(list(enumerate(texts + keys)), "doc_id long, text string")
+    got = {x.doc_id: x.spans for x in secrets.report(df).collect()}
+    caught = sum("model:" in got[i] for i in range(len(texts), len(got)))
+    assert caught >= 0.85 * len(keys), caught
+    assert sum("model:" in got[i] for i in range(100, 200)) <= 2
+    odd = lambda t: {t[a:b] for k, a, b, _ in secrets.scan_text(t)[1] if k == "odd"}
+    assert odd("a kX9fQ2mZ b QwErTyUiOpAsDfGh c") == {"kX9fQ2mZ", "QwErTyUiOpAsDfGh"} and not odd("JavaScript chapter-12 2024-11-28 --------------------------")
+    seen = [c for k, *_, c in secrets.scan_text("x " + "-" * 60 + "k9" * 40)[1] if k == "odd"]
+    assert len(seen) > 3 and seen[-1].rstrip("\0").endswith("k9" * 20)
+
+
 def test_network_gradients():
     net = secrets.CharNet(1)
     x, y = secrets.encode([secrets.context("a key = 0123abcd end", 8, 16), secrets.context("plain words only", 6, 11)]), np.array([1.0, 0.0])

@@ -10,6 +10,8 @@ import zlib
 import numpy as np
 import pytest
 import xxhash
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quillwave.llm import ann, binary_records, components, decontam, fm_index, html_text, langid, mixing, secrets, simhash, substring, warc
@@ -73,8 +75,12 @@ def test_records_round_trip(spark, docs, nothing, tmp_path):
     assert sorted(((r.doc_id, tuple(r.ids)) for r in back.collect()), key=repr) == sorted(want, key=repr)
     slices = [binary_records.epoch_slice(index, 5, k, 3) for k in range(3)]
     assert sum(s.count() for s in slices) == len(want)
-    part = binary_records.read_records(spark, path, slices[1])
-    assert part.count() == slices[1].count()
+    ids_at = {(r.path, r.position): (r.doc_id, next(i for d, i in want if d == r.doc_id and zlib.crc32(np.array(i, "<u4").tobytes()) == r.ids_crc32)) for r in got}
+    for k, one in enumerate(slices):
+        order = [ids_at[r.path, r.position] for r in one.collect()]
+        assert [(r.doc_id, tuple(r.ids)) for r in binary_records.read_records(spark, path, one).collect()] == order
+        again = binary_records.epoch_slice(index, 6, k, 3).select("path", "position").collect()
+        assert not order or [ids_at[r.path, r.position] for r in again] != order
     binary_records.write_records(nothing, str(tmp_path / "e"), tokenizer_file(), 1, words_apart=True)
     assert binary_records.write_index(spark, str(tmp_path / "e"), str(tmp_path / "ei")).count() == 0
 
@@ -90,6 +96,28 @@ def test_damaged_frames_are_found():
             list(binary_records.frames(bytes(bad)))
 
 
+def test_files_are_bounded_by_bytes_and_long_texts_are_whole(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(binary_records, "FILE_BYTES", 3_000)
+    monkeypatch.setattr(binary_records, "BATCH_BYTES", 4_000)  # long: above this
+    texts = lines(4, 150) + [" ".join(lines(5, 1, 3_000)), "é" * 9_000, "a b " * 5_000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    encode = binary_records.word_ids(tokenizer_file(), 1).tokenizer.encode
+    data = list(binary_records.encode_texts([t.encode() for t in texts], tokenizer_file(), 1, True))
+    assert [d.tolist() for d in data] == [encode(t, add_special_tokens=False).ids + [1] for t in texts]
+    binary_records.write_records(docs, str(tmp_path / "r"), tokenizer_file(), 1, words_apart=True)
+    sizes = [r.n for r in binary_records.record_files(spark, str(tmp_path / "r")).select(F.length("content").alias("n")).collect()]
+    assert len(sizes) > 3 and max(sizes) == 2 * max(map(len, data)) + 26 and sorted(sizes)[-4] <= 3_000
+    index = binary_records.write_index(spark, str(tmp_path / "r"), str(tmp_path / "i")).orderBy("start").collect()
+    assert [(r.doc_id, r.n_tokens) for r in index] == [(i, len(d)) for i, d in enumerate(data)]
+
+
+@given(st.lists(st.text(st.sampled_from("abZÉßİ×ÿ 0129,.'-<|>&\n\t\x0b\x1c\u00a0\u0301\u0338—中ſK²"), max_size=25), max_size=4))
+@settings(max_examples=150, deadline=None)
+def test_units_give_the_tokenizers_ids(texts):
+    known = binary_records.WordIds(binary_records.word_ids(tokenizer_file(), 1).tokenizer, 1)
+    assert [x.tolist() for x in known.encode([t.encode() for t in texts])] == [known.tokenizer.encode(t, add_special_tokens=False).ids + [1] for t in texts]
+
+
 def test_few_known_words_give_the_same_ids(monkeypatch):
     monkeypatch.setattr(binary_records, "KNOWN_WORDS", 50)
     texts = [(t or "").encode() for _, t, *_ in corpus()]

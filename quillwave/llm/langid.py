@@ -5,9 +5,8 @@ set of languages that may contain it, all of them found by one lookup. A text's
 per language, the share that chance would give (the language's fill, to the power K) is taken off, and the largest
 corrected share decides.
 
-An n-gram belongs to a language if its rate there is at least RATE and at least SHARE of its summed rate over languages, so
-a language has at most 1 / RATE n-grams whatever the size of the corpus. Counts cover all learning documents: tasks count,
-Spark adds up.
+An n-gram belongs to every language in which its rate is at least RATE, so a language has at most 1 / RATE n-grams whatever
+the size of the corpus. Counts cover all learning documents: tasks count, Spark adds up.
 """
 
 from __future__ import annotations
@@ -24,12 +23,13 @@ from .common import broadcast_if_small, written
 
 #: Bytes in an n-gram, words kept apart by one space.
 ORDERS = (3, 4, 5)
-RATE, SHARE = 5e-6, 0.4
+RATE = 5e-6
 K = 3
 #: Slots for each n-gram that the filter holds.
 SLOTS_PER_GRAM = 12
 UNKNOWN = "und"
-TEXT_BYTES = 2_000_000
+#: N-grams of a long text are made for so many places at a time.
+PLACES = 2_000_000
 
 RESULT = "lang_pred string, score double"
 
@@ -45,17 +45,24 @@ def has_letters(text: str) -> bool:
     return any(map(str.isalpha, text)) if text else False
 
 
-def grams(data: bytes) -> np.ndarray:
-    """64-bit codes of all n-grams of the bytes; the order is part of the code."""
-    x = np.frombuffer(data, np.uint8).astype(np.uint64)
-    out = []
-    for n in ORDERS:
-        if len(x) >= n:
-            code = np.full(len(x) - n + 1, n, np.uint64)
-            for i in range(n):
-                code = code << np.uint64(8) | x[i : len(x) - n + 1 + i]
-            out.append(code)
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+def grams(data: bytes, places: int | None = None) -> Iterator[np.ndarray]:
+    """64-bit codes of all n-grams of the bytes, those that begin at `places` (PLACES) bytes at a time; the order is part of the code.
+
+    Every n-gram comes once, also where it reaches over the end of its part.
+    """
+    x, places = np.frombuffer(data, np.uint8), places or PLACES
+    for at in range(0, len(x), places):
+        part = x[at : at + places + max(ORDERS) - 1].astype(np.uint64)
+        out = []
+        for n in ORDERS:
+            count = min(places, len(part) - n + 1)
+            if count > 0:
+                code = np.full(count, n, np.uint64)
+                for i in range(n):
+                    code = code << np.uint64(8) | part[i : count + i]
+                out.append(code)
+        if out:
+            yield np.concatenate(out)
 
 
 def slots(codes: np.ndarray, size: int, k: int = K) -> list[np.ndarray]:
@@ -67,12 +74,6 @@ def slots(codes: np.ndarray, size: int, k: int = K) -> list[np.ndarray]:
     return [((h + step * np.uint64(i)) & np.uint64(size - 1)).astype(np.int64) for i in range(k)]
 
 
-def pieces(text: str) -> Iterator[str]:
-    """A long text in pieces of bounded size, cut where the count ends."""
-    for at in range(0, max(1, len(text)), TEXT_BYTES):
-        yield text[at : at + TEXT_BYTES]
-
-
 @dataclass
 class LanguageFilter:
     languages: list[str]
@@ -110,10 +111,9 @@ class LanguageFilter:
         if not self.languages or not has_letters(text):
             return UNKNOWN, 0.0
         total, counts = 0, np.zeros(len(self.languages))
-        for p in pieces(text):
-            codes = grams(normal(p))
+        for codes in grams(normal(text)):
             total += len(codes)
-            counts += self.hits(codes) if len(codes) else 0
+            counts += self.hits(codes)
         if not total:
             return self.languages[0], 0.0
         share = (counts / total - self.chance) / np.maximum(1e-9, 1 - self.chance)
@@ -153,8 +153,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for b in batches:
         for text, lang in zip(b.column(0), b.column(1), strict=True):
-            for p in pieces(text.as_py()):
-                codes = grams(normal(p))
+            for codes in grams(normal(text.as_py())):
                 waiting.setdefault(lang.as_py(), []).append(codes)
                 waits += len(codes)
                 if waits > 4_000_000:
@@ -174,11 +173,8 @@ def fit(docs: DataFrame) -> LanguageFilter:
     counts = taught.select("text", "lang").mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     counts = written(counts)
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
-    rates = counts.join(broadcast_if_small(written(totals)), "lang").withColumn("rate", F.col("n") / F.col("total"))
-    frequent = rates.filter(F.col("rate") >= RATE)
-    sums = rates.groupBy("gram").agg(F.sum("rate").alias("everywhere"))
-    chosen = frequent.join(sums, "gram").filter(F.col("rate") >= SHARE * F.col("everywhere")).select("lang", "gram")
-    rows = chosen.toArrow()
+    totals = written(totals)
+    rows = counts.join(broadcast_if_small(totals), "lang").filter(F.col("n") >= RATE * F.col("total")).select("lang", "gram").toArrow()
     languages = sorted(r["lang"] for r in totals.select("lang").collect())
     lang, gram = np.array(rows.column("lang").to_pylist(), dtype=object), rows.column("gram").to_numpy().view(np.uint64)
     return LanguageFilter.of(languages, [np.sort(gram[lang == x]) for x in languages])
@@ -202,7 +198,8 @@ def identify(docs: DataFrame, model: LanguageFilter | None = None) -> DataFrame:
     """One row per document: doc_id, held_out, lang_pred, score. Predictions use the text alone.
 
     Null texts and texts without letters are `und` with score 0; so is everything if nothing can be learned. Ties go to the
-    first language by name.
+    first language by name. Repeated rows get equal results; texts of any length count whole; an empty table gives no rows;
+    other columns are not read.
     """
     model = model or fit(docs)
     rows = docs.select("doc_id", "text").withColumn("said", predictor(docs, model)(F.col("text")))

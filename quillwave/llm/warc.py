@@ -9,7 +9,7 @@ The reader is splittable. Spark's text source cuts each byte range at the gzip m
 a range owns the pieces that start in it. From its first piece whose gzip header and WARC header decode, a range takes member
 after member; a piece that comes before a member is whole is data that happens to look like the magic. What stands before
 that first piece (the rest of a record, or a record cut in its head) is joined to the ranges before it.
-Archives must not be named so that Hadoop unpacks them itself (.gz).
+Archives named .gz are read as they lie too, but Hadoop splits no file of that name: each is one range, in pieces.
 """
 
 from __future__ import annotations
@@ -24,13 +24,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import broadcast_if_small, written
 
 #: Fixed values of RFC 1952: magic with method deflate; an empty member.
 MAGIC = b"\x1f\x8b\x08"
 EMPTY = b"\x1f\x8b\x08\x00\x00\x00\x00\x00\x02\xff\x03\x00\x00\x00\x00\x00\x00\x00\x00\x00"
 #: Payloads below this size are always stored.
 LEAST_BYTES = 100
+#: Digests of repeated payloads that may be broadcast (about 150 bytes each); they are counted first.
+BROADCAST_DIGESTS = 200_000
+#: Has Hadoop hand out the bytes of files named .gz unchanged; its shaded client knows the second setting under a longer name.
+AS_IS = {
+    "io.compression.codecs": "org.apache.hadoop.io.compress.PassthroughCodec",
+    "io.compress.passthrough.extension": ".gz",
+    "org.apache.hadoop.shaded.io.compress.passthrough.extension": ".gz",
+}
 
 RECORD = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary"
 
@@ -47,15 +55,20 @@ def _line(value: str) -> str:
     return re.sub(r"[\r\n]+", " ", value)
 
 
-def encode_record(page_id: int | None, url: str | None, kind: str, refers_to: int | None, digest: str, size: int, payload: bytes) -> bytes:
+def record_name(page_id: int | None, url: str | None, digest: str) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id}:{url}:{digest}')}>"
+
+
+def encode_record(page_id: int | None, url: str | None, kind: str, refers_to: int | None, digest: str, size: int, payload: bytes, refers_url: str | None = None) -> bytes:
     """A WARC/1.1 response or revisit record; the HTTP header tells the size of the full payload in either."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
     block = http + (payload if kind == "response" else b"")
-    name = uuid.uuid5(uuid.NAMESPACE_URL, f"{page_id}:{url}:{digest}")
-    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{name}>", "WARC-Date: 1970-01-01T00:00:00Z", f"WARC-Payload-Digest: sha256:{digest}"]
+    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {record_name(page_id, url, digest)}", "WARC-Date: 1970-01-01T00:00:00Z", f"WARC-Payload-Digest: sha256:{digest}"]
     head += [f"WARC-Target-URI: {_line(url)}"] if url is not None else []
     head += [f"Page-Id: {page_id}"] if page_id is not None else []
-    head += [f"Refers-To-Page-Id: {refers_to}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"] if kind == "revisit" else []
+    if kind == "revisit":
+        head += [f"WARC-Refers-To: {record_name(refers_to, refers_url, digest)}", f"Refers-To-Page-Id: {refers_to}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
+        head += [f"WARC-Refers-To-Target-URI: {_line(refers_url)}"] if refers_url is not None else []
     head += ["Content-Type: application/http;msgtype=response", f"Content-Length: {len(block)}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -122,24 +135,27 @@ class Members:
 
 
 def with_duplicates(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
-    """pages with payload (binary), digest, and first_id: the smallest page_id of equal payloads of at least `least_bytes`.
+    """pages with payload (binary), digest, and first_id, first_url: the smallest page_id of equal payloads of at least `least_bytes`.
 
-    Only payloads that occur more than once go into the join, one row each; the pages' side may be skewed, which AQE splits.
+    Only digests that occur more than once go into the join, one row each: broadcast when counted small, so that no payload
+    is shuffled; else a shuffle join, whose skewed side AQE splits.
     """
     rows = pages.select("page_id", "url", F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumn("digest", F.sha2("payload", 256))
     large = rows.filter(F.length("payload") >= least_bytes)
-    again = large.groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    return rows.join(again.select(F.col("digest").alias("of"), "first_id"), F.col("digest") == F.col("of"), "left").drop("of")
+    first = F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url")))
+    again = large.groupBy(F.col("digest").alias("of")).agg(first.alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    again = written(again.select("of", F.col("first.page_id").alias("first_id"), F.col("first.url").alias("first_url")))
+    return rows.join(broadcast_if_small(again, BROADCAST_DIGESTS), F.col("digest") == F.col("of"), "left").drop("of")
 
 
 def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         out = []
-        for page_id, url, payload, digest, first in zip(*(b.column(i) for i in range(5)), strict=True):
+        for page_id, url, payload, digest, first, first_url in zip(*(b.column(i) for i in range(6)), strict=True):
             page_id, first, payload = page_id.as_py(), first.as_py(), payload.as_py()
             kind = "response" if first is None or first == page_id else "revisit"
-            out.append(member(encode_record(page_id, url.as_py(), kind, first if kind == "revisit" else None, digest.as_py(), len(payload), payload)))
+            out.append(member(encode_record(page_id, url.as_py(), kind, first if kind == "revisit" else None, digest.as_py(), len(payload), payload, first_url.as_py())))
         yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["member"])
 
 
@@ -147,8 +163,9 @@ def write_warc(pages: DataFrame, path: str, least_bytes: int = LEAST_BYTES) -> N
     """One record per row of pages(page_id, url, html) below `path`; a null html is an empty payload.
 
     Null ids and urls are left out of the record. If rows repeat with the smallest page_id of a payload, each is a response.
+    Payloads of any length are stored whole. An empty table writes no record; other columns are not read.
     """
-    rows = with_duplicates(pages, least_bytes).select("page_id", "url", "payload", "digest", "first_id")
+    rows = with_duplicates(pages, least_bytes).select("page_id", "url", "payload", "digest", "first_id", "first_url")
     members = rows.mapInArrow(_encode, "member binary")
     members.select(F.col("member").cast("string").alias("value")).write.option("lineSep", "\x00").text(path)
 
@@ -213,7 +230,7 @@ def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFram
     Digests of responses are checked; a damaged record is an error. Without `payloads` they are dropped in the tasks. The
     rare records cut by a false magic at the end of a range or in their own head are joined by a small shuffle by file.
     """
-    pieces = spark.read.option("lineSep", MAGIC.decode("latin-1")).option("encoding", "ISO-8859-1").text(path)
+    pieces = spark.read.options(lineSep=MAGIC.decode("latin-1"), encoding="ISO-8859-1", **AS_IS).text(path)
     pieces = pieces.select(F.col("value").cast("binary").alias("value"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
     names = [x.split()[0] for x in RECORD.split(", ")]
     found = pieces.mapInArrow(_decode, f"{RECORD}, file string, start long, piece binary")

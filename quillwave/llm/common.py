@@ -19,15 +19,17 @@ BROADCAST_ROWS = 100_000
 def shared_dir(spark: SparkSession) -> str:
     """A new path below the folder that the cluster names in spark.checkpoint.dir.
 
-    Where the setting is absent (tests, a single machine) a temporary folder of this machine is set once.
+    Where the setting is absent, a session on one machine (master local) sets a temporary folder once; any other is an error,
+    as executors would write where the driver cannot read.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        known = spark.sparkContext.getCheckpointDir()
-        if known is None:
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quillwave-"))
-            known = spark.sparkContext.getCheckpointDir()
-        base = known
+        context = spark.sparkContext
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        if context.getCheckpointDir() is None:
+            context.setCheckpointDir(tempfile.mkdtemp(prefix="quillwave-"))
+        base = context.getCheckpointDir()
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 

@@ -190,8 +190,9 @@ def label(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, fp, root (smallest fingerprint reachable), component_id (smallest doc_id reachable).
 
     Null texts have the fingerprint 0, as have texts without words, and link like any other. Null ids are passed over in
-    component_id, which is null only where all ids of a component are. Repeated rows are one node. A group of copies of any
-    size is one fingerprint; the join that spreads its result over its rows may be skewed, which AQE splits.
+    component_id, which is null only where all ids of a component are. Repeated rows are one node. Texts of any length count
+    whole; an empty table gives no rows; other columns are not read. A group of copies of any size is one fingerprint; what
+    is joined to a large group's rows is written first, so it is broadcast when counted small, else AQE splits the group.
     """
     udf = F.arrow_udf(_fingerprints, "long")
     rows = written(docs.select("doc_id", udf(F.col("text")).alias("fp")))
@@ -199,9 +200,11 @@ def label(docs: DataFrame) -> DataFrame:
     wide = nodes.count() > WIDE
     found = components(links(nodes, WIDE_BLOCKS if wide else BLOCKS))
     nodes = nodes.join(found, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    least = nodes.groupBy("root").agg(F.min("first").alias("component_id"))
-    known = written(nodes.join(least, "root").select(F.col("fp").alias("of"), "root", "component_id"))
-    return rows.join(known, F.col("fp") == F.col("of")).select("doc_id", "fp", "root", "component_id")
+    nodes = written(nodes)
+    least = written(nodes.groupBy(F.col("root").alias("of")).agg(F.min("first").alias("component_id")))
+    known = nodes.join(broadcast_if_small(least), F.col("root") == F.col("of")).select("fp", "root", "component_id")
+    known = written(known.withColumnRenamed("fp", "of"))
+    return rows.join(broadcast_if_small(known), F.col("fp") == F.col("of")).select("doc_id", "fp", "root", "component_id")
 
 
 def report(docs: DataFrame) -> DataFrame:
@@ -209,17 +212,23 @@ def report(docs: DataFrame) -> DataFrame:
     return label(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+#: Ids of removed documents that may be broadcast (8 bytes each); they are counted first.
+BROADCAST_IDS = 1_000_000
+
+
 def deduplicate(docs: DataFrame) -> DataFrame:
     """The rows of `docs`, all columns: of each component the document with the smallest id (of equal ids, the smallest fingerprint).
 
-    Repeats of that row go as well. A component whose ids are all null keeps one document.
+    Repeats of that row go as well. A component whose ids are all null keeps one document. Where ids are unique, the texts
+    are not shuffled while the removed ids can be broadcast.
     """
     labelled = written(label(docs))
-    kept = labelled.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min(F.struct(F.col("doc_id"), F.col("fp"))).alias("k"))
-    kept = kept.select(F.col("k.doc_id").alias("__kept_id"), F.col("k.fp").alias("__kept_fp"))
     ids = labelled.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
     if ids.filter("doc_id IS NULL OR n > 1").limit(1).count() == 0:
-        return docs.join(kept, docs["doc_id"] == F.col("__kept_id"), "left_semi")
+        removed = written(labelled.filter("doc_id <> component_id").select(F.col("doc_id").alias("__gone")))
+        return docs.join(broadcast_if_small(removed, BROADCAST_IDS), docs["doc_id"] == F.col("__gone"), "left_anti")
+    kept = labelled.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min(F.struct(F.col("doc_id"), F.col("fp"))).alias("k"))
+    kept = kept.select(F.col("k.doc_id").alias("__kept_id"), F.col("k.fp").alias("__kept_fp"))
     marked = docs.withColumn("__fp", F.arrow_udf(_fingerprints, "long")(docs["text"]))
     marked = marked.join(kept, F.col("doc_id").eqNullSafe(F.col("__kept_id")) & (F.col("__fp") == F.col("__kept_fp")), "left_semi")
     return marked.dropDuplicates(["doc_id", "__fp"]).drop("__fp")

@@ -3,9 +3,10 @@
 Each task turns its documents, a few MB at a time, into a shard: word numbers of all texts in a row, and the suffix array
 of the positions at which a test suffix can match at all (the array is sparse: the first words there occur at the start of
 a test suffix). Every test suffix is looked up in the shard by binary search; the range found holds all its occurrences.
-Runs of occurrences on one diagonal give the longest verbatim match of a document and an item, with its place in both.
+The array is sorted WINDOW words deep, which is all that a hit needs; runs of occurrences on one diagonal give the longest
+verbatim match of a document and an item, with its place in both.
 
-The tests are broadcast up to a checked size; larger benchmarks go in blocks of that size, one pass each.
+The tests are broadcast up to a checked size; larger benchmarks go in blocks of that size, one pass over the texts each.
 """
 
 from __future__ import annotations
@@ -25,8 +26,8 @@ WINDOW = 10
 #: Words at a suffix's start that decide whether it enters the suffix array.
 STEM = 3
 SHARD_BYTES = 4_000_000
-#: Text of test items that one broadcast may hold.
-BLOCK_BYTES = 32_000_000
+#: Text of test items that one broadcast may hold; its windows take some twenty times as much on the driver and in a worker.
+BLOCK_BYTES = 4_000_000
 
 FOUND = "n_words long, hits array<struct<lo:int,hi:int>>, matches array<struct<item_id:long,words:int,doc_word:int,item_word:int>>"
 
@@ -49,18 +50,21 @@ class Tests:
     @classmethod
     def of(cls, items: list[tuple[int | None, bytes | None]], window: int = WINDOW) -> Tests:
         made = cls()
-        by_length: dict[int, list[tuple[list[int], int, int]]] = {}
+        texts: list[np.ndarray] = []
         for item_id, text in items:
-            words = [made.numbers.setdefault(w, len(made.numbers) + 1) for w in words_of(text)]
-            n = min(window, len(words))
-            for at in range(len(words) - n + 1) if n else ():
-                by_length.setdefault(n, []).append((words[at : at + n], len(made.ids), at))
+            texts.append(np.fromiter((made.numbers.setdefault(w, len(made.numbers) + 1) for w in words_of(text)), np.int32))
             made.ids.append(item_id)
-        for n, rows in sorted(by_length.items()):
-            windows = np.array([r[0] for r in rows], np.int32)
+        counts = np.fromiter(map(len, texts), np.int64, len(texts))
+        flat, starts, depth = np.concatenate([np.zeros(0, np.int32), *texts]), np.cumsum(counts) - counts, np.minimum(counts, window)
+        for n in np.unique(depth[depth > 0]).tolist():
+            own = np.flatnonzero(depth == n)
+            many = counts[own] - n + 1
+            item = np.repeat(own, many)
+            at = _ragged(starts[own], many)
+            windows = flat[at[:, None] + np.arange(n)]
             keys, inverse = np.unique(as_keys(windows), return_inverse=True)
             order = np.argsort(inverse, kind="stable")
-            place = np.array([(r[1], r[2]) for r in rows], np.int64)[order]
+            place = np.stack([item, at - starts[item]], 1).astype(np.int32)[order]
             stems = np.zeros(1 << 22, bool)
             stems[stem_hash(*(windows[:, i] for i in range(min(n, STEM))))] = True
             made.groups.append((n, keys, np.searchsorted(inverse[order], np.arange(len(keys) + 1)), place, stems))
@@ -182,6 +186,7 @@ def with_matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", wind
 
     A window is `window` consecutive words of an item; an item of fewer, but not none, is one window. Null and empty texts
     have no words; a null item_id stays null in the matches. Equal items all match. Repeated documents get equal results.
+    Texts of any length are searched whole. Empty tables give no rows, or no hits. Extra columns of `docs` stay as they are.
     """
     items = benchmark.select("item_id", "text")
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]

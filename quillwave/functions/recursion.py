@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BLOCK = 100_000
+#: exp(-SETTLED) of a state's error is left; below the precision of a double.
+SETTLED = 40.0
 
 
 def alpha_of(ms: float, rate_hz: float) -> float:
@@ -63,24 +65,24 @@ def linear_ema(series: DataFrame, alpha: float, value: str = "value", block: int
     return part.join(starts, ["series_id", "block"]).select("series_id", "pos", (F.col("smooth") + F.col("start") * F.pow(F.lit(alpha), F.col("k"))).alias("smooth"))
 
 
-def asymmetric_ema(series: DataFrame, attack: float, release: float, start: float = 0.0, value: str = "value") -> DataFrame:
-    """series(series_id, pos, value) with `smooth`; one task per series, as each row needs the one before."""
-
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values("pos")
-        return pd.DataFrame({"series_id": p.series_id, "pos": p.pos, "smooth": asymmetric(p.x.to_numpy(), attack, release, start)})
+def asymmetric_ema(series: DataFrame, attack: float, release: float, start: float = 0.0, value: str = "value", block: int = BLOCK) -> DataFrame:
+    """series(series_id, pos, value) with `smooth`, in blocks of positions.
 
+    Every step brings any two states nearer by the larger factor at least, so a block that begins SETTLED steps early, from
+    any state, is right to the last bits when its own rows come; the first block begins at `start`.
+    """
+    slowest = max(attack, release)
+    early = int(math.ceil(SETTLED / -math.log(slowest))) if slowest > 0 else 1
+    block = max(block, 4 * early)
     rows = series.select("series_id", "pos", F.col(value).cast("double").alias("x"))
-    return rows.groupBy("series_id").applyInPandas(run, "series_id string, pos long, smooth double")
+    own = F.floor(F.col("pos") / block)
+    rows = rows.withColumn("home", F.explode(F.array_distinct(F.array(own, F.floor((F.col("pos") + early) / block)))))
 
+    def run(p: pd.DataFrame) -> pd.DataFrame:
+        p = p.sort_values("pos")
+        now = start if p.home.iloc[0] == 0 else float(p.x.iloc[0])
+        out = pd.DataFrame({"series_id": p.series_id, "pos": p.pos, "smooth": asymmetric(p.x.to_numpy(), attack, release, now)})
+        return out[(p.pos // block).to_numpy() == p.home.to_numpy()]
 
-def asymmetric_fold(targets, attack: float, release: float, start: float = 0.0):
-    """The same as a column over a short array of targets: nothing leaves the JVM."""
-    first = F.struct(F.lit(start).alias("now"), F.expr("cast(array() as array<double>)").alias("out"))
-
-    def step(s, t):
-        a = F.when(t < s["now"], F.lit(attack)).otherwise(F.lit(release))
-        now = a * s["now"] + (1 - a) * t
-        return F.struct(now.alias("now"), F.concat(s["out"], F.array(now)).alias("out"))
-
-    return F.aggregate(targets, first, step, lambda s: s["out"])
+    kind = rows.schema["series_id"].dataType.simpleString()
+    return rows.groupBy("series_id", "home").applyInPandas(run, f"series_id {kind}, pos long, smooth double")

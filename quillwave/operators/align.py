@@ -8,12 +8,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .frames import clamp, onepole_envelope
-from .gain import apply_gain, combine_gain, detect_phrases, fades, reactive_gain, script_gain
+from .gain import apply_gain, combine_gain, detect_phrases, fades, safety_gain, script_gain
 
 
-def _positions(n: Column | int) -> Column:
-    n = F.lit(n) if isinstance(n, int) else n
-    return F.explode(F.sequence(F.lit(0).cast("long"), (n - 1).cast("long")))
+#: Positions that one row of the axis is spread to.
+STRETCH = 10_000
+
+
+def _axis(df: DataFrame, n: Column, name: str) -> DataFrame:
+    """df, a row or few, with each position from 0 to n - 1 as `name`: stretches first, dealt over the tasks, then positions."""
+    rows = df.withColumn("__n", n.cast("long")).filter("__n > 0")
+    rows = rows.withColumn("__s", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("__n") - 1) / STRETCH)))).repartition("__s")
+    rows = rows.withColumn(name, F.explode(F.sequence(F.col("__s") * STRETCH, F.least((F.col("__s") + 1) * STRETCH, F.col("__n")) - 1)))
+    return rows.drop("__n", "__s")
 
 
 def length_of(series: DataFrame) -> DataFrame:
@@ -23,7 +30,7 @@ def length_of(series: DataFrame) -> DataFrame:
 def align_overlay(voice: DataFrame, music: DataFrame, rate_hz: float, pre_roll_sec: float = 4.0, post_roll_sec: float = 8.0) -> DataFrame:
     """(pos, voice, music) over pre-roll + voice + post-roll; what is missing is 0."""
     pre, post = int(pre_roll_sec * rate_hz), int(post_roll_sec * rate_hz)
-    rows = length_of(voice).select(_positions(F.col("n") + pre + post).alias("pos"))
+    rows = _axis(length_of(voice), F.col("n") + pre + post, "pos").select("pos")
     rows = rows.join(voice.select((F.col("pos") + pre).alias("pos"), F.col("value").alias("voice")), "pos", "left")
     rows = rows.join(music.select("pos", F.col("value").alias("music")), "pos", "left")
     return rows.select("pos", F.coalesce("voice", F.lit(0.0)).alias("voice"), F.coalesce("music", F.lit(0.0)).alias("music"))
@@ -33,9 +40,9 @@ def mix(voice: DataFrame, music: DataFrame, rate_hz: float, duck_db: float = -15
     """(pos, value): aligned, the music lowered and under the combined gain of phrases and level, summed, faded."""
     both = align_overlay(voice, music, rate_hz, pre_roll_sec, post_roll_sec)
     spoken = both.select(F.lit("v").alias("series_id"), "pos", F.col("voice").alias("value"))
-    envelope = onepole_envelope(spoken, rate_hz)
+    phrases = detect_phrases(onepole_envelope(spoken, rate_hz), rate_hz)
     lengths = both.agg(((F.max("pos") + 1) / rate_hz).alias("duration_sec")).select(F.lit("v").alias("series_id"), "duration_sec")
-    gain = combine_gain(script_gain(detect_phrases(envelope, rate_hz), lengths, rate_hz, duck_db), reactive_gain(envelope, duck_db))
+    gain = combine_gain(script_gain(phrases, lengths, rate_hz, duck_db), safety_gain(spoken, rate_hz, duck_db))
     bed = apply_gain(both.select("pos", (F.col("music") * (10 ** (music_db / 20))).alias("value")), gain)
     mixed = both.join(bed, "pos").select(F.lit("mix").alias("series_id"), "pos", (F.col("voice") + F.col("value")).alias("value"))
     return fades(mixed, rate_hz, fade_in_sec, fade_out_sec).select("pos", "value")
@@ -69,7 +76,7 @@ def fit_length(source: DataFrame, n_target: int, rate_hz: int, crossfade_ms: flo
     """
     n = length_of(source).select(F.lit(0).alias("job_id"), F.col("n").alias("n_source"), F.lit(n_target).alias("n_target"), F.lit(rate_hz).alias("rate_hz"))
     plan = fit_plan(n, crossfade_ms)
-    rows = plan.filter("n_target > 0").select("n_source", "seam", _positions(F.col("n_target")).alias("out"))
+    rows = _axis(plan.select("n_source", "seam", "n_target"), F.col("n_target"), "out")
     stride = F.col("n_source") - F.col("seam")
     loop = F.floor(F.col("out") / stride)
     place = F.col("out") - loop * stride
@@ -115,7 +122,7 @@ def wet_dry_blend(dry: DataFrame, wet: DataFrame, wet_amount: float) -> DataFram
 
 def resample_linear(series: DataFrame, rate_from: int, rate_to: int) -> DataFrame:
     """(pos, value) at another rate by linear interpolation; the last value is held. Each target row reads two source rows."""
-    target = length_of(series).select(_positions(F.floor(F.col("n") * rate_to / rate_from)).alias("out"), "n")
+    target = _axis(length_of(series), F.floor(F.col("n") * rate_to / rate_from), "out")
     exact = F.col("out") * F.lit(rate_from) / F.lit(float(rate_to))
     low = F.least(F.floor(exact), F.col("n") - 1)
     part = F.least(exact, F.col("n") - 1.0) - low

@@ -208,23 +208,11 @@ def _biquads(rate: float) -> list[tuple[np.ndarray, np.ndarray]]:
 
 
 def k_weighted(signal: DataFrame, rate_hz: float) -> DataFrame:
-    """The series after the loudness weighting; a recursion, so one task per series."""
-    stages = _biquads(rate_hz)
+    """The series after the loudness weighting, channel by channel, in blocks of positions."""
+    from ..functions.filters import chained, filtered, space
 
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values("pos")
-        x = p.value.to_numpy(float)
-        for b, a in stages:
-            z1 = z2 = 0.0
-            y = np.empty(len(x))
-            for i, v in enumerate(x.tolist()):
-                o = b[0] * v + z1
-                z1, z2 = b[1] * v - a[1] * o + z2, b[2] * v - a[2] * o
-                y[i] = o
-            x = y
-        return p.assign(value=x)
-
-    return signal.select("series_id", "channel", "pos", F.col("value").cast("double").alias("value")).groupBy("series_id", "channel").applyInPandas(run, "series_id string, channel int, pos long, value double")
+    system = chained(*(space(b, a) for b, a in _biquads(rate_hz)))
+    return filtered(signal, system, by=("series_id", "channel"))
 
 
 def gated_loudness(signal: DataFrame, rate_hz: float, target_lufs: float = -18.0, weighted: bool = True) -> DataFrame:
@@ -249,11 +237,18 @@ def gated_loudness(signal: DataFrame, rate_hz: float, target_lufs: float = -18.0
     return rows.select("series_id", "lufs", F.when(none, F.lit(1.0)).otherwise(F.pow(F.lit(10.0), (aim - F.col("lufs")) / 20)).alias("gain"))
 
 
-def lookahead_limit(signal: DataFrame, rate_hz: float, threshold_db: float = -1.0, margin_db: float = 0.3, lookahead_ms: float = 2.0) -> DataFrame:
-    """Each row's gain is the smallest that it or the rows of the next `lookahead_ms` need."""
+def lookahead_limit(signal: DataFrame, rate_hz: float, threshold_db: float = -1.0, margin_db: float = 0.3, lookahead_ms: float = 2.0, smooth_hz: float = 200.0) -> DataFrame:
+    """Each row's gain is the smallest that it or the rows of the next `lookahead_ms` need, or less where a zero-phase low pass
+    at `smooth_hz` (0: none) rounds it. Peaks between samples are not looked for: there is no oversampling.
+    """
+    from ..functions.filters import low_pass, zero_phase
+
     top, ahead = 10 ** ((threshold_db - margin_db) / 20), max(1, int(rate_hz * lookahead_ms / 1000))
     own = F.least(F.lit(1.0), F.lit(top) / F.greatest(F.abs("value"), F.lit(1e-12)))
     rows = blocked(signal, 0, ahead - 1, lambda w: {"gain": F.min(own).over(w.rowsBetween(0, ahead - 1))})
+    if smooth_hz > 0:
+        smooth = zero_phase(rows.select("series_id", "pos", F.col("gain").alias("value")), low_pass(min(smooth_hz, 0.45 * rate_hz), rate_hz)).withColumnRenamed("value", "smooth")
+        rows = rows.join(smooth, ["series_id", "pos"]).withColumn("gain", F.least("gain", "smooth")).drop("smooth")
     return rows.withColumn("value", F.greatest(F.least(F.col("value") * F.col("gain"), F.lit(top)), F.lit(-top)))
 
 

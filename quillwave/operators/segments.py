@@ -62,14 +62,18 @@ def _numbered(rows: DataFrame, order: str) -> DataFrame:
     return rows.withColumn("seg_no", (F.row_number().over(by) - 1).cast("int")).select(*SEGMENTS)
 
 
-def _merge_pauses(segments: DataFrame, length: Column, source: Column) -> DataFrame:
-    """Each run of pauses becomes one row; a run is told by how many other rows stand before it."""
-    run = F.sum((F.col("type") != "pause").cast("int")).over(_in_script().rowsBetween(Window.unboundedPreceding, 0))
-    rows = segments.withColumn("run", run)
-    pauses = rows.filter(F.col("type") == "pause").groupBy("script_id", "run").agg(F.min("seg_no").alias("seg_no"), length.alias("duration_sec"), source.alias("source"))
-    pauses = pauses.select("script_id", "seg_no", F.lit("pause").alias("type"), F.lit(None).cast("string").alias("text"), "duration_sec", "source", F.lit(None).cast("string").alias("subtype"), F.lit(None).cast("string").alias("voice"))
-    others = rows.filter(F.col("type") != "pause").select(*SEGMENTS)
-    return _numbered(others.unionByName(pauses).withColumnRenamed("seg_no", "at"), "at")
+def _merge_pauses(segments: DataFrame, length) -> DataFrame:
+    """Each run of pauses becomes its first row, with `length`(window) of the run; a run is told by how many other rows stand before it.
+
+    Every other row is a run of its own, so all rows go through the same windows, once, in one partitioning by script.
+    """
+    pause = F.col("type") == "pause"
+    run = F.sum((~pause).cast("int")).over(_in_script().rowsBetween(Window.unboundedPreceding, 0))
+    rows = segments.withColumn("run", run).withColumn("pause", pause)
+    whole = Window.partitionBy("script_id", "run", "pause")
+    rows = rows.withColumns({"total": length(whole), "from": F.min("source").over(whole), "k": F.row_number().over(whole.orderBy("seg_no"))}).filter("k = 1")
+    rows = rows.withColumns({"duration_sec": F.col("total"), "source": F.col("from")})
+    return _numbered(rows.withColumnRenamed("seg_no", "at"), "at")
 
 
 def paragraph_pause_priority(scripts: DataFrame, pause_sec: float = PARAGRAPH_FIRST) -> DataFrame:
@@ -77,7 +81,7 @@ def paragraph_pause_priority(scripts: DataFrame, pause_sec: float = PARAGRAPH_FI
     spoken = strip(F.col("text")) != ""
     marked = scripts.withColumn("text", F.when(spoken, F.regexp_replace("text", r"\n\n+", f" [para-pause:{pause_sec}s] ")).otherwise(F.col("text")))
     explicit = F.sum(F.when(F.col("source") == "explicit", F.col("duration_sec")))
-    return _merge_pauses(tokenize_segments(normalize_tags(marked), voices=False), F.coalesce(explicit, F.sum("duration_sec")), F.min("source"))
+    return _merge_pauses(tokenize_segments(normalize_tags(marked), voices=False), lambda w: F.coalesce(explicit.over(w), F.sum("duration_sec").over(w)))
 
 
 def paragraph_pause_suppress(scripts: DataFrame, pause_sec: float = PARAGRAPH_SECOND) -> DataFrame:
@@ -91,12 +95,12 @@ def paragraph_pause_suppress(scripts: DataFrame, pause_sec: float = PARAGRAPH_SE
 
 def merge_pauses_sum(segments: DataFrame) -> DataFrame:
     """Back-to-back pauses add up."""
-    return _merge_pauses(segments, F.sum("duration_sec"), F.min("source"))
+    return _merge_pauses(segments, lambda w: F.sum("duration_sec").over(w))
 
 
 def merge_pauses_max(segments: DataFrame) -> DataFrame:
     """A run of pauses keeps the longest; a voice row between two pauses ends the run."""
-    return _merge_pauses(segments, F.max("duration_sec"), F.min("source"))
+    return _merge_pauses(segments, lambda w: F.max("duration_sec").over(w))
 
 
 def voice_fill_forward(segments: DataFrame) -> DataFrame:

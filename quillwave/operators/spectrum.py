@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import written
 from . import frames as L
 
 # Fixed limits and weights.
@@ -152,8 +153,12 @@ def gain_rate(signal: DataFrame, rate_hz: float, window_ms: float = 100.0, most:
 
 
 def metrics(signal: DataFrame, rate_hz: float, size: int, warm=WARM, present=PRESENT, band=BAND, weighted: bool = True, quiet: float = L.SILENCE) -> DataFrame:
-    """All metrics and their verdicts, one row per series: what report and score are made from."""
-    spectrum = dft_frames(signal, rate_hz, size)
+    """All metrics and their verdicts, one row per series: what report and score are made from.
+
+    Eleven metrics read the series and seven of them its spectrum; both are written once.
+    """
+    signal = written(signal)
+    spectrum = written(dft_frames(signal, rate_hz, size))
     lengths = signal.groupBy("series_id").agg(((F.max("pos") + 1) / rate_hz).alias("duration_sec"))
     tables = {
         "balance": band_balance(spectrum, warm, present), "rolloff": rolloff(spectrum), "onset": onset_strength(spectrum), "clipping": L.clipping(signal), "flatness": flatness(spectrum, band),

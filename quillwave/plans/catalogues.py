@@ -78,7 +78,7 @@ def _slerp(s: SparkSession, d: str) -> DataFrame:
 
 
 def _presets(s: SparkSession, d: str) -> DataFrame:
-    rows = table(s, d, "embeddings").select("label", "vec_id").filter("label < 3 AND vec_id < 60")
+    rows = table(s, d, "embeddings").select("label", "vec_id").filter("label IS NOT NULL")
     return rows.select(F.concat(F.lit("preset"), "label").alias("preset"), F.col("vec_id").alias("ordinal"), F.col("vec_id").cast("string").alias("id"), (1.0 / (F.col("vec_id") + 1)).alias("weight"), F.when(F.col("label") == 2, "extrapolation").otherwise("slerp").alias("method"))
 
 
@@ -121,7 +121,7 @@ def _jobs(s: SparkSession, d: str) -> DataFrame:
 STEM = r"regexp_replace(regexp_extract(url, '([^/?#]*)(?:[?#].*)?$', 1), '\.[^.]*$', '')"
 EXT = r"lower(regexp_extract(regexp_extract(url, '([^/?#]*)(?:[?#].*)?$', 1), '\.([^.]*)$', 1))"
 BLENDS = "WITH bl AS (SELECT 'b' || (vec_id // 4) AS blend, vec_id % 4 AS ordinal, embedding, CASE vec_id % 4 WHEN 0 THEN 0.6 WHEN 1 THEN 0.3 WHEN 2 THEN 0.1 ELSE -0.05 END AS weight FROM embeddings WHERE vec_id IS NOT NULL), l AS (SELECT blend, ordinal, weight, unnest(range(0, len(embedding))) AS dim, CAST(unnest(embedding) AS DOUBLE) AS x FROM bl)"
-_PRESETS = "p AS (SELECT 'preset' || label AS preset, vec_id AS ordinal, CAST(vec_id AS VARCHAR) AS id, 1.0 / (vec_id + 1) AS weight, CASE WHEN label = 2 THEN 'extrapolation' ELSE 'slerp' END AS method FROM embeddings WHERE label < 3 AND vec_id < 60)"
+_PRESETS = "p AS (SELECT 'preset' || label AS preset, vec_id AS ordinal, CAST(vec_id AS VARCHAR) AS id, 1.0 / (vec_id + 1) AS weight, CASE WHEN label = 2 THEN 'extrapolation' ELSE 'slerp' END AS method FROM embeddings WHERE label IS NOT NULL)"
 RESOLVED = f"WITH {_PRESETS}, sp AS (SELECT DISTINCT CASE vec_id % 3 WHEN 0 THEN 'preset' || label WHEN 1 THEN concat_ws(', ', vec_id, vec_id + 1, vec_id + 2) ELSE CAST(vec_id AS VARCHAR) END AS spec FROM embeddings), o AS (SELECT spec, string_split(spec, ',') AS ids FROM sp WHERE spec NOT IN (SELECT preset FROM p)), res AS (SELECT spec, ordinal, id, weight, method FROM sp JOIN p ON spec = preset UNION ALL SELECT spec, unnest(range(0, len(ids))), trim(unnest(ids)), 1.0 / len(ids), CASE WHEN len(ids) > 1 THEN 'slerp' ELSE 'single' END FROM o)"
 PAIRS = f"WITH r AS (SELECT {STEM} AS stem, {EXT} AS ext, url AS path, page_id FROM pages), a AS (SELECT stem, path FROM r WHERE ext = 'html'), t AS (SELECT stem, CASE WHEN page_id % 3 = 0 THEN '' ELSE 't' || page_id END AS text FROM r WHERE page_id % 2 = 0)"
 PROMPTS = f"WITH pr AS (SELECT doc_id AS prompt_id, coalesce(text, '') || '{PROBE}' AS text FROM documents), q AS (SELECT prompt_id, list_filter(list_transform(string_split(text, ','), lambda x : regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x : x <> '') AS a FROM pr), w AS (SELECT prompt_id, unnest(range(0, len(a))) AS ordinal, unnest(a) AS part FROM q), terms AS (SELECT prompt_id, CAST(ordinal AS INT) AS ordinal, CASE WHEN part LIKE '%:%' THEN trim(regexp_extract(part, '(?s)^(.*):(.*)$', 1)) ELSE part END AS term, CASE WHEN part LIKE '%:%' THEN coalesce(TRY_CAST(trim(regexp_extract(part, '(?s)^(.*):(.*)$', 2)) AS DOUBLE), 1.0) ELSE 1.0 END AS weight FROM w)"

@@ -77,7 +77,7 @@ _FADE = "((exp(4 * ({0})) - 1) / (exp(4.0) - 1))"
 QUERIES = {
     "detect_phrases": (_phrases, PHRASES + " SELECT series_id, phrase_no, start_sec, end_sec FROM phrases"),
     "long_pauses": (lambda s, d: _r(G.long_pauses(_phrases(s, d), _lengths(s, d), 0.5, 100.0, 50.0), "plateau_start", "plateau_end"), PHRASES + ", g AS (SELECT series_id, coalesce(lag(end_sec) OVER (PARTITION BY series_id ORDER BY phrase_no), 0) AS gap_start, start_sec AS gap_end FROM phrases UNION ALL SELECT p.series_id, max(end_sec), any_value(duration_sec) FROM phrases p JOIN lengths l ON p.series_id = l.series_id GROUP BY 1) SELECT series_id, CAST(gap_start AS DOUBLE) AS gap_start, gap_end, round(gap_start + 0.1, 6) AS plateau_start, round(gap_end - 0.05, 6) AS plateau_end FROM g WHERE gap_end - gap_start >= 0.5"),
-    "script_gain": (lambda s, d: _r(G.script_gain(_phrases(s, d), _lengths(s, d), RATE, smooth_rows=7), "gain_db"), None),
+    "script_gain": (lambda s, d: _r(G.script_gain(_phrases(s, d), _lengths(s, d), RATE), "gain_db"), None),
     "reactive_gain": (lambda s, d: _r(_reactive(s, d), "gain_db"), ENV + f" SELECT series_id, pos, round({_REACT}, 6) AS gain_db FROM env"),
     "combine_gain": (lambda s, d: _r(G.combine_gain(_stepped(s, d), _reactive(s, d)), "gain_db"), ENV + f" SELECT series_id, pos, round(CASE WHEN pos // 50 % 3 = 0 THEN 1.5 ELSE least(-4.0, {_REACT}) END, 6) AS gain_db FROM env"),
     "apply_gain": (lambda s, d: _r(G.apply_gain(two_signals(s, d)[1], _stepped(s, d).filter("series_id = 'view'")), "value"), TWO + " SELECT pos, round(value * pow(10, CASE WHEN pos // 50 % 3 = 0 THEN 1.5 ELSE -4.0 END / 20), 6) AS value FROM music"),
@@ -92,7 +92,10 @@ QUERIES = {
     "segment_fades": (lambda s, d: _r(G.segment_fades(signal(s, d), RATE).select("series_id", "pos", "value"), "value"), f"WITH {SIGNAL_SQL}, x AS (SELECT series_id, pos + 2 AS pos, value FROM signal UNION ALL SELECT DISTINCT series_id, unnest([0, 1]), 0.0 FROM signal), n AS (SELECT *, max(pos) OVER (PARTITION BY series_id) + 1 AS n FROM x) SELECT series_id, pos, round(value * CASE WHEN pos < 10 THEN (1 - cos(pi() * pos / 9.0)) / 2 ELSE 1 END * CASE WHEN pos >= n - 5 THEN (1 - cos(pi() * (1 - (pos - (n - 5)) / 4.0))) / 2 ELSE 1 END, 6) AS value FROM n"),
     "align_overlay": (lambda s, d: _r(A.align_overlay(*two_signals(s, d), RATE), "voice", "music"), TWO + ", p AS (SELECT unnest(range(0, (SELECT max(pos) + 1 + 1200 FROM voice))) AS pos) SELECT p.pos, round(coalesce(v.value, 0), 6) AS voice, round(coalesce(m.value, 0), 6) AS music FROM p LEFT JOIN voice v ON v.pos + 400 = p.pos LEFT JOIN music m ON m.pos = p.pos"),
     "mix": (lambda s, d: _r(A.mix(*two_signals(s, d), RATE), "value"), None),
-    "fit_length": (_fit, None),
+    "fit_length": (
+        _fit,
+        TWO + ", c AS (SELECT n, least(50, n // 4) AS seam, n - least(50, n // 4) AS stride, 2 * n + 777 AS t FROM (SELECT count(*) AS n FROM voice)), o AS (SELECT *, unnest(range(0, t)) AS pos FROM c), p AS (SELECT pos, seam, stride, pos % stride AS place, pos % stride < seam AND pos >= stride AS soft FROM o) SELECT p.pos, round(CASE WHEN soft THEN a.value * sin(place / seam * pi() / 2) + b.value * cos(place / seam * pi() / 2) ELSE a.value END, 6) AS value FROM p JOIN voice a ON a.pos = place LEFT JOIN voice b ON soft AND b.pos = place + stride",
+    ),
     "fit_report": (
         lambda s, d: _r(A.fit_report(_jobs(s, d)), "source_sec", "target_sec", "seam_ms"),
         "WITH j AS (SELECT o_orderkey AS job_id, o_orderkey % 900 + 1 AS n, CAST(floor(o_totalprice / 300) AS BIGINT) AS t FROM orders), k AS (SELECT *, least(50, n // 4) AS seam FROM j), m AS (SELECT *, CASE WHEN t = 0 OR n = t THEN 'used_as_is' WHEN n > t THEN 'trimmed' WHEN seam = 0 THEN 'tiled_no_xfade' ELSE 'looped' END AS mode FROM k) SELECT job_id, mode, CAST(CASE mode WHEN 'tiled_no_xfade' THEN ceil(t / n) WHEN 'looped' THEN 1 + ceil((t - n) / (n - seam)) ELSE 1 END AS BIGINT) AS loops, round(n / 100.0, 6) AS source_sec, round(t / 100.0, 6) AS target_sec, round(CASE WHEN mode = 'looped' THEN seam ELSE 0 END * 10.0, 6) AS seam_ms FROM m",
@@ -103,7 +106,7 @@ QUERIES = {
     ),
     "downmix": (lambda s, d: _r(A.downmix(signal(s, d).unionByName(signal(s, d).withColumn("channel", F.lit(1)).withColumn("value", F.col("value") / 3))), "value"), f"WITH {SIGNAL_SQL} SELECT series_id, pos, round((value + value / 3) / 2, 6) AS value FROM signal"),
     "wet_dry_blend": (lambda s, d: _r(A.wet_dry_blend(*two_signals(s, d), 0.25), "value"), TWO + " SELECT v.pos, round(greatest(least(0.75 * v.value + 0.25 * m.value, 1), -1), 6) AS value FROM voice v JOIN music m ON v.pos = m.pos"),
-    "resample_linear": (lambda s, d: _r(A.resample_linear(two_signals(s, d)[0], 100, 160), "value"), TWO + ", n AS (SELECT max(pos) + 1 AS n FROM voice), t AS (SELECT unnest(range(0, n * 160 // 100)) AS pos, n FROM n), x AS (SELECT pos, n, least(floor(pos * 100 / 160.0), n - 1) AS lo, least(pos * 100 / 160.0, n - 1.0) AS e FROM t) SELECT x.pos, round(a.value * (1 - (e - lo)) + b.value * (e - lo), 6) AS value FROM x JOIN voice a ON a.pos = lo JOIN voice b ON b.pos = least(lo + 1, n - 1)"),
+    "resample_linear": (lambda s, d: A.resample_linear(two_signals(s, d)[0], 100, 160), TWO + ", n AS (SELECT max(pos) + 1 AS n FROM voice), t AS (SELECT unnest(range(0, n * 160 // 100)) AS pos, n FROM n), x AS (SELECT pos, n, least(floor(pos * 100 / 160.0), n - 1) AS lo, least(pos * 100 / 160.0, n - 1.0) AS e FROM t) SELECT x.pos, a.value * (1 - (e - lo)) + b.value * (e - lo) AS value FROM x JOIN voice a ON a.pos = lo JOIN voice b ON b.pos = least(lo + 1, n - 1)"),
     "repeat_upsample": (lambda s, d: A.repeat_upsample(two_signals(s, d)[0].select("pos", (F.abs("value") > 0.1).alias("active")), 3, two_signals(s, d)[0].count() * 3 + 5), TWO + ", n AS (SELECT count(*) * 3 + 5 AS n FROM voice), p AS (SELECT unnest(range(0, n)) AS pos FROM n) SELECT p.pos, coalesce(abs(v.value) > 0.1, false) AS active FROM p LEFT JOIN voice v ON v.pos = p.pos // 3"),
     "dedupe_asset_cache": (lambda s, d: A.dedupe_asset_cache(S.parse(scripts(s, d)), 24000), f"WITH {sql.PARSED} SELECT DISTINCT subtype, 24000 AS rate_hz FROM filled WHERE type = 'breath'"),
 }

@@ -51,7 +51,10 @@ _ENV = "sqrt(sum(value * value) OVER (PARTITION BY series_id ORDER BY pos ROWS B
 QUERIES = {
     "frame_rms": (lambda s, d: _round(L.frame_rms(signal(s, d), 10), "rms", "dbfs"), FRAMES.format(10) + " SELECT series_id, frame, round(rms, 6) AS rms, round(20 * log10(greatest(rms, 1e-10)), 6) AS dbfs FROM f"),
     "sliding_rms": (lambda s, d: L.sliding_rms(signal(s, d), 10).select("series_id", "pos", F.round("env", 6).alias("env")), _sql(f"round({_ENV}, 6) AS env")),
-    "onepole_envelope": (lambda s, d: L.onepole_envelope(signal(s, d), RATE, 300.0).select("series_id", "pos", F.round("env", 6).alias("env")), None),
+    "onepole_envelope": (
+        lambda s, d: L.onepole_envelope(signal(s, d), RATE, 300.0).select("series_id", "pos", F.round("env", 6).alias("env")),
+        f"WITH RECURSIVE {SIGNAL_SQL.replace('signal AS', 'signal AS MATERIALIZED', 1)}, r AS (SELECT series_id, pos, (1 - exp(-1 / 30.0)) * value * value AS m FROM signal WHERE pos = 0 UNION ALL SELECT s.series_id, s.pos, exp(-1 / 30.0) * r.m + (1 - exp(-1 / 30.0)) * s.value * s.value FROM r JOIN signal s ON s.series_id = r.series_id AND s.pos = r.pos + 1) SELECT series_id, pos, round(sqrt(greatest(m, 1e-12)), 6) AS env FROM r",
+    ),
     "silence_gaps": (
         lambda s, d: L.silence_gaps(signal(s, d), RATE, 10, QUIET, 0.2),
         FRAMES.format(10) + f", q AS (SELECT *, rms < {QUIET} AS quiet, sum(CASE WHEN rms < {QUIET} THEN 0 ELSE 1 END) OVER (PARTITION BY series_id ORDER BY frame) AS run, max(frame) OVER (PARTITION BY series_id) AS last FROM i), r AS (SELECT series_id, run, min(frame) AS a, max(frame) AS b, any_value(n) AS n, any_value(last) AS last FROM q WHERE quiet GROUP BY 1, 2), e AS (SELECT *, (CASE WHEN b = last THEN n ELSE (b + 1) * 10 END - a * 10) / 100.0 AS len FROM r) SELECT series_id, round(a * 10 / 100.0, 1) AS start_sec, round(len, 1) AS duration_sec FROM e WHERE len > 0.2",
@@ -77,5 +80,5 @@ QUERIES = {
         W + ", n AS (SELECT series_id, max(pos) + 1 AS n FROM signal GROUP BY 1), b AS (SELECT series_id, n, unnest(range(0, (n - 40) // 10 + 1)) AS b FROM n), z AS (SELECT b.series_id, b.b, sum(value * value) / 40 AS z FROM b JOIN signal s ON s.series_id = b.series_id AND s.pos BETWEEN b.b * 10 AND b.b * 10 + 39 GROUP BY 1, 2), h AS (SELECT *, -0.691 + 10 * log10(z) AS l FROM z WHERE z > 0 AND -0.691 + 10 * log10(z) > -70), r AS (SELECT series_id, -0.691 + 10 * log10(avg(z)) - 10 AS gate FROM h GROUP BY 1), g AS (SELECT series_id, -0.691 + 10 * log10(avg(z)) AS lufs FROM h JOIN r USING (series_id) WHERE l > gate GROUP BY 1) SELECT series_id, round(lufs, 6) AS lufs, round(CASE WHEN lufs IS NULL OR abs(-21 - lufs) > 40 THEN 1 ELSE pow(10, (-21 - lufs) / 20) END, 6) AS gain FROM n LEFT JOIN g USING (series_id)",
     ),
     "gated_loudness_weighted": (lambda s, d: _round(L.gated_loudness(signal(s, d), 48_000.0), "lufs", "gain"), None),
-    "lookahead_limit": (lambda s, d: _rows(L.lookahead_limit(signal(s, d), RATE, -9.0, 0.3, 50.0)), W + ", g AS (SELECT *, min(least(1, pow(10, -9.3 / 20) / greatest(abs(value), 1e-12))) OVER (PARTITION BY series_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) AS gain FROM signal) SELECT series_id, pos, round(greatest(least(value * gain, pow(10, -9.3 / 20)), -pow(10, -9.3 / 20)), 6) AS value FROM g"),
+    "lookahead_limit": (lambda s, d: _rows(L.lookahead_limit(signal(s, d), RATE, -9.0, 0.3, 50.0, smooth_hz=0)), W + ", g AS (SELECT *, min(least(1, pow(10, -9.3 / 20) / greatest(abs(value), 1e-12))) OVER (PARTITION BY series_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) AS gain FROM signal) SELECT series_id, pos, round(greatest(least(value * gain, pow(10, -9.3 / 20)), -pow(10, -9.3 / 20)), 6) AS value FROM g"),
 }

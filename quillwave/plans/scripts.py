@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from ..operators import segments as S
 from ..operators import timeline as T
-from ..session import table
+from ..session import shared_folder, table
+from ..sources import assets
 from ..sources.fixtures import SCRIPTS_SQL, scripts
 from . import sql
 
-_PARSED_ITEMS = f"""WITH {sql.PARSED},
+PARSED_ITEMS = f"""WITH {sql.PARSED},
 kinds AS (SELECT *, CASE WHEN type = 'speech' AND lag(type) OVER (PARTITION BY script_id ORDER BY seg_no) = 'speech' THEN 1 ELSE 0 END AS follows FROM filled),
 both_ AS (SELECT script_id, seg_no, 0 AS k, 'gap' AS type, NULL AS text, 0.4 AS duration_sec, NULL AS voice FROM kinds WHERE follows = 1 UNION ALL SELECT script_id, seg_no, 1, type, text, duration_sec, voice FROM kinds),
 items AS (SELECT script_id, CAST(row_number() OVER (PARTITION BY script_id ORDER BY seg_no, k) - 1 AS INT) AS item_no, type, text, CAST(duration_sec AS DOUBLE) AS duration_sec, voice FROM both_),
@@ -66,7 +67,11 @@ def _backgrounds(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _scan(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select(F.col("doc_id").alias("script_id"), F.length("text").alias("n_chars_read"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
+    path = shared_folder(spark)
+    scripts(spark, d).write.partitionBy("script_id").text(path)  # a file per script
+    found = assets.scan_scripts(spark, path).select("path", F.expr("substring(text, 1, length(text) - 1)").alias("text"))  # without the writer's last line end
+    number = F.regexp_extract("path", r"script_id=(\d+)", 1).cast("long")
+    return found.select(number.alias("script_id"), F.length("text").alias("n_chars_read"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
 def _gaps_of_sentences(spark: SparkSession, d: str) -> DataFrame:
@@ -76,8 +81,8 @@ def _gaps_of_sentences(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
-    "flagship_timeline": (flagship, _PARSED_ITEMS + " SELECT script_id, count(*) AS n_items, round(sum(duration_sec), 6) AS total_sec, round(sum(CASE WHEN type = 'speech' THEN duration_sec ELSE 0 END) / sum(duration_sec), 6) AS speech_share FROM timed GROUP BY script_id"),
-    "scan_scripts": (_scan, "SELECT doc_id AS script_id, len(text) AS n_chars_read, md5(text) AS text_md5 FROM documents"),
+    "flagship_timeline": (flagship, PARSED_ITEMS + " SELECT script_id, count(*) AS n_items, round(sum(duration_sec), 6) AS total_sec, round(sum(CASE WHEN type = 'speech' THEN duration_sec ELSE 0 END) / sum(duration_sec), 6) AS speech_share FROM timed GROUP BY script_id"),
+    "scan_scripts": (_scan, f"WITH {SCRIPTS_SQL} SELECT script_id, len(text) AS n_chars_read, md5(text) AS text_md5 FROM scripts"),
     "normalize_tags": (lambda s, d: S.normalize_tags(scripts(s, d)), f"WITH {sql.NORMALIZED} SELECT * FROM normalized"),
     "tokenize_segments": (lambda s, d: S.tokenize_segments(S.normalize_tags(scripts(s, d))), f"WITH {sql.NORMALIZED}, {sql.tokens('normalized', True)} SELECT * FROM segs"),
     "paragraph_pause_priority": (
@@ -97,15 +102,15 @@ QUERIES = {
         lambda s, d: S.reject_empty_scripts(x := _some_empty(s, d), S.tokenize_segments(S.normalize_tags(x))).select("script_id"),
         f"WITH {SCRIPTS_SQL} SELECT script_id FROM scripts WHERE script_id % 10 = 0",
     ),
-    "insert_gaps": (lambda s, d: T.insert_gaps(_parsed(s, d)), _PARSED_ITEMS + " SELECT * FROM items"),
+    "insert_gaps": (lambda s, d: T.insert_gaps(_parsed(s, d)), PARSED_ITEMS + " SELECT * FROM items"),
     "sentence_gaps": (
         _gaps_of_sentences,
         f"WITH {sql.PARSED}, n AS (SELECT *, lead(type) OVER (PARTITION BY script_id ORDER BY seg_no) AS next_type FROM filled),"
         r""" s AS (SELECT script_id, seg_no, next_type, unnest(range(0, len(a))) AS sent_no, unnest(a) AS text, len(a) AS n FROM (SELECT *, string_split(regexp_replace(regexp_replace(text, '^\s+|\s+$', '', 'g'), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) AS a FROM n WHERE type = 'speech'))
  SELECT script_id, seg_no, CAST(sent_no AS INT) AS sent_no, CASE WHEN sent_no = n - 1 AND (next_type IS NULL OR next_type = 'pause') THEN 0.0 WHEN regexp_matches(text, '(\.\.\.|…)\s*$') THEN 1.2 ELSE 0.8 END AS gap_sec FROM s""",
     ),
-    "pace_by_wpm": (lambda s, d: T.pace_by_wpm(T.insert_gaps(_parsed(s, d))), _PARSED_ITEMS + " SELECT * FROM paced"),
-    "timeline_offsets": (lambda s, d: _timeline(s, d).select("script_id", "item_no", "type", F.round("start_sec", 6).alias("start_sec"), F.round("end_sec", 6).alias("end_sec"), "active"), _PARSED_ITEMS + " SELECT script_id, item_no, type, round(end_sec - duration_sec, 6) AS start_sec, round(end_sec, 6) AS end_sec, type = 'speech' AS active FROM timed"),
+    "pace_by_wpm": (lambda s, d: T.pace_by_wpm(T.insert_gaps(_parsed(s, d))), PARSED_ITEMS + " SELECT * FROM paced"),
+    "timeline_offsets": (lambda s, d: _timeline(s, d).select("script_id", "item_no", "type", F.round("start_sec", 6).alias("start_sec"), F.round("end_sec", 6).alias("end_sec"), "active"), PARSED_ITEMS + " SELECT script_id, item_no, type, round(end_sec - duration_sec, 6) AS start_sec, round(end_sec, 6) AS end_sec, type = 'speech' AS active FROM timed"),
     "chunk_seeds": (lambda s, d: T.chunk_seeds(_parsed(s, d)).select("script_id", "seg_no", "chunk_seed"), f"WITH {sql.PARSED} SELECT script_id, seg_no, 42 + row_number() OVER (PARTITION BY script_id ORDER BY seg_no) - 1 AS chunk_seed FROM filled WHERE type = 'speech'"),
     "phase_asset_join": (
         lambda s, d: T.phase_asset_join(_parsed(s, d).filter("type = 'speech'"), _assets(s, d)).select("script_id", "seg_no", "voice", "audio_path"),
@@ -115,5 +120,5 @@ QUERIES = {
     "plan_continuations": (lambda s, d: T.plan_continuations(_orders(s, d)), "WITH o AS (SELECT o_orderkey AS job_id, o_totalprice / 100.0 AS duration_sec FROM orders), p AS (SELECT *, unnest(range(0, CAST(greatest(ceil((duration_sec - 91.0) / 60.0), 0) AS BIGINT) + 1)) AS piece FROM o), q AS (SELECT *, CASE WHEN piece = 0 THEN 0.0 ELSE 90.0 + (piece - 1) * 60.0 END AS start_sec FROM p) SELECT job_id, duration_sec, CAST(piece AS INT) AS piece, start_sec, CASE WHEN piece = 0 THEN least(90.0, duration_sec) ELSE least(60.0, duration_sec - start_sec) END AS piece_sec, CASE WHEN piece = 0 THEN 0.0 ELSE 20.0 END AS context_sec FROM q"),
     "plan_stages": (lambda s, d: T.plan_stages(_stages(s, d)), "WITH c AS (SELECT conv_id AS job_id, row_number() OVER w - 1 AS stage, role AS prompt, len(text) / 10.0 AS seconds, coalesce(sum(len(text) / 10.0 - 6.0) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start_sec, sum(len(text) / 10.0) OVER (PARTITION BY conv_id) + 5.0 AS total_sec FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, len(text))) SELECT job_id, CAST(stage AS INT) AS stage, prompt, seconds, start_sec, total_sec FROM c"),
     "route_jobs": (_routes, "WITH o AS (SELECT o_orderkey AS job_id, ['Full', 'Vocals Only', 'Instrumental Only'][o_orderkey % 3 + 1] AS mode, ['cloud', 'local', 'upload', 'none'][o_orderkey % 4 + 1] AS music, ['first', 'second', 'third'][o_orderkey // 3 % 3 + 1] AS engine FROM orders) SELECT job_id, mode, music, engine, CASE WHEN music <> 'none' OR engine IN ('second', 'third') THEN 48000 ELSE 44100 END AS mix_rate, CASE WHEN music <> 'none' THEN 48000 ELSE 44100 END AS export_rate, CASE WHEN music = 'local' THEN -14.0 ELSE -16.0 END AS premix_lufs, CASE WHEN mode = 'Instrumental Only' THEN NULL WHEN engine = 'third' THEN 0.10 WHEN engine = 'first' THEN 0.25 ELSE 1.0 END AS denoise_wet FROM o"),
-    "background_length": (_backgrounds, _PARSED_ITEMS + ", f AS (SELECT script_id AS job_id, round(sum(duration_sec), 6) AS n FROM timed GROUP BY script_id) SELECT job_id, round(CASE job_id % 3 WHEN 0 THEN n * 2 + 5 WHEN 1 THEN 600.0 ELSE n + 15 END, 6) AS music_sec FROM f"),
+    "background_length": (_backgrounds, PARSED_ITEMS + ", f AS (SELECT script_id AS job_id, round(sum(duration_sec), 6) AS n FROM timed GROUP BY script_id) SELECT job_id, round(CASE job_id % 3 WHEN 0 THEN n * 2 + 5 WHEN 1 THEN 600.0 ELSE n + 15 END, 6) AS music_sec FROM f"),
 }

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import spectrum as P
 from ..session import table
 from ..sources.fixtures import RATE, SIGNAL_SQL, TWO_SQL, signal, two_signals
+from . import levels
 
 SIZE = 64
 BANDS = {"warm": (1.0, 3.0), "present": (20.0, 50.0), "band": (10.0, 40.0)}
@@ -46,6 +49,11 @@ spectrum AS (SELECT series_id, frame, bin, bin * 100.0 / 64 AS hz, (re * re + im
 psd AS (SELECT series_id, bin, hz, avg(power) AS psd FROM spectrum GROUP BY 1, 2, 3)"""
 ONSETS = SPECTRUM + ", l AS (SELECT series_id, frame, magnitude - lag(magnitude) OVER (PARTITION BY series_id, bin ORDER BY frame) AS d FROM spectrum), ons AS (SELECT series_id, frame, avg(greatest(d, 0)) AS strength FROM l WHERE d IS NOT NULL GROUP BY 1, 2)"
 
+def _bare(query: str) -> str:
+    """A metric's SQL with its value not rounded, as a table."""
+    return "(" + re.sub(r"round\((\w+), \d+\) AS", r"\1 AS", query) + ")"
+
+
 QUERIES = {
     "dft_frames": (lambda s, d: _r(_spectrum(s, d), 4, "power", "magnitude"), SPECTRUM + " SELECT series_id, frame, bin, hz, round(power, 4) AS power, round(magnitude, 4) AS magnitude FROM spectrum"),
     "band_balance": (lambda s, d: _r(P.band_balance(_spectrum(s, d), BANDS["warm"], BANDS["present"]), 6, "warmth", "presence"), SPECTRUM + ", g AS (SELECT series_id, coalesce(sum(psd) FILTER (WHERE hz BETWEEN 1 AND 3), 0) AS a, coalesce(sum(psd) FILTER (WHERE hz BETWEEN 20 AND 50), 0) AS b FROM psd GROUP BY 1) SELECT series_id, round(a, 6) AS warmth, round(b, 6) AS presence, a >= b AS passed FROM g"),
@@ -65,7 +73,43 @@ QUERIES = {
     ),
     "level_ratio": (lambda s, d: _r(P.level_ratio(*two_signals(s, d), two_signals(s, d)[0].select("pos", (F.abs("value") > 0.1).alias("active"))), 6, "ratio_db"), f"WITH {TWO_SQL}, g AS (SELECT 20 * log10(sqrt(avg(v.value * v.value) + 1e-10) / sqrt(avg(m.value * m.value) + 1e-10)) AS r FROM voice v JOIN music m ON v.pos = m.pos WHERE abs(v.value) > 0.1) SELECT round(r, 6) AS ratio_db, r >= 15 AS passed FROM g"),
     "gain_rate": (lambda s, d: _r(P.gain_rate(signal(s, d), RATE), 6, "rate"), f"WITH {SIGNAL_SQL}, e AS (SELECT series_id, pos, 20 * log10(sqrt(sum(value * value) OVER (PARTITION BY series_id ORDER BY pos ROWS BETWEEN 5 PRECEDING AND 4 FOLLOWING) / 10 + 1e-10)) AS l FROM signal), x AS (SELECT series_id, abs(l - lag(l) OVER (PARTITION BY series_id ORDER BY pos)) * 100 AS st FROM e), g AS (SELECT series_id, quantile_cont(st, 0.99) AS r FROM x WHERE st IS NOT NULL GROUP BY 1) SELECT series_id, round(r, 6) AS rate, r <= 30 AS passed FROM g"),
-    "qa_report": (lambda s, d: P.qa_report(_metrics(s, d), "series_id = 'click'").select("series_id", "check", F.to_json("metric").alias("metric"), "passed"), None),
-    "composite_score": (lambda s, d: P.composite_score(_metrics(s, d)), None),
     "best_candidate": (lambda s, d: P.best_candidate(_attempts(s, d)), "WITH a AS (SELECT user_id AS job_id, event_id AS attempt, CASE WHEN event_type <> 'error' THEN least(value / 120.0, 1.0) ELSE 0.0 END AS score, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events), b AS (SELECT *, coalesce(max(score) OVER (PARTITION BY job_id ORDER BY attempt ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM a WHERE n <= 3), c AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY score DESC, attempt) AS r FROM b WHERE before <= 0.8) SELECT job_id, attempt, score FROM c WHERE r = 1"),
 }
+
+_TABLES = {
+    "balance": QUERIES["band_balance"][1], "rolloff": QUERIES["rolloff"][1], "onset": QUERIES["onset_strength"][1], "clipping": levels.QUERIES["clipping"][1].replace("0.5", "0.99"),
+    "flatness": QUERIES["flatness"][1], "centroid": QUERIES["centroid_variation"][1], "harmony": QUERIES["harmonic_stability"][1], "density": QUERIES["onset_density"][1],
+    "dynamics": levels.QUERIES["dynamic_range"][1], "silence": levels.QUERIES["silence_ratio"][1], "loudness": levels.QUERIES["gated_loudness"][1],
+}
+_METRICS = "WITH m AS (SELECT s.series_id, " + ", ".join(
+    f"{t}.{v}" for t, names in P.CHECKS.items() for v in names
+) + ", " + ", ".join("coalesce(abs(loudness.lufs + 16) <= 6, false) AS loudness_passed" if t == "loudness" else f"coalesce({t}.passed, false) AS {t}_passed" for t in _TABLES) + " FROM (SELECT DISTINCT event_type AS series_id FROM events) s " + " ".join(
+    f"LEFT JOIN {_bare(q)} {t} ON s.series_id = {t}.series_id" for t, q in _TABLES.items()
+) + ")"
+
+
+def _report(s: SparkSession, d: str) -> DataFrame:
+    rows = P.qa_report(_metrics(s, d), "series_id = 'click'")
+    return rows.select("series_id", "check", F.explode("metric").alias("name", "value"), "passed").withColumn("value", F.round("value", 4))
+
+
+def _entry(check: str, name: str) -> str:
+    if check not in P.MUSIC_CHECKS:
+        return f"SELECT series_id, '{check}' AS \"check\", '{name}' AS name, round({name}, 4) AS value, {check}_passed AS passed FROM m"
+    return f"SELECT series_id, '{check}', '{name}', CASE WHEN series_id <> 'click' THEN round({name}, 4) END, series_id = 'click' OR {check}_passed FROM m"
+
+
+def _over(check: str, value: str, limit: float, by: float) -> str:
+    return f"CASE WHEN {check}_passed THEN 1.0 ELSE greatest(0.0, 1 - ({value} / {limit} - 1) / {by}) END"
+
+
+_PARTS = {
+    "balance": "CASE WHEN warmth + presence > 0 THEN least(warmth / (warmth + presence) / 0.6, 1.0) ELSE 0.5 END", "rolloff": _over("rolloff", "rolloff_hz", P.MAX_ROLLOFF, 1.0),
+    "onset": _over("onset", "onset_ratio", P.ONSET_RATIO, 2.0), "clipping": "CASE WHEN clipping_passed THEN 1.0 ELSE greatest(0.0, 1 - clipped_ratio * 1000) END",
+    "loudness": "greatest(0.0, 1 - abs(lufs + 16) / 10)", "flatness": _over("flatness", "flatness", P.MAX_FLATNESS, 2.33), "centroid": _over("centroid", "variation", P.MAX_CENTROID, 1.0),
+    "harmony": f"CASE WHEN harmony_passed THEN 1.0 ELSE greatest(0.0, stability / {P.MIN_HARMONIC}) END", "density": _over("density", "onsets_per_sec", P.ONSET_DENSITY, 2.0), "dynamics": _over("dynamics", "rms_std", P.MAX_RMS_STD, 3.0),
+}
+QUERIES |= {
+    "qa_report": (_report, _METRICS + " " + " UNION ALL ".join(_entry(c, n) for c, names in P.CHECKS.items() for n in names)),
+    "composite_score": (lambda s, d: P.composite_score(_metrics(s, d)), _METRICS + " SELECT series_id, round(" + " + ".join(f"coalesce({_PARTS[k]}, 0.0) * {w}" for k, w in P.WEIGHTS.items()) + ", 4) AS score FROM m"),
+}

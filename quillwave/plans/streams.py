@@ -10,8 +10,9 @@ from ..functions.recursion import alpha_of, asymmetric_ema
 from ..operators import segments as S
 from ..operators import timeline as T
 from ..session import shared_folder, table
-from ..sources.fixtures import RATE, scripts, signal
+from ..sources.fixtures import RATE, SIGNAL_SQL, scripts, signal
 from ..streaming import operators as O
+from .scripts import PARSED_ITEMS
 
 
 def _stream(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -78,7 +79,10 @@ QUERIES = {
         lambda s, d: _done(O.stream_phrases(_events(s, d), 0.1)).select("series_id", F.unix_micros("start").alias("start"), F.unix_micros("end").alias("end"), "n"),
         f"WITH {_E}, l AS (SELECT *, CASE WHEN ts - lag(ts) OVER w < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM e WHERE abs(value) > 0.1 WINDOW w AS (PARTITION BY series_id ORDER BY ts)), r AS (SELECT *, sum(new) OVER (PARTITION BY series_id ORDER BY ts) AS run FROM l) SELECT series_id, epoch_us(min(ts)) AS start, epoch_us(max(ts)) AS \"end\", count(*) AS n FROM r GROUP BY series_id, run, newest HAVING max(ts) + INTERVAL 30 MINUTE <= newest - INTERVAL 10 MINUTE AND max(ts) - min(ts) >= INTERVAL 60 SECOND",
     ),
-    "stream_envelope": (lambda s, d: _done(O.stream_envelope(_events(s, d), alpha_of(300.0, RATE))).withColumn("env", F.round("env", 6)), None),
+    "stream_envelope": (
+        lambda s, d: _done(O.stream_envelope(_events(s, d), alpha_of(300.0, RATE))).withColumn("env", F.round("env", 6)),
+        "WITH RECURSIVE e AS MATERIALIZED (SELECT event_type AS series_id, event_id, least(value / 500.0, 1.0) AS value, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS pos FROM events), r AS (SELECT series_id, event_id, pos, (1 - exp(-1 / 30.0)) * value * value AS m FROM e WHERE pos = 1 UNION ALL SELECT e.series_id, e.event_id, e.pos, exp(-1 / 30.0) * m + (1 - exp(-1 / 30.0)) * e.value * e.value FROM r JOIN e ON e.series_id = r.series_id AND e.pos = r.pos + 1) SELECT series_id, event_id, round(sqrt(greatest(m, 1e-12)), 6) AS env FROM r",
+    ),
     "stream_silence_alert": (
         lambda s, d: _done(O.stream_silence_alert(_events(s, d), 0.3, 3600.0)).select("series_id", F.unix_millis("quiet_since").alias("quiet_since")),
         f"WITH {_E}, l AS (SELECT series_id, epoch_us(ts) // 1000 AS t, lead(epoch_us(ts) // 1000) OVER (PARTITION BY series_id ORDER BY ts) AS n, epoch_us(newest) // 1000 AS newest FROM e WHERE abs(value) > 0.3) SELECT series_id, t AS quiet_since FROM l WHERE n - t > 3600000 OR n IS NULL AND t + 3600000 <= newest - 600000",
@@ -86,6 +90,9 @@ QUERIES = {
     "stream_byte_budget": (_budget, "WITH e AS (SELECT user_id AS session, event_id AS seq, len(props) * 7 AS bytes, coalesce(sum(len(props) * 7) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM events) SELECT session, seq, CAST(greatest(least(bytes, 1000 - before), 0) AS BIGINT) AS kept FROM e WHERE before < 1003"),
     "stream_progress": (_progress, "SELECT user_id AS job_id, max(event_id) / 1e6 AS fraction, arg_max(event_type || ':' || event_id, event_id) AS message FROM events GROUP BY 1"),
     "stream_scripts": (lambda s, d: _scripts(s, d).select("script_id", F.md5(F.col("text").cast("binary")).alias("text_md5")), "SELECT doc_id AS script_id, md5(text || ' [pause:2s] [breath:inhale] on') AS text_md5 FROM documents"),
-    "duration_model": (_pace, None),
-    "asymmetric_ema": (_ema, None),
+    "duration_model": (_pace, PARSED_ITEMS + " SELECT script_id, round(max(end_sec), 6) AS total_sec FROM timed GROUP BY script_id"),
+    "asymmetric_ema": (
+        _ema,
+        f"WITH RECURSIVE {SIGNAL_SQL.replace('signal AS', 'signal AS MATERIALIZED', 1)}, k AS (SELECT exp(-1 / 8.0) AS a, exp(-1 / 100.0) AS b), r AS (SELECT series_id, pos, CASE WHEN abs(value) < 1 THEN a ELSE b END * 1.0 + (1 - CASE WHEN abs(value) < 1 THEN a ELSE b END) * abs(value) AS m FROM signal, k WHERE pos = 0 UNION ALL SELECT s.series_id, s.pos, CASE WHEN abs(s.value) < m THEN a * m + (1 - a) * abs(s.value) ELSE b * m + (1 - b) * abs(s.value) END FROM r JOIN signal s ON s.series_id = r.series_id AND s.pos = r.pos + 1, k) SELECT series_id, pos, round(m, 6) AS smooth FROM r",
+    ),
 }

@@ -32,13 +32,20 @@ SCRIPTS_SQL = """scripts AS (SELECT conv_id AS script_id, string_agg('[voice:' |
 
 
 def signal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """signal(series_id, channel, pos, value): one series per event type, values within [-1, 1]."""
-    events = table(spark, sf_dir, "events").select("event_type", "ts", "event_id", "value")
-    order = Window.partitionBy("event_type").orderBy("ts", "event_id")
+    """signal(series_id, channel, pos, value): one series per event type, values within [-1, 1].
+
+    Rows are numbered within their day, from the number of rows on the days before, so a series is as many tasks as it has days.
+    """
+    events = table(spark, sf_dir, "events").select("event_type", "ts", "event_id", "value", F.to_date("ts").alias("day"))
+    days = events.groupBy("event_type", "day").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("event_type").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    days = days.select(F.col("event_type").alias("of"), F.col("day").alias("on"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    order = Window.partitionBy("event_type", "day").orderBy("ts", "event_id")
     sign = F.when(F.col("event_id") % 2 == 0, 1).otherwise(-1)
-    return events.select(
+    rows = events.withColumn("place", F.row_number().over(order) - 1).join(days, (F.col("event_type") == F.col("of")) & (F.col("day") == F.col("on")))
+    return rows.select(
         F.col("event_type").alias("series_id"), F.lit(0).alias("channel"),
-        (F.row_number().over(order) - 1).cast("long").alias("pos"), (sign * F.least(F.col("value") / 500.0, F.lit(1.0))).alias("value"),
+        (F.col("before") + F.col("place")).cast("long").alias("pos"), (sign * F.least(F.col("value") / 500.0, F.lit(1.0))).alias("value"),
     )
 
 

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from quillwave.functions import filters as Z
 from quillwave.functions import recursion as R
 from quillwave.functions import text as X
 from quillwave.operators import align as A
@@ -79,27 +80,18 @@ def test_prosody(spark):
     assert of(spark, X.vary_sentence_length, "a b, and then") == "a b, and then"
 
 
-def fold_breath(text):
-    """The rule as a plain loop."""
-    import re
-
-    out, n = [], 0
-    for t in re.findall(r"\s+|\S+", text):
-        if re.search(r"[,.!?\n]", t):
-            n = 0
-        elif re.fullmatch(r"\w[\w'-]*", t):
-            if n >= 12 and t.lower() in {"and", "or", "but", "as", "while"}:
-                out.append(", ")
-                n = 0
-            n += 1
-        out.append(t)
-    return "".join(out)
-
-
-def test_breath_groups_against_a_loop(spark):
-    r = np.random.default_rng(0)
-    texts = [" ".join(r.choice(["go", "and", "be,", "x-y", "as", "(no)", "so", "while"], 60)) for _ in range(20)]
-    assert of(spark, X.break_breath_groups, *texts) == [fold_breath(t) for t in texts]
+def test_breath_groups_by_worked_cases(spark):
+    twelve = " ".join(["go"] * 12)
+    cases = {
+        f"{twelve} and go": f"{twelve} , and go",  # the thirteenth word joins on: a comma before it
+        f"{twelve} go and go": f"{twelve} go , and go",
+        f"{twelve[:-3]} and go as go": f"{twelve[:-3]} and go , as go",  # eleven words, then a joining one that is the twelfth
+        f"go, {twelve} while go": f"go, {twelve} , while go",  # a mark begins a new count
+        f"{twelve} (no) so": f"{twelve} (no) so",
+        f"{twelve}, and go": f"{twelve}, and go",
+        f"{twelve} and {twelve} or x-y": f"{twelve} , and {twelve[:-3]} go , or x-y",
+    }
+    assert of(spark, X.break_breath_groups, *cases) == list(cases.values())
 
 
 def test_preprocess_runs_all_steps(spark):
@@ -115,29 +107,16 @@ def test_sentences(spark):
     assert of(spark, N.estimate_tokens, "one two three") == 3
 
 
-def loop_merge(parts):
-    if len(parts) <= 1:
-        return parts
-    out, carry = [], ""
-    for i, s in enumerate(parts):
-        joined = f"{carry} {s}" if carry else s
-        if len(joined.split()) < 4 and (i < len(parts) - 1 or carry):
-            carry = joined
-        else:
-            out.append(joined)
-            carry = ""
-    if carry:
-        out = [*out[:-1], f"{out[-1]} {carry}"] if out else [carry]
-    return out
-
-
-def test_merging_against_a_loop(spark):
-    import re
-
-    r = np.random.default_rng(1)
-    texts = [" ".join(" ".join(["w"] * r.integers(1, 7)) + "." for _ in range(r.integers(1, 8))) for _ in range(40)]
-    got = of(spark, lambda t: N.merge_short_sentences(N.sentence_array(t)), *texts)
-    assert got == [loop_merge(re.split(r"(?<=[.!?])\s+", t)) for t in texts]
+def test_merging_by_worked_cases(spark):
+    cases = {
+        "A b c d. E f g h.": ["A b c d.", "E f g h."],
+        "A. B. C. D e.": ["A. B. C. D e."],  # short ones gather until there are four words
+        "A b c d. E. F.": ["A b c d. E. F."],  # a short rest goes to the sentence before
+        "A. B c d e. F.": ["A. B c d e.", "F."],
+        "A b c. D e f g h. I j k l. M.": ["A b c. D e f g h.", "I j k l.", "M."],
+        "A b. C.": ["A b. C."],
+    }
+    assert of(spark, lambda t: N.merge_short_sentences(N.sentence_array(t)), *cases) == list(cases.values())
 
 
 def test_chunks(spark):
@@ -193,12 +172,95 @@ def test_linear_recursion_across_blocks(spark, block):
     assert np.allclose(got, want)
 
 
-def test_asymmetric_fold_equals_the_grouped_map(spark):
-    x = np.random.default_rng(3).random(30)
-    s = series(spark, ("a", x))
-    grouped = [r.smooth for r in R.asymmetric_ema(s, 0.5, 0.9, 1.0).orderBy("pos").collect()]
-    folded = s.groupBy("series_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "value"))), lambda p: p["value"]).alias("x")).select(R.asymmetric_fold(F.col("x"), 0.5, 0.9, 1.0)).first()[0]
-    assert np.allclose(grouped, folded)
+@pytest.mark.parametrize("block", [1, 100_000])
+def test_asymmetric_recursion_across_blocks(spark, block):
+    x = np.random.default_rng(3).random(3_000)
+    now, want = 1.0, []
+    for v in x:
+        now += (v - now) * (1 - (0.5 if v < now else 0.9))
+        want.append(now)
+    got = [r.smooth for r in R.asymmetric_ema(series(spark, ("a", x), ("b", x[::-1])), 0.5, 0.9, 1.0, block=block).filter("series_id = 'a'").orderBy("pos").collect()]
+    assert np.allclose(got, want, rtol=0, atol=1e-13)
+
+
+def slow_filter(x, b, a, settled=False):
+    """The difference equation; settled: as if the first value had always been there."""
+    pad = len(a) - 1
+    past = x[0] * sum(b) / sum(a) if settled else 0.0
+    xs, ys = [x[0] if settled else 0.0] * pad + list(x), [past] * pad
+    for i in range(pad, len(xs)):
+        ys.append(sum(b[k] * xs[i - k] for k in range(len(b))) - sum(a[k] * ys[i - k] for k in range(1, len(a))))
+    return np.array(ys[pad:])
+
+
+def coefficients(system):
+    """b and a of a state space: the response to one impulse, and the characteristic polynomial."""
+    step, into, out, direct = system
+    a = np.poly(step).real
+    h = np.r_[direct, [out @ np.linalg.matrix_power(step, k) @ into for k in range(len(a) - 1)]]
+    return np.convolve(h, a)[: len(a)], a
+
+
+@pytest.mark.parametrize("block", [7, 100_000])
+def test_filters_across_blocks(spark, block):
+    x = np.random.default_rng(4).normal(size=60)
+    s = series(spark, ("a", x), ("b", x * 2))
+    for system in (Z.low_pass(6, 100), Z.low_pass(20, 100, True), Z.band_pass(5, 30, 100), Z.chained(Z.low_pass(30, 100), Z.low_pass(5, 100, True))):
+        b, a = coefficients(system)
+        for settled in (False, True):
+            got = [r.value for r in Z.filtered(s, system, settled, block).filter("series_id = 'a'").orderBy("pos").collect()]
+            assert np.allclose(got, slow_filter(x, b, a, settled), atol=1e-9)
+
+
+def test_responses_of_the_filters():
+    gain = lambda system, hz: abs(np.polyval(coefficients(system)[0], z := np.exp(2j * np.pi * hz / 100)) / np.polyval(coefficients(system)[1], z))
+    half = np.sqrt(0.5)
+    assert np.allclose([gain(Z.low_pass(6, 100), f) for f in (1e-9, 6, 50)], [1, half, 0], atol=1e-6)
+    assert np.allclose([gain(Z.low_pass(6, 100, True), f) for f in (1e-9, 6, 50)], [0, half, 1], atol=1e-6)
+    assert np.allclose([gain(Z.band_pass(5, 30, 100), f) for f in (1e-9, 5, 30, 50)], [0, half, half, 0], atol=1e-6)
+
+
+def test_zero_phase(spark):
+    x = np.sin(np.arange(80) / 9.0) + 0.2
+    system = Z.low_pass(6, 100)
+    b, a = coefficients(system)
+    wide = np.r_[2 * x[0] - x[9:0:-1], x, 2 * x[-1] - x[-2:-11:-1]]
+    want = slow_filter(slow_filter(wide, b, a, True)[::-1], b, a, True)[::-1][9:-9]
+    got = {k: [r.value for r in Z.zero_phase(series(spark, ("a", x), ("s", x[:12])), system).filter(f"series_id = '{k}'").orderBy("pos").collect()] for k in "as"}
+    assert np.allclose(got["a"], want, atol=1e-9) and np.allclose(got["s"], x[:12])
+    bands = G.split_bands(series(spark, ("a", x)), 100.0, (10.0, 30.0)).groupBy("pos").agg(F.sum("value").alias("v"), F.count(F.lit(1)).alias("n")).orderBy("pos").collect()
+    assert all(r.n == 3 for r in bands) and np.allclose([r.v for r in bands], x)
+
+
+def shown(pieces, row, below=10**9):
+    """What the highest piece under a rank draws on a row: the definition of the gain curve, row by row."""
+    over = [p for p in pieces if p.a <= row < p.b and p["rank"] < below]
+    if not over:
+        return 0.0
+    p = max(over, key=lambda p: p["rank"])
+    t = min(1.0, max(0.0, (row - p["at"]) / {"fall": 70, "rise": 150}.get(p["kind"], 1)))
+    curve = t * t * (3 - 2 * t)
+    if p["kind"] == "fall":
+        begin = shown(pieces, p.a, p["rank"])
+        return begin + (-15 - begin) * curve
+    return {"lift": 1.5, "hold": -15.0}.get(p["kind"], -15 + (p["aim"] + 15) * curve)
+
+
+def test_gain_curve_against_its_definition(spark):
+    r = np.random.default_rng(5)
+    spans, at = [], 0.3
+    for _ in range(25):  # dense speech and long pauses, so that falls begin in falls, rises, lifts and silence
+        at += float(r.choice([0.26, 0.3, 0.5, 1.2, 1.6, 4.0]))
+        spans.append((round(at, 2), round(at + float(r.choice([0.15, 0.2, 0.4, 3.0])), 2)))
+        at = spans[-1][1]
+    phrases = spark.createDataFrame([("a", i, a, b) for i, (a, b) in enumerate(spans)], "series_id string, phrase_no int, start_sec double, end_sec double")
+    n = int(at * 100) + 90
+    lengths = spark.createDataFrame([("a", n / 100.0), ("still", 3.0), ("none", 0.0)], "series_id string, duration_sec double")
+    pieces = G._gain_pieces(phrases, lengths, 100, -15.0, 1.5, 1.5, 600.0, 700.0, 1500.0).collect()
+    got = G.script_gain(phrases, lengths, 100, smooth_hz=0).orderBy("pos").collect()
+    assert [x.gain_db for x in got if x.series_id == "still"] == [0.0] * 300
+    assert np.allclose([x.gain_db for x in got if x.series_id == "a"], [shown(pieces, row) for row in range(n)], atol=1e-9)
+    assert {p["kind"] for p in pieces} == {"lift", "fall", "hold", "rise"}
 
 
 def test_phrases_and_gain(spark):
@@ -207,7 +269,7 @@ def test_phrases_and_gain(spark):
     assert rows(phrases.select("start_sec", "end_sec"), "start_sec") == [(2.0, 5.0), (11.0, 14.0)]
     lengths = spark.createDataFrame([("a", 16.0)], "series_id string, duration_sec double")
     g = np.array([r.gain_db for r in G.script_gain(phrases, lengths, 100).orderBy("pos").collect()])
-    assert len(g) == 1600 and np.allclose(g[200:500], -15) and np.allclose(g[1100:1400], -15) and np.isclose(g[800], 1.5) and g[100] <= 1.5
+    assert len(g) == 1600 and np.allclose(g[220:480], -15, atol=0.2) and np.allclose(g[1120:1380], -15, atol=0.2) and abs(g[800] - 1.5) < 0.1 and g[100] <= 1.6
     held = G.duck_hold(*(spark.createDataFrame([(i, float(v)) for i, v in enumerate(x)], "pos long, value double") for x in ([0.5] * 100 + [0.0] * 50 + [0.5] * 100, [1.0] * 250)), 100, release_ms=10.0, attack_ms=10.0)
     bed = np.array([r.value for r in held.orderBy("pos").collect()])
     assert bed[90] < 0.95 and bed[125] < 0.95

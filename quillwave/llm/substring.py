@@ -27,7 +27,7 @@ WINDOW, STEM = 35, 6
 #: Words of distinct segments that one index holds.
 SHARD_WORDS = 300_000
 #: Repeated minimizers that may be broadcast (8 bytes each); more go through a shuffle join.
-BROADCAST_STEMS = 1_000_000
+BROADCAST_STEMS = 200_000
 BASE = np.uint64(0x9E3779B97F4A7C15)
 GROUP_BYTES = 1_000_000
 
@@ -288,7 +288,8 @@ def remove(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept (the other words joined by one space, UTF-8 binary).
 
     Null texts have no words; documents of fewer than WINDOW words keep them all. Repeated documents lose all that windows
-    cover, as each repeats the other. Null ids and equal ids are kept apart by a hash of the text.
+    cover, as each repeats the other. Null ids and equal ids are kept apart by a hash of the text. Texts of any length are
+    worked on whole; an empty table gives no rows; other columns are not read.
     """
     hits = repeats(docs).distinct().groupBy("doc_id", "h").agg(F.collect_list(F.struct("first", "mask")).alias("hits"))
     of = hits.select(F.col("doc_id").alias("d"), F.col("h").alias("g"), "hits")

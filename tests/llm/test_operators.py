@@ -534,6 +534,60 @@ def test_neighbours(spark, monkeypatch):
     assert ann.search(df.limit(0)).count() == 0
 
 
+def slow_neighbours(x, ids, queries, k=5):
+    x = x.astype(float)
+    norm = np.sqrt((x * x).sum(1))
+    out = {}
+    for q in queries:
+        score = (x[q] * x).sum(1) / (norm[q] * norm)
+        best = [i for i in np.lexsort((ids, -score)) if ids[i] != ids[q]][:k]
+        out[int(ids[q])] = [(int(ids[i]), score[i]) for i in best]
+    return out
+
+
+@pytest.mark.parametrize("n", [1, 2, 4, 6, 9])
+def test_small_tables_give_all_there_are(spark, n):
+    x = np.random.default_rng(n).normal(size=(n, 24)).astype(np.float32)
+    df = spark.createDataFrame([(50 * i, v.tolist()) for i, v in enumerate(x)] + [(7, [1.0, 2.0])], "vec_id long, embedding array<float>")
+    got = {}
+    for r in sorted(ann.search(df).collect(), key=lambda r: r.rank):
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    want = slow_neighbours(x, np.arange(n) * 50, range(n))
+    assert {q: [v for v, _ in w] for q, w in got.items()} == {q: [v for v, _ in w] for q, w in want.items() if w}
+    assert all(abs(a[1] - b[1]) < 1e-12 for q in got for a, b in zip(got[q], want[q]))
+
+
+def test_short_queries_are_completed_in_blocks(spark, monkeypatch):
+    x = np.random.default_rng(5).normal(size=(300, 64)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    monkeypatch.setattr(ann, "BLOCK", 4)
+    monkeypatch.setattr(ann, "fit", lambda *a, **b: {64: 1})
+    got = {}
+    for r in sorted(ann.search(df, F.col("vec_id") % 20 == 0).collect(), key=lambda r: r.rank):
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    want = slow_neighbours(x, np.arange(300), range(0, 300, 20))
+    assert all(len(got[q]) == 5 for q in want) and sum(got[q] == [v for v, _ in w] for q, w in want.items()) >= 10
+
+
+def test_one_id_with_two_vectors(spark):
+    x = np.random.default_rng(6).normal(size=(40, 8))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(0, (-x[0]).tolist())]
+    got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).filter("query_id = 0").collect()
+    assert sorted(r["rank"] for r in got) == [1, 1, 2, 2, 3, 3, 4, 4, 5, 5] and all(r.vec_id != 0 for r in got)
+
+
+def test_recall_on_the_given_vectors(spark, sf_dir):
+    """Recall against brute force on the given table, and the share of all pairs that is compared."""
+    df = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    kept = [(r.vec_id, r.embedding) for r in ann.usable(df).collect()]
+    for width in {len(e) for _, e in kept}:
+        ids, x = np.array([i for i, e in kept if len(e) == width]), np.array([e for _, e in kept if len(e) == width])
+        want = slow_neighbours(x, ids, [i for i in range(len(ids)) if ids[i] % 50 == 0])
+        got = ann.search(df).filter(F.col("query_id").isin(list(want))).collect()
+        hit = sum((r.query_id, r.vec_id) in {(q, v) for q, w in want.items() for v, _ in w} for r in got)
+        assert len(got) == sum(map(len, want.values())) and hit >= 0.9 * len(got)
+
+
 def test_hadamard_keeps_lengths():
     x = np.random.default_rng(0).normal(size=(5, 20))
     assert np.allclose(np.linalg.norm(ann.rotated(x, 3), axis=1), np.linalg.norm(x, axis=1))
@@ -645,7 +699,7 @@ def test_scores_of_all_candidates_and_long_values(spark):
     r = random.Random(11)
     key = lambda n: "".join(r.choices("ABCDEFGHJKLMNPQRSTUVWXYZabcdefghjkmnpqrstuvwxyz0123456789", k=n))
     texts = [f"{w} token = {key(60)} end" for w in lines(7, 120, 3)] + [f"plain {w} words: nothing here" for w in lines(8, 120, 9)]
-    texts += [f"pwd={key(9)} x", "a " * 300_000 + f"deadbeef{'0' * 40} " + "b " * 300_000, "k9" * 100_000]
+    texts += [f"pwd={key(9)} x", "a " * 300_000 + f"deadbeef{'0' * 40} " + "b " * 300_000, key(200_000)]
     rows = {x.doc_id: x.spans for x in secrets.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     assert all(s.score is not None and 0 <= s.score <= 1 for spans in rows.values() for s in spans)
     assert all([(s.kind, s.start, s.stop) for s in rows[i] if s.kind != secrets.MODEL] == secrets.rule_spans(t) for i, t in enumerate(texts))

@@ -50,8 +50,8 @@ psd AS (SELECT series_id, bin, hz, avg(power) AS psd FROM spectrum GROUP BY 1, 2
 ONSETS = SPECTRUM + ", l AS (SELECT series_id, frame, magnitude - lag(magnitude) OVER (PARTITION BY series_id, bin ORDER BY frame) AS d FROM spectrum), ons AS (SELECT series_id, frame, avg(greatest(d, 0)) AS strength FROM l WHERE d IS NOT NULL GROUP BY 1, 2)"
 
 def _bare(query: str) -> str:
-    """A metric's SQL with its value not rounded, as a table."""
-    return "(" + re.sub(r"round\((\w+), \d+\) AS", r"\1 AS", query) + ")"
+    """A metric's SQL as a table, its value not rounded but where the operator itself rounds."""
+    return f"({query})" if "rms_std" in query or "silence_ratio" in query else "(" + re.sub(r"round\((\w+), \d+\) AS", r"\1 AS", query) + ")"
 
 
 QUERIES = {

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import folds
 from . import rules as R
 
 MARK = "\u0001"
@@ -128,32 +129,22 @@ def break_long_clauses(text: Column) -> Column:
     conj = "|".join(R.CLAUSE_CONJUNCTIONS)
     pieces = F.split(text, rf" (?=(?:{conj}) [a-z])")
 
-    def step(state: Column, piece: Column) -> Column:
-        # the joint before a piece is known once the piece before it is: `held` waits for it
-        open_ = F.when(state["matched"], F.regexp_replace(piece, rf"^(?:{conj}) [a-z]", "")).otherwise(piece)
+    def told(open_: Column) -> Column:
         clause = F.regexp_extract(open_, r"([A-Za-z][^,.\n]+)\z", 1)
-        since = F.regexp_replace(clause, r"(?s)^.*[!?]", "")
-        matched = clause != ""
-        joint = F.when(matched & (count_words(since) >= R.CLAUSE_WORDS), ", ").otherwise(" ")
-        return F.struct(F.concat(state["out"], state["joint"], piece).alias("out"), joint.alias("joint"), matched.alias("matched"))
+        long = count_words(F.regexp_replace(clause, r"(?s)^.*[!?]", "")) >= R.CLAUSE_WORDS
+        return (clause != "").cast("int") + 2 * long.cast("int")
 
-    start = F.struct(F.lit("").alias("out"), F.lit("").alias("joint"), F.lit(False).alias("matched"))
-    return F.aggregate(pieces, start, step, lambda s: s["out"])
+    code = lambda p: told(p) + 4 * told(F.regexp_replace(p, rf"^(?:{conj}) [a-z]", ""))
+    return folds.with_clause_commas(F.transform(pieces, lambda p: F.struct(p.alias("text"), code(p).alias("code"))))
 
 
 def break_breath_groups(text: Column) -> Column:
-    """After 12 words without punctuation a comma before the next conjunction; a fold over words and the white space between them."""
+    """After 12 words without punctuation a comma before the next conjunction; words and the white space between them are looked at in turn."""
     tokens = F.split(text, r"(?U)(?<=\s)(?=\S)|(?<=\S)(?=\s)")
     low = F.array(*map(F.lit, R.BREATH_CONJUNCTIONS))
-
-    def step(state: Column, token: Column) -> Column:
-        ends = token.rlike(r"[,.!?\n]")
-        word = ~ends & token.rlike(r"(?U)^\w[\w'-]*\z")
-        cut = word & (state["n"] >= R.BREATH_WORDS) & F.array_contains(low, F.lower(token))
-        n = F.when(ends, 0).when(cut, 1).when(word, state["n"] + 1).otherwise(state["n"])
-        return F.struct(n.alias("n"), F.concat(state["out"], F.when(cut, F.concat(F.lit(", "), token)).otherwise(token)).alias("out"))
-
-    return F.aggregate(tokens, F.struct(F.lit(0).alias("n"), F.lit("").alias("out")), step, lambda s: s["out"])
+    word = lambda t: t.rlike(r"(?U)^\w[\w'-]*\z")
+    kind = lambda t: F.when(t.rlike(r"[,.!?\n]"), folds.ENDS).when(~word(t), folds.OTHER).when(F.array_contains(low, F.lower(t)), folds.JOINS).otherwise(folds.WORD)
+    return folds.with_breaths(F.transform(tokens, lambda t: F.struct(t.alias("text"), kind(t).alias("kind"))), R.BREATH_WORDS)
 
 
 def prosody_rules(text: Column) -> Column:

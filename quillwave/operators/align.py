@@ -89,17 +89,17 @@ def fit_length(source: DataFrame, n_target: int, rate_hz: int, crossfade_ms: flo
 
 
 def crossfade_concat(chunks: DataFrame, overlap: int, curve: str = "cos2") -> DataFrame:
-    """chunks(chunk_no, pos, value) to (pos, value): neighbours overlap by `overlap` rows, by half of either at most.
+    """chunks(series_id, chunk_no, pos, value) to (series_id, pos, value): neighbours overlap by `overlap` rows, by half of either at most.
 
     cos2: squared cosines, ends included; equal_power: cosine and sine, the end left out.
     """
-    sizes = chunks.groupBy("chunk_no").agg((F.max("pos") + 1).alias("n"))
-    order = Window.orderBy("chunk_no")  # a row per chunk
+    sizes = chunks.groupBy("series_id", "chunk_no").agg((F.max("pos") + 1).alias("n"))
+    order = Window.partitionBy("series_id").orderBy("chunk_no")  # a row per chunk
     half = lambda c: F.floor(c / 2)
     with_last = F.when(F.lag("n").over(order).isNull(), 0).otherwise(F.least(F.lit(overlap), half(F.lag("n").over(order)), half(F.col("n"))))
     sizes = sizes.withColumn("head", F.when(with_last < 2, 0).otherwise(with_last)).withColumn("tail", F.coalesce(F.lead("head").over(order), F.lit(0)))
     sizes = sizes.withColumn("start", F.coalesce(F.sum(F.col("n") - F.col("tail")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    rows = chunks.join(sizes, "chunk_no")
+    rows = chunks.join(sizes, ["series_id", "chunk_no"])
     last = 1 if curve == "cos2" else 0
     angle = lambda place, n: place / (n - last) * (math.pi / 2)
     out_place = F.col("pos") - (F.col("n") - F.col("tail"))
@@ -107,7 +107,7 @@ def crossfade_concat(chunks: DataFrame, overlap: int, curve: str = "cos2") -> Da
     if curve == "cos2":
         rise, fall = rise * rise, fall * fall
     weight = F.when(F.col("pos") < F.col("head"), rise).otherwise(1.0) * F.when(out_place >= 0, F.when(F.col("tail") > 0, fall).otherwise(1.0)).otherwise(1.0)
-    return rows.groupBy((F.col("start") + F.col("pos")).alias("out")).agg(F.sum(F.col("value") * weight).alias("value")).withColumnRenamed("out", "pos")
+    return rows.groupBy("series_id", (F.col("start") + F.col("pos")).alias("out")).agg(F.sum(F.col("value") * weight).alias("value")).withColumnRenamed("out", "pos")
 
 
 def downmix(signal: DataFrame) -> DataFrame:

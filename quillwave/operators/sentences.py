@@ -1,10 +1,11 @@
-"""Sentences and chunks: splits, and folds over the sentences of a text."""
+"""Sentences and chunks: splits, and groups of the sentences of a text."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import folds
 from ..functions import rules as R
 from ..functions.text import count_words, strip
 
@@ -23,21 +24,8 @@ def merge_short_sentences(sentences: Column) -> Column:
 
     The last sentence stands alone even if short, but only if nothing was carried into it. A single sentence is left as it is.
     """
-    empty = F.expr("cast(array() as array<string>)")
-
-    def step(state: Column, raw: Column) -> Column:
-        carried = state["carry"] != ""
-        s = F.when(carried, F.concat(state["carry"], F.lit(" "), raw)).otherwise(raw)
-        hold = (count_words(s) < R.SHORT_SENTENCE) & ((state["left"] > 1) | carried)
-        return F.struct((state["left"] - 1).alias("left"), F.when(hold, state["out"]).otherwise(F.concat(state["out"], F.array(s))).alias("out"), F.when(hold, s).otherwise("").alias("carry"), state["all"].alias("all"))
-
-    def end(state: Column) -> Column:
-        out, carry = state["out"], state["carry"]
-        joined = F.concat(F.slice(out, 1, F.size(out) - 1), F.array(F.concat(F.element_at(out, -1), F.lit(" "), carry)))
-        return F.when(state["all"] <= 1, F.when(carry == "", out).otherwise(F.array(carry))).when(carry == "", out).when(F.size(out) == 0, F.array(carry)).otherwise(joined)
-
-    n = F.size(sentences)
-    return F.aggregate(sentences, F.struct(n.alias("left"), empty.alias("out"), F.lit("").alias("carry"), n.alias("all")), step, end)
+    groups = folds.carried_groups(F.transform(sentences, count_words), R.SHORT_SENTENCE)
+    return F.transform(groups, lambda g: folds.joined(sentences, g))
 
 
 def estimate_tokens(text: Column) -> Column:
@@ -47,38 +35,22 @@ def estimate_tokens(text: Column) -> Column:
 def chunk_by_tokens(sentences: Column, most: int = R.CHUNK_TOKENS, ceiling: int = R.CEILING_TOKENS) -> Column:
     """Greedy packing to `most` tokens; a sentence above `ceiling` ends the chunk and is cut every ceiling / 1.3 words."""
     cut = int(ceiling / R.TOKENS_PER_WORD)
-    start = F.struct(F.expr("cast(array() as array<string>)").alias("out"), F.lit("").alias("held"), F.lit(0).alias("tokens"))
 
-    def step(state: Column, s: Column) -> Column:
-        t = estimate_tokens(s)
-        closed = F.when(state["held"] == "", state["out"]).otherwise(F.concat(state["out"], F.array(state["held"])))
+    def pieces(s: Column) -> Column:
         words = F.filter(F.split(s, r"(?U)\s+"), lambda w: w != "")
-        pieces = F.transform(F.sequence(F.lit(0), F.floor((F.size(words) - 1) / cut).cast("int")), lambda i: F.array_join(F.slice(words, i * cut + 1, cut), " "))
-        huge, full = t > ceiling, (state["tokens"] + t > most) & (state["held"] != "")
-        fresh = full | (state["held"] == "")
-        return F.struct(
-            F.when(huge, F.concat(closed, pieces)).when(full, closed).otherwise(state["out"]).alias("out"),
-            F.when(huge, "").when(fresh, s).otherwise(F.concat(state["held"], F.lit(" "), s)).alias("held"),
-            F.when(huge, 0).when(fresh, t).otherwise(state["tokens"] + t).alias("tokens"),
-        )
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(words) - 1) / cut).cast("int")), lambda i: F.array_join(F.slice(words, i * cut + 1, cut), " "))
 
-    return F.aggregate(sentences, start, step, lambda s: F.when(s["held"] == "", s["out"]).otherwise(F.concat(s["out"], F.array(s["held"]))))
+    groups = folds.packed_groups(F.transform(sentences, estimate_tokens), most, 0, ceiling)
+    return F.flatten(F.transform(groups, lambda g: F.when(g["cut"], pieces(F.get(sentences, g["first"]))).otherwise(F.array(folds.joined(sentences, g)))))
 
 
 def chunk_by_chars(text: Column, most: int = R.CHUNK_CHARS, full_stop: bool = True) -> Column:
     """Greedy packing of sentences to `most` characters; with `full_stop` every chunk ends in punctuation. Long sentences stay whole."""
     close = lambda t: F.when(F.lit(full_stop) & (t != "") & ~t.rlike(r"[.!?…]\z"), F.concat(t, F.lit("."))).otherwise(t)
     body = close(strip(text))
-    start = F.struct(F.expr("cast(array() as array<string>)").alias("out"), F.lit("").alias("held"))
-
-    def step(state: Column, s: Column) -> Column:
-        longer = F.when(state["held"] == "", s).otherwise(strip(F.concat(state["held"], F.lit(" "), s)))
-        full = (F.length(longer) > most) & (state["held"] != "")
-        return F.struct(F.when(full, F.concat(state["out"], F.array(close(strip(state["held"]))))).otherwise(state["out"]).alias("out"), F.when(full, s).otherwise(longer).alias("held"))
-
-    end = lambda s: F.when(s["held"] == "", s["out"]).otherwise(F.concat(s["out"], F.array(close(strip(s["held"])))))
-    chunks = F.aggregate(F.split(body, r"(?U)(?<=[.!?…])\s+"), start, step, end)
-    return F.when(F.size(chunks) > 0, chunks).otherwise(F.array(body))
+    sentences = F.split(body, r"(?U)(?<=[.!?…])\s+")
+    groups = folds.packed_groups(F.transform(sentences, F.length), most, 1)
+    return F.transform(groups, lambda g: close(strip(folds.joined(sentences, g))))
 
 
 def annotate_speed(sentence: Column, base_speed: Column | float = 0.9) -> Column:

@@ -118,22 +118,22 @@ def onset_density(spectrum: DataFrame, lengths: DataFrame, most: float = ONSET_D
 
 
 def boundary_similarity(chunks: DataFrame, overlap: int, rate_hz: float, size: int, least_rows: int = 1024, least: float = MIN_SIMILARITY) -> DataFrame:
-    """chunks(chunk_no, pos, value): cosine of the mean spectra of a chunk's last and the next one's first `overlap` rows; short ends count 1."""
-    n = chunks.groupBy("chunk_no").agg((F.max("pos") + 1).alias("n"))
-    rows = chunks.join(n, "chunk_no")
-    tails = rows.filter(F.col("pos") >= F.col("n") - overlap).select(F.concat(F.lit("t"), "chunk_no").alias("series_id"), (F.col("pos") - F.greatest(F.col("n") - overlap, F.lit(0))).alias("pos"), "value")
-    heads = rows.filter(F.col("pos") < overlap).select(F.concat(F.lit("h"), "chunk_no").alias("series_id"), "pos", "value")
+    """chunks(series_id, chunk_no, pos, value): cosine of the mean spectra of a chunk's last and the next one's first `overlap` rows; short ends count 1."""
+    n = chunks.groupBy("series_id", "chunk_no").agg((F.max("pos") + 1).alias("n"))
+    rows = chunks.join(n, ["series_id", "chunk_no"])
+    name = lambda side: F.concat_ws("|", F.lit(side), "chunk_no", "series_id").alias("series_id")
+    tails = rows.filter(F.col("pos") >= F.col("n") - overlap).select(name("t"), (F.col("pos") - F.greatest(F.col("n") - overlap, F.lit(0))).alias("pos"), "value")
+    heads = rows.filter(F.col("pos") < overlap).select(name("h"), "pos", "value")
     means = dft_frames(tails.unionByName(heads), rate_hz, size).groupBy("series_id", "bin").agg(F.avg("power").alias("p"))
-    side = F.substring("series_id", 1, 1)
-    number = F.expr("cast(substring(series_id, 2) as bigint)")
-    a = means.filter(side == "t").select(number.alias("boundary"), "bin", F.col("p").alias("a"))
-    b = means.filter(side == "h").select((number - 1).alias("boundary"), "bin", F.col("p").alias("b"))
+    side, number, own = (F.split("series_id", r"\|", 3)[i] for i in range(3))
+    a = means.filter(side == "t").select(own.alias("series_id"), number.cast("long").alias("boundary"), "bin", F.col("p").alias("a"))
+    b = means.filter(side == "h").select(own.alias("series_id"), (number.cast("long") - 1).alias("boundary"), "bin", F.col("p").alias("b"))
     cos = F.sum(F.col("a") * F.col("b")) / F.greatest(F.sqrt(F.sum(F.col("a") * F.col("a"))) * F.sqrt(F.sum(F.col("b") * F.col("b"))), F.lit(1e-8))
-    found = a.join(b, ["boundary", "bin"]).groupBy("boundary").agg(cos.alias("cos"))
-    order = Window.orderBy("chunk_no")  # a row per chunk
-    pairs = n.select(F.col("chunk_no").alias("boundary"), F.least(F.col("n"), F.lead("n").over(order), F.lit(overlap)).alias("rows"), F.lead("n").over(order).alias("next")).filter("next IS NOT NULL")
+    found = a.join(b, ["series_id", "boundary", "bin"]).groupBy("series_id", "boundary").agg(cos.alias("cos"))
+    order = Window.partitionBy("series_id").orderBy("chunk_no")  # a row per chunk
+    pairs = n.select("series_id", F.col("chunk_no").alias("boundary"), F.least(F.col("n"), F.lead("n").over(order), F.lit(overlap)).alias("rows"), F.lead("n").over(order).alias("next")).filter("next IS NOT NULL")
     value = F.when(F.col("rows") < least_rows, 1.0).otherwise(F.coalesce("cos", F.lit(1.0)))
-    return pairs.join(found, "boundary", "left").select("boundary", value.alias("similarity"), (value >= least).alias("passed"))
+    return pairs.join(found, ["series_id", "boundary"], "left").select("series_id", "boundary", value.alias("similarity"), (value >= least).alias("passed"))
 
 
 def level_ratio(voice: DataFrame, music: DataFrame, activity: DataFrame, least_db: float = MIN_RATIO_DB) -> DataFrame:

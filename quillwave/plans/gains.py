@@ -50,8 +50,7 @@ def _gain_curve(s: SparkSession, d: str) -> DataFrame:
 
 
 def _chunks(s: SparkSession, d: str) -> DataFrame:
-    rows = signal(s, d).filter("series_id = 'click'")
-    return rows.select(F.floor(F.col("pos") / 300).alias("chunk_no"), (F.col("pos") % 300).alias("pos"), "value")
+    return signal(s, d).select("series_id", F.floor(F.col("pos") / 300).alias("chunk_no"), (F.col("pos") % 300).alias("pos"), "value")
 
 
 def _jobs(s: SparkSession, d: str) -> DataFrame:
@@ -102,7 +101,7 @@ QUERIES = {
     ),
     "crossfade_concat": (
         lambda s, d: _r(A.crossfade_concat(_chunks(s, d), 30), "value"),
-        f"WITH {SIGNAL_SQL}, c AS (SELECT pos // 300 AS c, pos % 300 AS p, value FROM signal WHERE series_id = 'click'), z AS (SELECT c, count(*) AS n FROM c GROUP BY 1), y AS (SELECT *, CASE WHEN lag(n) OVER (ORDER BY c) IS NULL OR least(30, lag(n) OVER (ORDER BY c) // 2, n // 2) < 2 THEN 0 ELSE least(30, lag(n) OVER (ORDER BY c) // 2, n // 2) END AS head FROM z), x AS (SELECT *, coalesce(lead(head) OVER (ORDER BY c), 0) AS tail FROM y), w AS (SELECT *, coalesce(sum(n - tail) OVER (ORDER BY c ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM x) SELECT CAST(start + p AS BIGINT) AS pos, round(sum(value * CASE WHEN p < head THEN pow(sin(p / (head - 1) * pi() / 2), 2) ELSE 1 END * CASE WHEN tail > 0 AND p >= n - tail THEN pow(cos((p - (n - tail)) / (tail - 1) * pi() / 2), 2) ELSE 1 END), 6) AS value FROM c JOIN w USING (c) GROUP BY 1",
+        f"WITH {SIGNAL_SQL}, c AS (SELECT series_id, pos // 300 AS c, pos % 300 AS p, value FROM signal), z AS (SELECT series_id, c, count(*) AS n FROM c GROUP BY 1, 2), y AS (SELECT *, CASE WHEN lag(n) OVER k IS NULL OR least(30, lag(n) OVER k // 2, n // 2) < 2 THEN 0 ELSE least(30, lag(n) OVER k // 2, n // 2) END AS head FROM z WINDOW k AS (PARTITION BY series_id ORDER BY c)), x AS (SELECT *, coalesce(lead(head) OVER (PARTITION BY series_id ORDER BY c), 0) AS tail FROM y), w AS (SELECT *, coalesce(sum(n - tail) OVER (PARTITION BY series_id ORDER BY c ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM x) SELECT series_id, CAST(start + p AS BIGINT) AS pos, round(sum(value * CASE WHEN p < head THEN pow(sin(p / (head - 1) * pi() / 2), 2) ELSE 1 END * CASE WHEN tail > 0 AND p >= n - tail THEN pow(cos((p - (n - tail)) / (tail - 1) * pi() / 2), 2) ELSE 1 END), 6) AS value FROM c JOIN w USING (series_id, c) GROUP BY 1, 2",
     ),
     "downmix": (lambda s, d: _r(A.downmix(signal(s, d).unionByName(signal(s, d).withColumn("channel", F.lit(1)).withColumn("value", F.col("value") / 3))), "value"), f"WITH {SIGNAL_SQL} SELECT series_id, pos, round((value + value / 3) / 2, 6) AS value FROM signal"),
     "wet_dry_blend": (lambda s, d: _r(A.wet_dry_blend(*two_signals(s, d), 0.25), "value"), TWO + " SELECT v.pos, round(greatest(least(0.75 * v.value + 0.25 * m.value, 1), -1), 6) AS value FROM voice v JOIN music m ON v.pos = m.pos"),

@@ -33,7 +33,7 @@ def _metrics(s: SparkSession, d: str) -> DataFrame:
 
 
 def _chunks(s: SparkSession, d: str) -> DataFrame:
-    return signal(s, d).filter("series_id = 'click'").select(F.floor(F.col("pos") / 400).alias("chunk_no"), (F.col("pos") % 400).alias("pos"), "value")
+    return signal(s, d).select("series_id", F.floor(F.col("pos") / 400).alias("chunk_no"), (F.col("pos") % 400).alias("pos"), "value")
 
 
 def _attempts(s: SparkSession, d: str) -> DataFrame:
@@ -65,11 +65,11 @@ QUERIES = {
     "onset_density": (lambda s, d: _r(P.onset_density(_spectrum(s, d), _lengths(s, d)), 6, "onsets_per_sec"), ONSETS + ", m AS (SELECT *, avg(strength) OVER (PARTITION BY series_id ORDER BY frame ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS mean, lag(strength) OVER w AS a, lead(strength) OVER w AS b FROM ons WINDOW w AS (PARTITION BY series_id ORDER BY frame)), g AS (SELECT m.series_id, count(*) FILTER (WHERE strength >= coalesce(a, strength) AND strength > coalesce(b, -1) AND strength > 1.5 * mean) / (any_value(n.n) / 100.0) AS r FROM m JOIN n ON m.series_id = n.series_id GROUP BY 1) SELECT series_id, round(r, 6) AS onsets_per_sec, r <= 0.5 AS passed FROM g"),
     "boundary_similarity": (
         lambda s, d: _r(P.boundary_similarity(_chunks(s, d), 128, RATE, SIZE, least_rows=100), 4, "similarity"),
-        f"""WITH {SIGNAL_SQL}, c AS (SELECT pos // 400 AS c, pos % 400 AS p, value, count(*) OVER (PARTITION BY pos // 400) AS n FROM signal WHERE series_id = 'click'), e AS (SELECT 't' AS side, c, n, p - greatest(n - 128, 0) AS p, value FROM c WHERE p >= n - 128 UNION ALL SELECT 'h', c, n, p, value FROM c WHERE p < 128),
- fr AS (SELECT side, c, unnest(range(0, (least(max(n), 128) - 64) // 32 + 1)) AS frame FROM e GROUP BY 1, 2), x AS (SELECT fr.side, fr.c, frame, p - frame * 32 AS k, value - avg(value) OVER (PARTITION BY fr.side, fr.c, frame) AS v FROM fr JOIN e ON e.side = fr.side AND e.c = fr.c AND p BETWEEN frame * 32 AND frame * 32 + 63),
- f AS (SELECT side, c, frame, bin, sum(v * (0.5 - 0.5 * cos(2 * pi() * k / 64)) * cos(2 * pi() * bin * k / 64)) AS re, sum(v * (0.5 - 0.5 * cos(2 * pi() * k / 64)) * sin(2 * pi() * bin * k / 64)) AS im FROM x, (SELECT unnest(range(0, 33)) AS bin) GROUP BY 1, 2, 3, 4),
- m AS (SELECT side, c, bin, avg((re * re + im * im) * CASE WHEN bin IN (0, 32) THEN 1 ELSE 2 END / 2400.0) AS p FROM f GROUP BY 1, 2, 3), g AS (SELECT a.c AS boundary, sum(a.p * b.p) / greatest(sqrt(sum(a.p * a.p)) * sqrt(sum(b.p * b.p)), 1e-8) AS s FROM m a JOIN m b ON a.side = 't' AND b.side = 'h' AND b.c = a.c + 1 AND a.bin = b.bin GROUP BY 1),
- z AS (SELECT DISTINCT a.c AS boundary, least(a.n, b.n, 128) AS r FROM c a JOIN c b ON b.c = a.c + 1) SELECT z.boundary, round(CASE WHEN r < 100 THEN 1.0 ELSE coalesce(s, 1.0) END, 4) AS similarity, CASE WHEN r < 100 THEN 1.0 ELSE coalesce(s, 1.0) END >= 0.85 AS passed FROM z LEFT JOIN g USING (boundary)""",
+        f"""WITH {SIGNAL_SQL}, c AS (SELECT series_id AS s, pos // 400 AS c, pos % 400 AS p, value, count(*) OVER (PARTITION BY series_id, pos // 400) AS n FROM signal), e AS (SELECT s, 't' AS side, c, n, p - greatest(n - 128, 0) AS p, value FROM c WHERE p >= n - 128 UNION ALL SELECT s, 'h', c, n, p, value FROM c WHERE p < 128),
+ fr AS (SELECT s, side, c, unnest(range(0, (least(max(n), 128) - 64) // 32 + 1)) AS frame FROM e GROUP BY 1, 2, 3), x AS (SELECT fr.s, fr.side, fr.c, frame, p - frame * 32 AS k, value - avg(value) OVER (PARTITION BY fr.s, fr.side, fr.c, frame) AS v FROM fr JOIN e ON e.s = fr.s AND e.side = fr.side AND e.c = fr.c AND p BETWEEN frame * 32 AND frame * 32 + 63),
+ f AS (SELECT s, side, c, frame, bin, sum(v * (0.5 - 0.5 * cos(2 * pi() * k / 64)) * cos(2 * pi() * bin * k / 64)) AS re, sum(v * (0.5 - 0.5 * cos(2 * pi() * k / 64)) * sin(2 * pi() * bin * k / 64)) AS im FROM x, (SELECT unnest(range(0, 33)) AS bin) GROUP BY 1, 2, 3, 4, 5),
+ m AS (SELECT s, side, c, bin, avg((re * re + im * im) * CASE WHEN bin IN (0, 32) THEN 1 ELSE 2 END / 2400.0) AS p FROM f GROUP BY 1, 2, 3, 4), g AS (SELECT a.s, a.c AS boundary, sum(a.p * b.p) / greatest(sqrt(sum(a.p * a.p)) * sqrt(sum(b.p * b.p)), 1e-8) AS cos FROM m a JOIN m b ON a.s = b.s AND a.side = 't' AND b.side = 'h' AND b.c = a.c + 1 AND a.bin = b.bin GROUP BY 1, 2),
+ y AS (SELECT DISTINCT s, c, n FROM c), z AS (SELECT a.s, a.c AS boundary, least(a.n, b.n, 128) AS r FROM y a JOIN y b ON a.s = b.s AND b.c = a.c + 1) SELECT z.s AS series_id, z.boundary, round(CASE WHEN r < 100 THEN 1.0 ELSE coalesce(cos, 1.0) END, 4) AS similarity, CASE WHEN r < 100 THEN 1.0 ELSE coalesce(cos, 1.0) END >= 0.85 AS passed FROM z LEFT JOIN g USING (s, boundary)""",
     ),
     "level_ratio": (lambda s, d: _r(P.level_ratio(*two_signals(s, d), two_signals(s, d)[0].select("pos", (F.abs("value") > 0.1).alias("active"))), 6, "ratio_db"), f"WITH {TWO_SQL}, g AS (SELECT 20 * log10(sqrt(avg(v.value * v.value) + 1e-10) / sqrt(avg(m.value * m.value) + 1e-10)) AS r FROM voice v JOIN music m ON v.pos = m.pos WHERE abs(v.value) > 0.1) SELECT round(r, 6) AS ratio_db, r >= 15 AS passed FROM g"),
     "gain_rate": (lambda s, d: _r(P.gain_rate(signal(s, d), RATE), 6, "rate"), f"WITH {SIGNAL_SQL}, e AS (SELECT series_id, pos, 20 * log10(sqrt(sum(value * value) OVER (PARTITION BY series_id ORDER BY pos ROWS BETWEEN 5 PRECEDING AND 4 FOLLOWING) / 10 + 1e-10)) AS l FROM signal), x AS (SELECT series_id, abs(l - lag(l) OVER (PARTITION BY series_id ORDER BY pos)) * 100 AS st FROM e), g AS (SELECT series_id, quantile_cont(st, 0.99) AS r FROM x WHERE st IS NOT NULL GROUP BY 1) SELECT series_id, round(r, 6) AS rate, r <= 30 AS passed FROM g"),

@@ -45,7 +45,7 @@ def _progress(spark: SparkSession, d: str) -> DataFrame:
     folder = shared_folder(spark)
     query = O.stream_progress(rows).writeStream.outputMode("update").foreachBatch(O.upsert_latest(f"{folder}/out")).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.parquet(f"{folder}/out/v={query.lastProgress['batchId']}")
+    return O.latest(spark, f"{folder}/out")
 
 
 def _budget(spark: SparkSession, d: str) -> DataFrame:

@@ -124,20 +124,33 @@ def stream_progress(events: DataFrame) -> DataFrame:
     return events.groupBy("job_id").agg(F.max("fraction").alias("fraction"), F.max_by("message", F.struct("fraction", "message")).alias("message"))
 
 
+#: So many batches after a full version the next full one is written.
+COMPACT = 20
+
+
 def upsert_latest(path: str):
-    """A foreachBatch sink that keeps one Parquet version per batch: the newest row per job over the version before."""
+    """A foreachBatch sink: each batch is a Parquet version of its own with the changed jobs; every COMPACT-th holds all jobs. Read by `latest`."""
 
     def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        new = batch
-        if number:
-            old = spark.read.parquet(f"{path}/v={number - 1}")
-            new = old.join(batch.select("job_id"), "job_id", "left_anti").select(*batch.columns).unionByName(batch)
-        new.write.mode("overwrite").parquet(f"{path}/v={number}")
+        rows = batch
+        if number and number % COMPACT == 0:
+            old = latest(batch.sparkSession, path, before=number)
+            rows = old.join(batch.select("job_id"), "job_id", "left_anti").select(*batch.columns).unionByName(batch)
+        rows.write.mode("overwrite").parquet(f"{path}/v={number}")
 
     return write
 
 
+def latest(spark, path: str, before: int | None = None) -> DataFrame:
+    """The newest row of each job: the last full version (below `before`) and the batches behind it; older files are not read."""
+    rows = spark.read.option("basePath", path).parquet(path)
+    rows = rows if before is None else rows.filter(F.col("v") < before)
+    newest = rows.agg(F.max("v")).first()[0] or 0
+    rows = rows.filter(F.col("v") >= newest - newest % COMPACT)
+    columns = [c for c in rows.columns if c not in ("v", "job_id")]
+    return rows.groupBy("job_id").agg(F.max_by(F.struct(*columns), "v").alias("r")).select("job_id", "r.*")
+
+
 def stream_scripts(files: DataFrame, late: str = "1 hour") -> DataFrame:
     """files(script_id, ts, text): each script once, its tags and paragraph breaks written out, all within the row."""
     once = files.withWatermark("ts", late).dropDuplicatesWithinWatermark(["script_id"])

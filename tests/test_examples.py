@@ -291,8 +291,9 @@ def test_fit_modes(spark):
 
 
 def test_crossfade_length_and_mix(spark):
-    chunks = spark.createDataFrame([(0, i, 1.0) for i in range(2400)] + [(1, i, 0.5) for i in range(2400)], "chunk_no long, pos long, value double")
-    out = A.crossfade_concat(chunks, 100).orderBy("pos").collect()
+    chunks = spark.createDataFrame([(s, 0, i, 1.0) for s in "ab" for i in range(2400)] + [(s, 1, i, 0.5) for s in "ab" for i in range(2400)], "series_id string, chunk_no long, pos long, value double")
+    assert A.crossfade_concat(chunks, 100).count() == 2 * 4700
+    out = A.crossfade_concat(chunks, 100).filter("series_id = 'a'").orderBy("pos").collect()
     assert len(out) == 4700 and out[0].value == 1.0 and out[-1].value == 0.5 and 0.5 < out[2350].value < 1.0
     tone = [(i, math.sin(i / 3)) for i in range(3000)]
     mixed = A.mix(spark.createDataFrame(tone, "pos long, value double"), spark.createDataFrame([(i, 0.5) for i in range(9000)], "pos long, value double"), 100)

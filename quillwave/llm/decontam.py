@@ -226,6 +226,6 @@ def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataF
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The rows of `docs`, all columns, without the documents that hold a test window."""
+    """The rows of `docs`, all columns, without the documents that hold a test window. Null texts hold none and stay."""
     rows = with_matches(docs, benchmark, window=window, name="__found_in_tests")
     return rows.filter(F.size("__found_in_tests.hits") == 0).drop("__found_in_tests")

@@ -207,7 +207,11 @@ def identify(docs: DataFrame, model: LanguageFilter | None = None) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, least_score: float = 0.0, languages: tuple[str, ...] | None = None, model: LanguageFilter | None = None) -> DataFrame:
-    """The rows of `docs` whose language is known with at least `least_score`, and is one of `languages` if they are given."""
+    """The rows of `docs`, all columns, whose language is known with at least `least_score`, and is one of `languages` if they are given.
+
+    Rows with null texts or texts without letters go; null ids stay and may teach; repeated rows are kept or go together. If
+    nothing can be learned (no rows with text and lang), only texts without letters go. An empty table gives no rows.
+    """
     model = model or fit(docs)
     if not model.languages:  # nothing to learn from: only texts without letters are rejected
         return docs.filter(docs["text"].rlike(r"\p{L}"))

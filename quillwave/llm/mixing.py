@@ -95,7 +95,11 @@ def mix_report(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: float
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: float = MOST) -> DataFrame:
-    """The mixed corpus: the rows of `docs`, all their columns, each as often as the mix takes it."""
+    """The mixed corpus: the rows of `docs`, all their columns, each as often as the mix takes it.
+
+    Rows of size 0 (null texts) are taken `whole` times and once more below the threshold, like any; a null source is one of
+    its own; an empty table gives no rows.
+    """
     _, plan = plan_mix(docs, weights, most)
     plan = broadcast_if_small(plan.select(F.col("source").alias("__of"), F.col("whole").alias("__whole"), F.col("threshold").alias("__threshold")))
     times = times_taken(mix_key(docs["doc_id"], docs["text"]), F.col("__whole"), F.col("__threshold")).cast("int")

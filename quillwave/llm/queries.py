@@ -16,6 +16,7 @@ def tokenizer_file() -> str:
 
 
 def op1_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token records of all documents, written, read back and indexed. Null texts have the end id alone; null ids come first; repeats stay. An empty table gives no rows."""
     path = shared_dir(spark)
     binary_records.write_records(table(spark, sf_dir, "documents"), path, tokenizer_file(), end_id=1, words_apart=True)
     index = binary_records.write_index(spark, path, f"{path}-index")
@@ -23,6 +24,7 @@ def op1_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """WARC records of all pages, written and read back. Null html is an empty payload; equal payloads of 100 bytes and more are revisits of the smallest id. An empty table gives no rows."""
     path = shared_dir(spark)
     warc.write_warc(table(spark, sf_dir, "pages"), path)
     records = warc.read_warc(spark, path, payloads=False)
@@ -30,34 +32,42 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document. Null and wordless texts have the fingerprint 0 and link; ties and repeats share a component. An empty table gives no rows."""
     return simhash.report(table(spark, sf_dir, "documents"))
 
 
 def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page without the subtrees that recur on its host. Null and empty html give an empty text; repeats give equal rows. An empty table gives no rows."""
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
 def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document by its text alone. Null texts and texts without letters are `und`; ties go to the first language by name. An empty table gives no rows."""
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
 def op6_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that repeated windows cover. Null texts have no words; repeated documents lose all that windows cover. An empty table gives no rows."""
     return substring.report(table(spark, sf_dir, "documents"))
 
 
 def op7_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest of every fiftieth vector. Null, zero and non-finite vectors take no part; ties go to the smaller id; repeats count once. An empty table gives no rows."""
     return ann.search(table(spark, sf_dir, "embeddings"))
 
 
 def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix takes of every document. Null texts have size 0; a null source is the last source; equal rows share a decision. An empty table gives no rows."""
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
 
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document by rules and network. Null texts have none; repeated documents have equal spans. An empty table gives no rows."""
     return secrets.report(table(spark, sf_dir, "documents"))
 
 
 def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark windows in every document. Null texts have no words, null items no windows; a null item_id stands in no list but counts. An empty table gives no rows."""
     return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("longest")
 
 

@@ -840,6 +840,70 @@ def test_pipeline(spark, tmp_path):
     assert json.dumps(out[0].asDict())
 
 
+def pipeline_folder(spark, tmp_path, rows, items):
+    folder = tmp_path / "sf"
+    spark.createDataFrame(rows, SCHEMA).write.parquet(str(folder / "documents.parquet"))
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(folder / "benchmark.parquet"))
+    return str(folder)
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    """Null ids, null texts, repeated rows and extra columns: near duplicates, decontamination, mix and records redone by hand."""
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    rows = language_rows() + [(3_000 + i, t + " ending", "en", "s2", None, *PLAIN) for i, (_, t, *_) in enumerate(language_rows()[:12])]
+    rows += [(None, "über schung " * 30, "de", None, None, *PLAIN), (4_000, None, "en", "s", None, *PLAIN), rows[5], rows[5]]
+    items = [(1, rows[9][1]), (2, None), (None, rows[15][1][:120])]
+    folder = pipeline_folder(spark, tmp_path, rows, items)
+    df = spark.read.parquet(f"{folder}/documents.parquet")
+    plain = lambda df: sorted(((r.doc_id, r.text, r.source) for r in df.collect()), key=repr)
+    stage = [f for _, f in corpus_pipeline.STAGES]
+    known = stage[0](spark, df, folder)
+    first = plain(known)
+    assert [r for r in first if r[1] is None or not any(map(str.isalpha, r[1]))] == [] and len(first) == len([r for r in rows if r[1] and any(map(str.isalpha, r[1]))])
+    prints = {r[1]: slow_fingerprint(r[1]) for r in first}
+    root = slow_components(sorted(set(prints.values())), lambda a, b: (a ^ b).bit_count() <= 4)
+    groups = {}
+    for r in first:
+        groups.setdefault(root[prints[r[1]]], []).append(r)
+    kept = stage[1](spark, known, folder)
+    second = plain(kept)
+    assert sorted((min((r[0] for r in g if r[0] is not None), default=None) for g in groups.values()), key=repr) == sorted((r[0] for r in second), key=repr)
+    clean = stage[2](spark, kept, folder)
+    third = plain(clean)
+    assert third == [r for r in second if not slow_hits(r[1], items)[-1]] and len(third) < len(second)
+    sizes = {}
+    for r in third:
+        sizes[r[2]] = sizes.get(r[2], 0) + len(words(r[1]))
+    mixed = stage[3](spark, clean, folder)
+    fourth = plain(mixed)
+    target, largest = slow_targets(sizes), max(len(words(r[1])) for r in third)
+    assert all(abs(sum(len(words(r[1])) for r in fourth if r[2] == s) - target[s]) <= largest for s in sizes) and set(fourth) <= set(third)
+    encode = Tokenizer.from_file(tokenizer_file()).encode
+    want = sorted(((r[0], zlib.crc32(np.array(encode(r[1], add_special_tokens=False).ids + [1], "<u4").tobytes())) for r in fourth), key=repr)
+    out = stage[4](spark, mixed, folder)
+    assert sorted(((r.doc_id, r.ids_crc32) for r in out.collect()), key=repr) == want
+    assert sorted(((r.doc_id, r.ids_crc32) for r in corpus_pipeline.run(spark, folder).collect()), key=repr) == want
+
+
+def test_pipeline_of_empty_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    assert corpus_pipeline.run(spark, pipeline_folder(spark, tmp_path / "a", [], [])).count() == 0
+    rows = [(i, t, "en", "s", None, *PLAIN) for i, t in enumerate(lines(3, 8))]
+    assert corpus_pipeline.run(spark, pipeline_folder(spark, tmp_path / "b", rows, [])).count() == 8
+
+
+@pytest.mark.parametrize("name", ["op2_warc", "op6_substring", "op8_mix", "op10_decontam"])
+def test_queries_against_their_sql(spark, sf_dir, name):
+    import oracle
+
+    from quillwave.llm import queries
+
+    assert oracle.compare(spark, sf_dir, queries.QUERIES[name], queries.ORACLE_SQL[name]) == ""
+
+
 def test_pieces_of_long_texts_change_nothing(monkeypatch):
     texts = [t for _, t, *_ in corpus()]
     prints = [simhash.fingerprint((t or "").encode()) for t in texts]

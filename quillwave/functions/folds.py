@@ -15,19 +15,6 @@ from pyspark.sql import functions as F
 
 OTHER, ENDS, WORD, JOINS = 0, 1, 2, 3
 
-GROUPS = "array<struct<first:int,size:int,cut:boolean>>"
-_GROUPS = pa.list_(pa.struct([("first", pa.int32()), ("size", pa.int32()), ("cut", pa.bool_())]))
-
-
-def _decided(numbers: Column, decide, kind: str, arrow: pa.DataType) -> Column:
-    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for b in batches:
-            yield pa.array([None if x is None else decide(x) for x in b.to_pylist()], arrow)
-
-    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    return F.arrow_udf(run, kind)(numbers)
-
-
 def _rejoined(parts: Column, decide) -> Column:
     """The texts of array<struct<text,number>> in one, each with what decide(numbers) gives put before it."""
 
@@ -72,49 +59,65 @@ def with_clause_commas(parts: Column) -> Column:
     return _rejoined(parts, decide)
 
 
-def carried_groups(words: Column, least: int) -> Column:
-    """GROUPS of sentences: short ones are carried on until `least` words are together, a rest joins the group before it."""
+GROUPS = "array<struct<text:string,cut:boolean>>"
+_GROUPS = pa.list_(pa.struct([("text", pa.string()), ("cut", pa.bool_())]))
+
+
+def _grouped(parts: Column, decide) -> Column:
+    """The texts of array<struct<text,number>> in GROUPS, joined by spaces; decide(numbers) gives (first, count, cut) of each group."""
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for b in batches:
+            inner = b.flatten()
+            texts, numbers = inner.field(0).to_pylist(), inner.field(1).to_pylist()
+            at = (b.offsets.to_numpy() - b.offsets[0].as_py()).tolist()
+            out = [[{"text": " ".join(texts[i + first : i + first + n]), "cut": cut} for first, n, cut in decide(numbers[i:j])] for i, j in zip(at, at[1:])]
+            yield pa.array(out, _GROUPS, mask=b.is_null().to_numpy(zero_copy_only=False))
+
+    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(run, GROUPS)(parts)
+
+
+def carried_groups(parts: Column, least: int) -> Column:
+    """GROUPS of array<struct<text,words>>: short texts are carried on until `least` words are together, a rest joins the group before it."""
 
     def decide(counts: list[int]) -> list[tuple]:
-        out: list[list[int]] = []
+        out: list[tuple] = []
         first = total = 0
         for i, n in enumerate(counts):
             total += n
             if total >= least or i == len(counts) - 1 and i == first:
-                out.append([first, i + 1 - first])
+                out.append((first, i + 1 - first, False))
                 first, total = i + 1, 0
         if first < len(counts):
-            rest = len(counts) - first
-            if out:
-                out[-1][1] += rest
-            else:
-                out.append([first, rest])
-        return [{"first": a, "size": n, "cut": False} for a, n in out]
+            start = out.pop()[0] if out else first
+            out.append((start, len(counts) - start, False))
+        return out
 
-    return _decided(words, decide, GROUPS, _GROUPS)
+    return _grouped(parts, decide)
 
 
-def packed_groups(sizes: Column, most: int, between: int, ceiling: int | None = None) -> Column:
-    """GROUPS of parts: as many as fit into `most` with `between` for each joint; one above `ceiling` stands alone, to be cut."""
+def packed_groups(parts: Column, most: int, between: int, ceiling: int | None = None) -> Column:
+    """GROUPS of array<struct<text,size>>: as many as fit into `most` with `between` for each joint; one above `ceiling` stands alone, to be cut."""
 
-    def decide(parts: list[int]) -> list[tuple]:
-        out: list[dict] = []
+    def decide(sizes: list[int]) -> list[tuple]:
+        out: list[tuple] = []
         total: int | None = None  # nothing held
-        for i, n in enumerate(parts):
+        for i, n in enumerate(sizes):
             if ceiling is not None and n > ceiling:
-                out.append({"first": i, "size": 1, "cut": True})
+                out.append((i, 1, True))
                 total = None
             elif total is None or total + between + n > most:
-                out.append({"first": i, "size": 1, "cut": False})
+                out.append((i, 1, False))
                 total = n
             else:
-                out[-1]["size"] += 1
+                out[-1] = (out[-1][0], out[-1][1] + 1, False)
                 total += between + n
         return out
 
-    return _decided(sizes, decide, GROUPS, _GROUPS)
+    return _grouped(parts, decide)
 
 
-def joined(parts: Column, group: Column) -> Column:
-    """The parts of a group in one text."""
-    return F.array_join(F.slice(parts, group["first"] + 1, group["size"]), " ")
+def told(parts: Column, number) -> Column:
+    """array<string> as array<struct<text,number>>."""
+    return F.transform(parts, lambda p: F.struct(p.alias("text"), number(p).alias("number")))

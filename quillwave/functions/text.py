@@ -135,7 +135,7 @@ def break_long_clauses(text: Column) -> Column:
         return (clause != "").cast("int") + 2 * long.cast("int")
 
     code = lambda p: told(p) + 4 * told(F.regexp_replace(p, rf"^(?:{conj}) [a-z]", ""))
-    return folds.with_clause_commas(F.transform(pieces, lambda p: F.struct(p.alias("text"), code(p).alias("code"))))
+    return folds.with_clause_commas(folds.told(pieces, code))
 
 
 def break_breath_groups(text: Column) -> Column:
@@ -144,7 +144,7 @@ def break_breath_groups(text: Column) -> Column:
     low = F.array(*map(F.lit, R.BREATH_CONJUNCTIONS))
     word = lambda t: t.rlike(r"(?U)^\w[\w'-]*\z")
     kind = lambda t: F.when(t.rlike(r"[,.!?\n]"), folds.ENDS).when(~word(t), folds.OTHER).when(F.array_contains(low, F.lower(t)), folds.JOINS).otherwise(folds.WORD)
-    return folds.with_breaths(F.transform(tokens, lambda t: F.struct(t.alias("text"), kind(t).alias("kind"))), R.BREATH_WORDS)
+    return folds.with_breaths(folds.told(tokens, kind), R.BREATH_WORDS)
 
 
 def prosody_rules(text: Column) -> Column:

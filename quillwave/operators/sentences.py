@@ -24,8 +24,7 @@ def merge_short_sentences(sentences: Column) -> Column:
 
     The last sentence stands alone even if short, but only if nothing was carried into it. A single sentence is left as it is.
     """
-    groups = folds.carried_groups(F.transform(sentences, count_words), R.SHORT_SENTENCE)
-    return F.transform(groups, lambda g: folds.joined(sentences, g))
+    return folds.carried_groups(folds.told(sentences, count_words), R.SHORT_SENTENCE)["text"]
 
 
 def estimate_tokens(text: Column) -> Column:
@@ -40,8 +39,8 @@ def chunk_by_tokens(sentences: Column, most: int = R.CHUNK_TOKENS, ceiling: int
         words = F.filter(F.split(s, r"(?U)\s+"), lambda w: w != "")
         return F.transform(F.sequence(F.lit(0), F.floor((F.size(words) - 1) / cut).cast("int")), lambda i: F.array_join(F.slice(words, i * cut + 1, cut), " "))
 
-    groups = folds.packed_groups(F.transform(sentences, estimate_tokens), most, 0, ceiling)
-    return F.flatten(F.transform(groups, lambda g: F.when(g["cut"], pieces(F.get(sentences, g["first"]))).otherwise(F.array(folds.joined(sentences, g)))))
+    groups = folds.packed_groups(folds.told(sentences, estimate_tokens), most, 0, ceiling)
+    return F.flatten(F.transform(groups, lambda g: F.when(g["cut"], pieces(g["text"])).otherwise(F.array(g["text"]))))
 
 
 def chunk_by_chars(text: Column, most: int = R.CHUNK_CHARS, full_stop: bool = True) -> Column:
@@ -49,8 +48,8 @@ def chunk_by_chars(text: Column, most: int = R.CHUNK_CHARS, full_stop: bool = Tr
     close = lambda t: F.when(F.lit(full_stop) & (t != "") & ~t.rlike(r"[.!?…]\z"), F.concat(t, F.lit("."))).otherwise(t)
     body = close(strip(text))
     sentences = F.split(body, r"(?U)(?<=[.!?…])\s+")
-    groups = folds.packed_groups(F.transform(sentences, F.length), most, 1)
-    return F.transform(groups, lambda g: close(strip(folds.joined(sentences, g))))
+    groups = folds.packed_groups(folds.told(sentences, F.length), most, 1)
+    return F.transform(groups, lambda g: close(strip(g["text"])))
 
 
 def annotate_speed(sentence: Column, base_speed: Column | float = 0.9) -> Column:

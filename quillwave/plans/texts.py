@@ -49,6 +49,32 @@ r AS (SELECT doc_id, CAST(unnest(range(0, len(a))) AS INT) AS sent_no, unnest(a)
 _N = r"len(list_filter(regexp_split_to_array(sentence, '\s+'), lambda w : w <> ''))"
 
 
+def _count(x: str) -> str:
+    return rf"len(list_filter(regexp_split_to_array({x}, '\s+'), lambda w : w <> ''))"
+
+
+def _reduced(source: str, fields: dict[str, str], step: str) -> str:
+    """A left fold over the list `source`: each text is x.s, what is carried are the `fields` of p, with the values they begin with."""
+    state = lambda text: "{" + ", ".join(f"'{k}': {v}" for k, v in fields.items()) + f", 's': {text}}}"
+    return f"list_reduce(list_prepend({state(chr(39) * 2)}, list_transform({source}, lambda s : {state('s')})), lambda p, x : {step})"
+
+
+_OUT = "[]::VARCHAR[]"
+# carry: the short ones so far; n: sentences left
+_MERGED = _SENTENCES + ", f AS (SELECT doc_id, " + _reduced("a", {"out": _OUT, "carry": "''", "n": "len(a)"}, "list_transform([CASE WHEN p.carry <> '' THEN p.carry || ' ' || x.s ELSE x.s END], lambda j : CASE WHEN " + _count("j") + " < 4 AND (p.n > 1 OR p.carry <> '') THEN {'out': p.out, 'carry': j, 'n': p.n - 1, 's': ''} ELSE {'out': list_append(p.out, j), 'carry': '', 'n': p.n - 1, 's': ''} END)[1]") + " AS r FROM s), merged AS (SELECT doc_id, CASE WHEN r.carry = '' THEN r.out WHEN len(r.out) = 0 THEN [r.carry] ELSE list_append(r.out[:-2], r.out[-1] || ' ' || r.carry) END AS m FROM f)"
+_TOKENS = "CAST(floor(" + _count("x.s") + " * 1.3) AS BIGINT)"
+_CLOSED = "CASE WHEN p.held = '' THEN p.out ELSE list_append(p.out, p.held) END"
+_PIECES = r"list_transform([list_filter(regexp_split_to_array(x.s, '\s+'), lambda w : w <> '')], lambda w : list_transform(range(0, (len(w) - 1) // 307 + 1), lambda i : array_to_string(w[i * 307 + 1 : i * 307 + 307], ' ')))[1]"
+_PACKED = _reduced("m", {"out": _OUT, "held": "''", "n": "0::BIGINT"}, f"list_transform([{_TOKENS}], lambda t : CASE WHEN t > {R.CEILING_TOKENS} THEN {{'out': list_concat({_CLOSED}, {_PIECES}), 'held': '', 'n': 0, 's': ''}} WHEN p.held <> '' AND p.n + t > {R.CHUNK_TOKENS} THEN {{'out': {_CLOSED}, 'held': x.s, 'n': t, 's': ''}} ELSE {{'out': p.out, 'held': CASE WHEN p.held = '' THEN x.s ELSE p.held || ' ' || x.s END, 'n': p.n + t, 's': ''}} END)[1]")
+
+
+def _by_chars(most: int, full_stop: bool) -> str:
+    close = lambda x: f"CASE WHEN {x} <> '' AND NOT regexp_matches({x}, '[.!?…]$') THEN {x} || '.' ELSE {x} END" if full_stop else x
+    fold = _reduced("a", {"out": _OUT, "held": "''"}, f"CASE WHEN p.held <> '' AND len(p.held) + 1 + len(x.s) > {most} THEN {{'out': list_append(p.out, p.held), 'held': x.s, 's': ''}} ELSE {{'out': p.out, 'held': CASE WHEN p.held = '' THEN x.s ELSE p.held || ' ' || x.s END, 's': ''}} END")
+    return DOCS + rf""", b AS (SELECT doc_id, regexp_replace(text, '^\s+|\s+$', '', 'g') AS t FROM docs), c AS (SELECT doc_id, string_split(regexp_replace({close('t')}, '([.!?…])\s+', '\1' || chr(1), 'g'), chr(1)) AS a FROM b),
+ f AS (SELECT doc_id, {fold} AS r FROM c), g AS (SELECT doc_id, list_transform(list_append(r.out, r.held), lambda h : {close('h')}) AS m FROM f) SELECT doc_id, CAST(unnest(range(0, len(m))) AS INT) AS chunk_no, unnest(m) AS chunk FROM g"""
+
+
 def _folded(spark: SparkSession, d: str, change) -> DataFrame:
     return _docs(spark, d).select("doc_id", F.posexplode(change(F.col("text"))).alias("chunk_no", "chunk"))
 
@@ -79,11 +105,14 @@ QUERIES = {
     ),
     "preprocess_text": (_column(X.preprocess_text), None),
     "split_sentences": (lambda s, d: N.split_sentences(_docs(s, d)), f"{DOCS}, {_SENTENCES} SELECT * FROM r"),
-    "merge_short_sentences": (lambda s, d: _folded(s, d, lambda t: N.merge_short_sentences(N.sentence_array(t))), None),
+    "merge_short_sentences": (lambda s, d: _folded(s, d, lambda t: N.merge_short_sentences(N.sentence_array(t))), f"{DOCS}, {_MERGED} SELECT doc_id, CAST(unnest(range(0, len(m))) AS INT) AS chunk_no, unnest(m) AS chunk FROM merged"),
     "estimate_tokens": (_column(N.estimate_tokens, "tokens"), DOCS + r" SELECT doc_id, CAST(floor(len(list_filter(regexp_split_to_array(text, '\s+'), lambda w : w <> '')) * 1.3) AS INT) AS tokens FROM docs"),
-    "chunk_by_tokens": (lambda s, d: _folded(s, d, _by_tokens), None),
-    "chunk_by_chars": (lambda s, d: _folded(s, d, N.chunk_by_chars), None),
-    "chunk_by_chars_long": (lambda s, d: _folded(s, d, lambda t: N.chunk_by_chars(t, R.CHUNK_CHARS_LONG, False)), None),
+    "chunk_by_tokens": (
+        lambda s, d: _folded(s, d, _by_tokens),
+        f"{DOCS}, {_MERGED}, k AS (SELECT doc_id, {_PACKED} AS r FROM merged), g AS (SELECT doc_id, CASE WHEN r.held = '' THEN r.out ELSE list_append(r.out, r.held) END AS c FROM k) SELECT doc_id, CAST(unnest(range(0, len(c))) AS INT) AS chunk_no, unnest(c) AS chunk FROM g",
+    ),
+    "chunk_by_chars": (lambda s, d: _folded(s, d, N.chunk_by_chars), _by_chars(R.CHUNK_CHARS, True)),
+    "chunk_by_chars_long": (lambda s, d: _folded(s, d, lambda t: N.chunk_by_chars(t, R.CHUNK_CHARS_LONG, False)), _by_chars(R.CHUNK_CHARS_LONG, False)),
     "annotate_speed": (
         lambda s, d: N.split_sentences(_docs(s, d)).select("doc_id", "sent_no", N.annotate_speed(F.col("sentence")).alias("speed")),
         f"{DOCS}, {_SENTENCES} SELECT doc_id, sent_no, greatest(0.9 * CASE WHEN {_N} < 6 THEN 0.88 WHEN sentence LIKE '%?' THEN 0.95 WHEN sentence LIKE '%...' OR sentence LIKE '%…' THEN 0.92 ELSE 1.0 END, 0.65) AS speed FROM r",

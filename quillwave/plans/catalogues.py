@@ -137,13 +137,19 @@ QUERIES = {
         _overlay,
         "WITH a AS (SELECT s_name AS narrator, 'default' AS phase, s_name || '.wav' AS audio_path, 'own' AS transcript FROM supplier), c AS (SELECT 'Supplier#' || lpad(CAST(p_partkey % 150 AS VARCHAR), 9, '0') AS narrator, CASE WHEN p_partkey % 4 = 0 THEN 'default' ELSE p_brand END AS phase, 'Supplier#' || lpad(CAST((p_partkey + 1) % 150 AS VARCHAR), 9, '0') || '.wav' AS audio_path, p_name AS transcript FROM part), u AS (SELECT *, 0 AS layer FROM a UNION ALL SELECT *, 1 FROM c WHERE audio_path IN (SELECT audio_path FROM a)), n AS (SELECT *, row_number() OVER (PARTITION BY narrator, phase ORDER BY layer DESC, audio_path, transcript) AS n FROM u) SELECT narrator, phase, audio_path, transcript FROM n WHERE n = 1",
     ),
-    "pcm_block_ingest": (_pcm, None),
+    "pcm_block_ingest": (
+        _pcm,
+        "WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents), f AS (SELECT doc_id, h, unnest(range(0, len(h) // 8)) AS f FROM h), b AS (SELECT doc_id, CAST('0x' || substr(h, f * 8 + 3, 2) || substr(h, f * 8 + 1, 2) AS INT) AS l, CAST('0x' || substr(h, f * 8 + 7, 2) || substr(h, f * 8 + 5, 2) AS INT) AS r FROM f), v AS (SELECT doc_id, (l - CASE WHEN l > 32767 THEN 65536 ELSE 0 END + r - CASE WHEN r > 32767 THEN 65536 ELSE 0 END) / 2.0 / 32768 AS value FROM b) SELECT doc_id AS block_id, count(*) AS n, round(sum(value), 6) AS total FROM v GROUP BY 1 UNION ALL SELECT doc_id, 48000, 0.0 FROM h WHERE h = ''",
+    ),
     "byte_budget_cutoff": (_budget, "WITH e AS (SELECT user_id AS session, event_id AS seq, len(props) * 7 AS bytes, coalesce(sum(len(props) * 7) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM events) SELECT session, seq, bytes, CAST(greatest(least(bytes, 1000 - before), 0) AS BIGINT) AS kept FROM e WHERE before < 1003"),
     "write_chunks": (_chunk_ids, f"WITH {SIGNAL_SQL} SELECT series_id, pos // 2000 AS chunk_id, count(*) AS n, min(pos) AS first_pos FROM signal GROUP BY 1, 2"),
     "write_stems": (_stems, f"WITH {SIGNAL_SQL} SELECT pos // 1000 AS job_id, series_id AS stem, count(*) AS n, round(sum(value), 6) AS total FROM signal GROUP BY 1, 2"),
     "blend_vectors": (lambda s, d: _vec(V.blend_vectors(_blends(s, d), _embeddings(s, d))), BLENDS + ", s AS (SELECT blend, dim, round(sum(weight * x), 6) AS x FROM l GROUP BY 1, 2) SELECT blend, list(x ORDER BY dim) AS vector FROM s GROUP BY 1"),
     "slerp_pair": (lambda s, d: _vec(_slerp(s, d)), "WITH p AS (SELECT a.vec_id AS pair, a.embedding::DOUBLE[] AS a, b.embedding::DOUBLE[] AS b FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1 WHERE a.vec_id % 2 = 0), w AS (SELECT *, acos(greatest(least(list_dot_product(a, b) / (sqrt(list_dot_product(a, a)) * sqrt(list_dot_product(b, b))), 1), -1)) AS o FROM p) SELECT pair, list_transform(range(1, len(a) + 1), lambda i : round(CASE WHEN abs(sin(o)) < 1e-6 THEN 0.7 * a[i] + 0.3 * b[i] ELSE sin(0.7 * o) / sin(o) * a[i] + sin(0.3 * o) / sin(o) * b[i] END, 6)) AS vector FROM w"),
-    "slerp_blend": (lambda s, d: _vec(V.slerp_blend(_blends(s, d), _embeddings(s, d))), None),
+    "slerp_blend": (
+        lambda s, d: _vec(V.slerp_blend(_blends(s, d), _embeddings(s, d))),
+        "WITH RECURSIVE i AS MATERIALIZED (SELECT 'b' || (vec_id // 4) AS blend, row_number() OVER (PARTITION BY vec_id // 4 ORDER BY vec_id % 4) - 1 AS k, CASE vec_id % 4 WHEN 0 THEN 0.6 WHEN 1 THEN 0.3 WHEN 2 THEN 0.1 ELSE -0.05 END::DOUBLE AS w, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id IS NOT NULL), r AS (SELECT blend, k, w AS s, e AS v FROM i WHERE k = 0 UNION ALL SELECT blend, k, s, list_transform(range(1, len(v) + 1), lambda j : CASE WHEN abs(sin(o)) < 1e-6 THEN (1 - t) * v[j] + t * e[j] ELSE sin((1 - t) * o) / sin(o) * v[j] + sin(t * o) / sin(o) * e[j] END) FROM (SELECT i.blend, i.k, r.s + i.w AS s, i.w / (r.s + i.w) AS t, r.v, i.e, acos(greatest(least(list_dot_product(v, e) / (sqrt(list_dot_product(v, v)) * sqrt(list_dot_product(e, e))), 1), -1)) AS o FROM r JOIN i ON i.blend = r.blend AND i.k = r.k + 1)) SELECT blend, list_transform(v, lambda x : round(x, 6)) AS vector FROM r QUALIFY row_number() OVER (PARTITION BY blend ORDER BY k DESC) = 1",
+    ),
     "extrapolate_blend": (lambda s, d: _vec(V.extrapolate_blend(_blends(s, d), _embeddings(s, d))), BLENDS + ", s AS (SELECT blend, dim, sum(weight * x) AS x, sum(x * x) FILTER (WHERE ordinal = 0) AS own FROM l GROUP BY 1, 2), n AS (SELECT blend, sqrt(sum(own)) / sqrt(sum(x * x)) AS k FROM s GROUP BY 1) SELECT s.blend, list(round(x * k, 6) ORDER BY dim) AS vector FROM s JOIN n ON s.blend = n.blend GROUP BY 1"),
     "jitter_vectors": (lambda s, d: V.jitter_vectors(_embeddings(s, d)), None),
     "resolve_spec": (lambda s, d: _r(_resolved(s, d), "weight"), RESOLVED + " SELECT spec, ordinal, id, round(weight, 6) AS weight, method FROM res"),

@@ -73,6 +73,16 @@ TWO = f"WITH {TWO_SQL}"
 _REACT = "greatest(least(greatest(20 * log10(env + 1e-9) + 16.0, 0) * (-15.0 / 9.0), 0), -15.0)"
 _FADE = "((exp(4 * ({0})) - 1) / (exp(4.0) - 1))"
 
+# recursions along frames, and along rows: the factor depends on whether the target falls
+_LOOKAHEAD = f"""WITH RECURSIVE {TWO_SQL}, l AS (SELECT pos // 5 AS f, sqrt(avg(value * value)) AS rms FROM voice GROUP BY 1), t0 AS (SELECT f, CASE WHEN rms > 0.15 THEN -5.0 ELSE 0.0 END AS t FROM (SELECT DISTINCT pos // 5 AS f FROM music) LEFT JOIN l USING (f)),
+ t AS MATERIALIZED (SELECT f, lead(t, 2, 0.0) OVER (ORDER BY f) AS t FROM t0), r AS (SELECT f, CAST((1 - CASE WHEN t < 0 THEN exp(-1.0) ELSE exp(-0.1) END) * t AS DOUBLE) AS s FROM t WHERE f = 0 UNION ALL SELECT t.f, CASE WHEN t.t < s THEN exp(-1.0) * s + (1 - exp(-1.0)) * t.t ELSE exp(-0.1) * s + (1 - exp(-0.1)) * t.t END FROM r JOIN t ON t.f = r.f + 1),
+ c AS (SELECT f, s, coalesce(lead(s) OVER (ORDER BY f), s) AS after, coalesce(lag(s) OVER (ORDER BY f), s) AS before FROM r), g AS (SELECT m.pos, m.value, s, after, before, (m.pos - f * 5 - 2.5) / 5 AS part FROM music m JOIN c ON f = m.pos // 5)
+ SELECT pos, round(value * pow(10, (s + part * CASE WHEN part >= 0 THEN after - s ELSE s - before END) / 20), 6) AS value FROM g"""
+_HELD = f"""WITH RECURSIVE {TWO_SQL}, l0 AS (SELECT m.pos, coalesce(v.value, 0) AS v FROM music m LEFT JOIN voice v ON v.pos = m.pos), l1 AS (SELECT pos, 20 * log10(greatest(sqrt(greatest(sum(v * v) OVER (ORDER BY pos ROWS BETWEEN 5 PRECEDING AND 4 FOLLOWING), 0) / 10), 1e-5)) AS level FROM l0),
+ l2 AS (SELECT pos, CASE WHEN max(level) OVER (ORDER BY pos ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING) > -15 THEN greatest(level, -14) ELSE level END AS level FROM l1), t AS MATERIALIZED (SELECT pos, pow(10, greatest(least(-15 - level, 0), -10) / 20) AS t FROM l2),
+ r AS (SELECT pos, CASE WHEN t < 1 THEN exp(-1 / 8.0) + (1 - exp(-1 / 8.0)) * t ELSE exp(-1 / 100.0) + (1 - exp(-1 / 100.0)) * t END AS s FROM t WHERE pos = 0 UNION ALL SELECT t.pos, CASE WHEN t.t < s THEN exp(-1 / 8.0) * s + (1 - exp(-1 / 8.0)) * t.t ELSE exp(-1 / 100.0) * s + (1 - exp(-1 / 100.0)) * t.t END FROM r JOIN t ON t.pos = r.pos + 1),
+ g AS (SELECT pos, coalesce(lead(s, 2) OVER (ORDER BY pos), 1.0) AS gain FROM r) SELECT m.pos, round(m.value * gain, 6) AS value FROM music m JOIN g ON g.pos = m.pos"""
+
 QUERIES = {
     "detect_phrases": (_phrases, PHRASES + " SELECT series_id, phrase_no, start_sec, end_sec FROM phrases"),
     "long_pauses": (lambda s, d: _r(G.long_pauses(_phrases(s, d), _lengths(s, d), 0.5, 100.0, 50.0), "plateau_start", "plateau_end"), PHRASES + ", g AS (SELECT series_id, coalesce(lag(end_sec) OVER (PARTITION BY series_id ORDER BY phrase_no), 0) AS gap_start, start_sec AS gap_end FROM phrases UNION ALL SELECT p.series_id, max(end_sec), any_value(duration_sec) FROM phrases p JOIN lengths l ON p.series_id = l.series_id GROUP BY 1) SELECT series_id, CAST(gap_start AS DOUBLE) AS gap_start, gap_end, round(gap_start + 0.1, 6) AS plateau_start, round(gap_end - 0.05, 6) AS plateau_end FROM g WHERE gap_end - gap_start >= 0.5"),
@@ -80,8 +90,8 @@ QUERIES = {
     "reactive_gain": (lambda s, d: _r(_reactive(s, d), "gain_db"), ENV + f" SELECT series_id, pos, round({_REACT}, 6) AS gain_db FROM env"),
     "combine_gain": (lambda s, d: _r(G.combine_gain(_stepped(s, d), _reactive(s, d)), "gain_db"), ENV + f" SELECT series_id, pos, round(CASE WHEN pos // 50 % 3 = 0 THEN 1.5 ELSE least(-4.0, {_REACT}) END, 6) AS gain_db FROM env"),
     "apply_gain": (lambda s, d: _r(G.apply_gain(two_signals(s, d)[1], _stepped(s, d).filter("series_id = 'view'")), "value"), TWO + " SELECT pos, round(value * pow(10, CASE WHEN pos // 50 % 3 = 0 THEN 1.5 ELSE -4.0 END / 20), 6) AS value FROM music"),
-    "duck_lookahead": (lambda s, d: _r(G.duck_lookahead(*two_signals(s, d), RATE, frame_ms=50.0, threshold_rms=0.15), "value"), None),
-    "duck_hold": (lambda s, d: _r(G.duck_hold(*two_signals(s, d), RATE, threshold_db=-15.0, hold_ms=100.0, window_ms=100.0), "value"), None),
+    "duck_lookahead": (lambda s, d: _r(G.duck_lookahead(*two_signals(s, d), RATE, frame_ms=50.0, threshold_rms=0.15), "value"), _LOOKAHEAD),
+    "duck_hold": (lambda s, d: _r(G.duck_hold(*two_signals(s, d), RATE, threshold_db=-15.0, hold_ms=100.0, window_ms=100.0), "value"), _HELD),
     "duck_bands": (lambda s, d: _r(G.duck_bands(_banded(s, d), _gain_curve(s, d)), "value"), f"WITH {SIGNAL_SQL} SELECT b.pos, round(sum(b.value * (1 - (1 - abs(g.value)) * CASE b.series_id WHEN 'click' THEN 0.25 WHEN 'view' THEN 1.0 ELSE 0.5 END)), 6) AS value FROM signal b JOIN signal g ON b.pos = g.pos AND g.series_id = 'signup' WHERE b.series_id IN ('click', 'view', 'error') GROUP BY b.pos"),
     "vad_gain": (
         lambda s, d: _r(G.vad_gain(signal(s, d).select("series_id", "pos", "value"), _phrases(s, d), RATE), "value"),

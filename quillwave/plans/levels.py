@@ -47,6 +47,21 @@ def _hygiene(spark: SparkSession, d: str) -> DataFrame:
     return L.reference_hygiene(series, rows)
 
 
+#: Low, so that short series have blocks of 400 ms too.
+WEIGHTED_RATE = 4_000.0
+
+
+def _weighted() -> str:
+    """Two recursions in one: y1 behind the shelf, y2 behind the high pass; then blocks of 1,600 rows, every 400."""
+    (b, a), (c, d) = ([list(map(float, x)) for x in stage] for stage in L._biquads(WEIGHTED_RATE))
+    rows = lambda x, z: f"SELECT series_id, pos, y2, {b[1]} * x - {a[1]} * y1 + z2 AS z1, {b[2]} * x - {a[2]} * y1 AS z2, {c[1]} * y1 - {d[1]} * y2 + z4 AS z3, {c[2]} * y1 - {d[2]} * y2 AS z4 FROM (SELECT *, {c[0]} * y1 + z3 AS y2 FROM (SELECT s.series_id, s.pos, CAST(s.value AS DOUBLE) AS x, {b[0]} * s.value + {z[0]} AS y1, {z[1]} AS z2, {z[2]} AS z3, {z[3]} AS z4 FROM {x}))"
+    start, on = rows("signal s WHERE s.pos = 0", ["0.0::DOUBLE"] * 4), rows("r JOIN signal s ON s.series_id = r.series_id AND s.pos = r.pos + 1", ["r.z1", "r.z2", "r.z3", "r.z4"])
+    return f"WITH RECURSIVE {SIGNAL_SQL.replace('signal AS', 'signal AS MATERIALIZED', 1)}, r AS ({start} UNION ALL {on})" + """, n AS (SELECT series_id, max(pos) + 1 AS n FROM signal GROUP BY 1), b AS (SELECT series_id, n, unnest(range(0, (n - 1600) // 400 + 1)) AS b FROM n WHERE n >= 1600),
+ z AS (SELECT b.series_id, b.b, sum(y2 * y2) / 1600 AS z FROM b JOIN r ON r.series_id = b.series_id AND r.pos BETWEEN b.b * 400 AND b.b * 400 + 1599 GROUP BY 1, 2), h AS (SELECT *, -0.691 + 10 * log10(z) AS l FROM z WHERE z > 0 AND -0.691 + 10 * log10(z) > -70),
+ q AS (SELECT series_id, -0.691 + 10 * log10(avg(z)) - 10 AS gate FROM h GROUP BY 1), g AS (SELECT series_id, -0.691 + 10 * log10(avg(z)) AS lufs FROM h JOIN q USING (series_id) WHERE l > gate GROUP BY 1)
+ SELECT series_id, round(lufs, 6) AS lufs, round(CASE WHEN lufs IS NULL OR abs(-21 - lufs) > 40 THEN 1 ELSE pow(10, (-21 - lufs) / 20) END, 6) AS gain FROM n LEFT JOIN g USING (series_id)"""
+
+
 _ENV = "sqrt(sum(value * value) OVER (PARTITION BY series_id ORDER BY pos ROWS BETWEEN 5 PRECEDING AND 4 FOLLOWING) / 10)"
 QUERIES = {
     "frame_rms": (lambda s, d: _round(L.frame_rms(signal(s, d), 10), "rms", "dbfs"), FRAMES.format(10) + " SELECT series_id, frame, round(rms, 6) AS rms, round(20 * log10(greatest(rms, 1e-10)), 6) AS dbfs FROM f"),
@@ -79,6 +94,6 @@ QUERIES = {
         lambda s, d: _round(L.gated_loudness(signal(s, d), RATE, weighted=False), "lufs", "gain"),
         W + ", n AS (SELECT series_id, max(pos) + 1 AS n FROM signal GROUP BY 1), b AS (SELECT series_id, n, unnest(range(0, (n - 40) // 10 + 1)) AS b FROM n), z AS (SELECT b.series_id, b.b, sum(value * value) / 40 AS z FROM b JOIN signal s ON s.series_id = b.series_id AND s.pos BETWEEN b.b * 10 AND b.b * 10 + 39 GROUP BY 1, 2), h AS (SELECT *, -0.691 + 10 * log10(z) AS l FROM z WHERE z > 0 AND -0.691 + 10 * log10(z) > -70), r AS (SELECT series_id, -0.691 + 10 * log10(avg(z)) - 10 AS gate FROM h GROUP BY 1), g AS (SELECT series_id, -0.691 + 10 * log10(avg(z)) AS lufs FROM h JOIN r USING (series_id) WHERE l > gate GROUP BY 1) SELECT series_id, round(lufs, 6) AS lufs, round(CASE WHEN lufs IS NULL OR abs(-21 - lufs) > 40 THEN 1 ELSE pow(10, (-21 - lufs) / 20) END, 6) AS gain FROM n LEFT JOIN g USING (series_id)",
     ),
-    "gated_loudness_weighted": (lambda s, d: _round(L.gated_loudness(signal(s, d), 48_000.0), "lufs", "gain"), None),
+    "gated_loudness_weighted": (lambda s, d: _round(L.gated_loudness(signal(s, d), WEIGHTED_RATE), "lufs", "gain"), _weighted()),
     "lookahead_limit": (lambda s, d: _rows(L.lookahead_limit(signal(s, d), RATE, -9.0, 0.3, 50.0, smooth_hz=0)), W + ", g AS (SELECT *, min(least(1, pow(10, -9.3 / 20) / greatest(abs(value), 1e-12))) OVER (PARTITION BY series_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) AS gain FROM signal) SELECT series_id, pos, round(greatest(least(value * gain, pow(10, -9.3 / 20)), -pow(10, -9.3 / 20)), 6) AS value FROM g"),
 }

@@ -44,11 +44,29 @@ said AS (SELECT doc_id, k, CASE WHEN k % 2 = 0 THEN t WHEN CAST(t AS INT) = 0 TH
  FROM parts LEFT JOIN w l ON k % 2 = 1 AND TRY_CAST(t AS INT) % 1000 = l.i LEFT JOIN w h ON k % 2 = 1 AND TRY_CAST(t AS INT) // 1000 = h.i)
 SELECT doc_id, string_agg(t, '' ORDER BY k) AS text FROM said GROUP BY doc_id"""
 
+_RANGE = r"\d+(?:-\d+)+"
+_RANGES = _NUMBERS[: _NUMBERS.index("marked AS")] + rf"""marked AS (SELECT doc_id, string_split(regexp_replace(regexp_replace(text, '(^|{_EDGE})({_RANGE})($|{_EDGE})', '\1' || chr(1) || '\2' || chr(1) || '\3', 'g'), '(^|[^\p{{L}}\p{{N}}_\x01])({_RANGE})($|[^\p{{L}}\p{{N}}_\x01])', '\1' || chr(1) || '\2' || chr(1) || '\3', 'g'), chr(1)) AS p FROM docs),
+parts AS (SELECT doc_id, unnest(range(0, len(p))) AS k, unnest(p) AS t FROM marked), lists AS (SELECT doc_id, k, CASE WHEN k % 2 = 1 THEN string_split(t, '-') ELSE [t] END AS x FROM parts),
+each_ AS (SELECT doc_id, k, unnest(range(0, len(x))) AS j, unnest(x) AS t FROM lists), plain AS (SELECT doc_id, k, j, CASE WHEN k % 2 = 1 THEN regexp_replace(t, '^0+(\d+)$', '\1') ELSE t END AS t, k % 2 = 1 AND len(regexp_replace(t, '^0+(\d+)$', '\1')) <= 6 AS told FROM each_),
+said AS (SELECT doc_id, k, j, CASE WHEN NOT told THEN t WHEN CAST(t AS INT) = 0 THEN 'zero' ELSE concat_ws(' ', CASE WHEN CAST(t AS INT) >= 1000 THEN h.said || ' thousand' END, CASE WHEN CAST(t AS INT) % 1000 > 0 THEN l.said END) END AS t
+ FROM plain LEFT JOIN w l ON told AND TRY_CAST(t AS INT) % 1000 = l.i LEFT JOIN w h ON told AND TRY_CAST(t AS INT) // 1000 = h.i), ranges AS (SELECT doc_id, k, string_agg(t, ', ' ORDER BY j) AS t FROM said GROUP BY 1, 2)
+SELECT doc_id, string_agg(t, '' ORDER BY k) AS text FROM ranges GROUP BY doc_id"""
+
 _SENTENCES = r"""s AS (SELECT doc_id, list_filter(string_split(regexp_replace(regexp_replace(text, '^\s+|\s+$', '', 'g'), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x : trim(x) <> '') AS a FROM docs),
 r AS (SELECT doc_id, CAST(unnest(range(0, len(a))) AS INT) AS sent_no, unnest(a) AS sentence FROM s)"""
 _N = r"len(list_filter(regexp_split_to_array(sentence, '\s+'), lambda w : w <> ''))"
 
 
+def _stressed() -> str:
+    """Marks where no bracket stands before the word; the characters on either side are kept, twice."""
+    out = "text"
+    for words, mark in ((R.LESS_STRESS, "-1"), (R.MORE_STRESS, "+1")):
+        for word in words:
+            for _ in range(2):
+                out = rf"regexp_replace({out}, '(^|[^\p{{L}}\p{{N}}_\[])({word})($|{_EDGE})', '\1[\2]({mark})\3', 'gi')"
+    return out
+
+
 def _count(x: str) -> str:
     return rf"len(list_filter(regexp_split_to_array({x}, '\s+'), lambda w : w <> ''))"
 
@@ -68,6 +86,16 @@ _PIECES = r"list_transform([list_filter(regexp_split_to_array(x.s, '\s+'), lambd
 _PACKED = _reduced("m", {"out": _OUT, "held": "''", "n": "0::BIGINT"}, f"list_transform([{_TOKENS}], lambda t : CASE WHEN t > {R.CEILING_TOKENS} THEN {{'out': list_concat({_CLOSED}, {_PIECES}), 'held': '', 'n': 0, 's': ''}} WHEN p.held <> '' AND p.n + t > {R.CHUNK_TOKENS} THEN {{'out': {_CLOSED}, 'held': x.s, 'n': t, 's': ''}} ELSE {{'out': p.out, 'held': CASE WHEN p.held = '' THEN x.s ELSE p.held || ' ' || x.s END, 'n': p.n + t, 's': ''}} END)[1]")
 
 
+# what carries on: words since the last end or breath
+_ENDS = r"regexp_matches(x.s, '[,.!?\n]')"
+_JOINS = "lower(x.s) IN ('" + "','".join(R.BREATH_CONJUNCTIONS) + "')"
+_IS_WORD = r"regexp_matches(x.s, '^[\p{L}\p{N}\p{M}_][\p{L}\p{N}\p{M}_''-]*$')"
+_BREATHS = DOCS + r", k AS (SELECT doc_id, regexp_extract_all(text, '\s+|\S+') AS m FROM docs), f AS (SELECT doc_id, " + _reduced(
+    "m", {"out": "''", "n": "0::BIGINT"},
+    f"CASE WHEN {_ENDS} THEN {{'out': p.out || x.s, 'n': 0, 's': ''}} WHEN NOT {_IS_WORD} THEN {{'out': p.out || x.s, 'n': p.n, 's': ''}} WHEN p.n >= {R.BREATH_WORDS} AND {_JOINS} THEN {{'out': p.out || ', ' || x.s, 'n': 1, 's': ''}} ELSE {{'out': p.out || x.s, 'n': p.n + 1, 's': ''}} END",
+) + " AS r FROM k) SELECT doc_id, r.out AS text FROM f"
+
+
 def _by_chars(most: int, full_stop: bool) -> str:
     close = lambda x: f"CASE WHEN {x} <> '' AND NOT regexp_matches({x}, '[.!?…]$') THEN {x} || '.' ELSE {x} END" if full_stop else x
     fold = _reduced("a", {"out": _OUT, "held": "''"}, f"CASE WHEN p.held <> '' AND len(p.held) + 1 + len(x.s) > {most} THEN {{'out': list_append(p.out, p.held), 'held': x.s, 's': ''}} ELSE {{'out': p.out, 'held': CASE WHEN p.held = '' THEN x.s ELSE p.held || ' ' || x.s END, 's': ''}} END")
@@ -85,16 +113,16 @@ def _by_tokens(text: Column) -> Column:
 
 QUERIES = {
     "expand_abbreviations": (_column(X.expand_abbreviations), f"{DOCS} SELECT doc_id, {_words(R.ABBREVIATIONS)} AS text FROM docs"),
-    "expand_number_ranges": (_column(X.expand_number_ranges), None),
+    "expand_number_ranges": (_column(X.expand_number_ranges), _RANGES),
     "expand_integers": (_column(X.expand_integers), _NUMBERS),
     "normalize_punctuation": (_column(X.normalize_punctuation), DOCS + r" SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, ':', ',', 'g'), '\.{2,}', '.', 'g'), '—|–|--+', ',', 'g'), '([a-zA-Z])-([a-zA-Z])', '\1\2', 'g'), '([a-zA-Z])-([a-zA-Z])', '\1\2', 'g') AS text FROM docs"),
     "lexicon_substitute": (_column(X.respell), f"{DOCS} SELECT doc_id, {_words(R.RESPELLINGS)} AS text FROM docs"),
     "lexicon_sounds": (_column(X.mark_sounds), f"{DOCS} SELECT doc_id, {_words([(w, f'[{w}](/{s}/)') for w, s in R.SOUNDS], 1)} AS text FROM docs"),
     "contract_phrases": (_column(X.contract_phrases), f"{DOCS} SELECT doc_id, {_words(R.CONTRACTIONS)} AS text FROM docs"),
-    "tag_stress_words": (_column(X.tag_stress_words), None),
+    "tag_stress_words": (_column(X.tag_stress_words), f"{DOCS} SELECT doc_id, {_stressed()} AS text FROM docs"),
     "prosody_rules": (_column(lambda t: X.tidy_punctuation(X.punctuate(t))), None),
     "break_long_clauses": (_column(X.break_long_clauses), None),
-    "break_breath_groups": (_column(X.break_breath_groups), None),
+    "break_breath_groups": (_column(X.break_breath_groups), _BREATHS),
     "sensory_ellipsis": (_column(X.sensory_ellipsis), DOCS + rf" SELECT doc_id, regexp_replace(text, '(^|[^\p{{L}}\p{{N}}_,.!?—])({'|'.join(R.DETERMINERS)})\s+({'|'.join(sorted(R.SENSORY))})\b', '\1\2... \3', 'gi') AS text FROM docs"),
     "vary_sentence_length": (_column(X.vary_sentence_length), None),
     "normalize_case_space": (

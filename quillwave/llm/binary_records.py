@@ -33,7 +33,9 @@ MASK = 0xA282EAD8
 #: writer gets a file's frames as one row.
 FILE_BYTES = 8_000_000
 #: Text encoded at once in a task, and units whose ids a Python worker remembers.
-BATCH_BYTES, KNOWN_WORDS = 2_000_000, 300_000
+BATCH_BYTES, KNOWN_WORDS = 2_000_000, 150_000
+#: Units that a worker keeps from one task to the next.
+KEPT_WORDS = 40_000
 
 INDEX = "part long, file_no long, record long, doc_id long, path string, position long, bytes long, local_start long, n_tokens long, ids_crc32 long"
 
@@ -113,10 +115,10 @@ class WordIds(dict):
         self.flat, self.starts, self.lengths = np.array([self.end_id], np.uint32), np.zeros(1, np.int64), np.ones(1, np.int64)
         self.uses = np.zeros(1, np.int64)
 
-    def forget(self) -> None:
-        """Keeps the units met more than once, the most used half at most; counts age, so that others can take their place."""
+    def forget(self, most: int) -> None:
+        """Keeps the units met more than once, the `most` used at most; counts age, so that others can take their place."""
         known, uses = list(self), self.uses
-        order = np.argsort(-uses[1:], kind="stable")[: KNOWN_WORDS // 2] + 1
+        order = np.argsort(-uses[1:], kind="stable")[:most] + 1
         kept = np.sort(order[uses[order] > 1])
         lengths, ages = self.lengths[kept], uses[kept] // 2
         flat = self.flat[spread(self.starts[kept], lengths)]
@@ -191,7 +193,7 @@ class WordIds(dict):
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         """Ids of each text, the end included."""
         if len(self) > KNOWN_WORDS:
-            self.forget()
+            self.forget(KNOWN_WORDS // 2)
         found, counts = self.units(texts)
         known = np.fromiter(map(self.__getitem__, found.dictionary.to_pylist()), np.int64, len(found.dictionary))
         if self.new:
@@ -273,6 +275,9 @@ def write_records(docs: DataFrame, path: str, tokenizer_path: str, end_id: int,
                 held += len(one) + 1
         if out:
             yield row()
+        known = word_ids(tokenizer_path, end_id)
+        if len(known) > KEPT_WORDS:
+            known.forget(KEPT_WORDS)
 
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("h"), F.monotonically_increasing_id().alias("n"))
     rows = rows.repartitionByRange("doc_id", "h", "n").sortWithinPartitions("doc_id", "h", "n").select("doc_id", "text")

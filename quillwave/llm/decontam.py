@@ -25,7 +25,7 @@ from .common import slices, written
 WINDOW = 10
 #: Words at a suffix's start that decide whether it enters the suffix array.
 STEM = 3
-SHARD_BYTES = 4_000_000
+SHARD_BYTES = 2_000_000
 #: Text of test items that one broadcast may hold; its windows take some twenty times as much on the driver and in a worker.
 BLOCK_BYTES = 4_000_000
 

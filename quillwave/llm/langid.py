@@ -29,7 +29,7 @@ K = 3
 SLOTS_PER_GRAM = 12
 UNKNOWN = "und"
 #: N-grams of a long text are made for so many places at a time.
-PLACES = 2_000_000
+PLACES = 250_000
 
 RESULT = "lang_pred string, score double"
 
@@ -84,26 +84,25 @@ class LanguageFilter:
     def of(cls, languages: list[str], codes: list[np.ndarray]) -> LanguageFilter:
         """codes: the n-grams of each language. The filter's fill, measured after building, gives the chance of a false hit."""
         size = 1 << max(12, int(np.ceil(np.log2(max(1, SLOTS_PER_GRAM * max([len(c) for c in codes], default=1))))))
-        rows = np.zeros((size, -(-max(1, len(languages)) // 64)), np.uint64)
+        kind, bits = (np.uint8, 8) if len(languages) <= 8 else (np.uint64, 64)
+        rows = np.zeros((size, -(-max(1, len(languages)) // bits)), kind)
         for i, c in enumerate(codes):
             for s in slots(c, size):
-                rows[s, i // 64] |= np.uint64(1 << (i % 64))
-        fill = np.array([(rows[:, i // 64] >> np.uint64(i % 64) & np.uint64(1)).mean() for i in range(len(languages))])
+                rows[s, i // bits] |= kind(1 << (i % bits))
+        fill = np.array([(rows[:, i // bits] >> kind(i % bits) & kind(1)).mean() for i in range(len(languages))])
         return cls(languages, rows, fill**K)
 
     def hits(self, codes: np.ndarray) -> np.ndarray:
         """Number of the n-grams found for each language."""
         n = len(self.languages)
         if n <= 8:  # the bit sets fit a byte: one table of counts
-            few = self.narrow
-            found = np.bitwise_and.reduce([few[s] for s in slots(codes, len(few))])
+            found = np.bitwise_and.reduce([self.rows[s, 0] for s in slots(codes, len(self.rows))])
             sets = np.bincount(found, minlength=256)
             return self.members @ sets
         found = np.bitwise_and.reduce([self.rows[s] for s in slots(codes, len(self.rows))])
         return np.array([int((found[:, i // 64] >> np.uint64(i % 64) & np.uint64(1)).sum()) for i in range(n)])
 
     def __post_init__(self) -> None:
-        self.narrow = self.rows[:, 0].astype(np.uint8)
         self.members = np.array([[s >> i & 1 for s in range(256)] for i in range(min(8, len(self.languages)))])
 
     def predict(self, text: str | None) -> tuple[str, float]:
@@ -137,9 +136,12 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nonlocal size, waits
         for lang, parts in waiting.items():
             codes, n = np.unique(np.concatenate(parts), return_counts=True)
-            if lang in held:
-                codes, inverse = np.unique(np.concatenate([held[lang][0], codes]), return_inverse=True)
-                n = np.bincount(inverse, np.concatenate([held[lang][1], n])).astype(np.int64)
+            if lang in held:  # two sorted runs: the stable sort only merges them
+                codes, n = np.concatenate([held[lang][0], codes]), np.concatenate([held[lang][1], n])
+                order = np.argsort(codes, kind="stable")
+                codes, n = codes[order], n[order]
+                first = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]])
+                codes, n = codes[first], np.add.reduceat(n, first)
             held[lang] = [codes, n]
         waiting.clear()
         waits, size = 0, sum(len(h[0]) for h in held.values())
@@ -156,7 +158,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for codes in grams(normal(text.as_py())):
                 waiting.setdefault(lang.as_py(), []).append(codes)
                 waits += len(codes)
-                if waits > 4_000_000:
+                if waits > 2_000_000:
                     merge()
                     if size > 2_000_000:
                         yield from give()

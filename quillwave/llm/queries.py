@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import ann, binary_records, decontam, html_text, langid, mixing, secrets, simhash, substring, warc
+from . import ann, binary_records, decontam, html_text, langid, mixing, secrets, simhash, substring, vector_codes, warc
 from .common import shared_dir
 
 
@@ -71,6 +71,11 @@ def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("longest")
 
 
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Product code of every vector, with codebooks fitted on all of them. Null, empty and non-finite vectors are dropped; ties go to the lower entry; repeats count each. An empty table gives no rows."""
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_records": op1_records,
     "op2_warc": op2_warc,
@@ -82,9 +87,33 @@ QUERIES = {
     "op8_mix": op8_mix,
     "op9_secrets": op9_secrets,
     "op10_decontam": op10_decontam,
+    "op13_vector_codes": op13_vector_codes,
 }
 
+
+def _codes_sql(components: int = 16) -> str:
+    """Four rounds over vectors of four parts with so many components each, a step of the chain for each."""
+    place = range(1, components + 1)
+    distance = " + ".join(f"(a.x[{i}] - b.x[{i}]) * (a.x[{i}] - b.x[{i}])" for i in place)
+    floored = ", ".join(f"(sum(x[{i}]) - (sum(x[{i}]) % count(*) + count(*)) % count(*)) // count(*)" for i in place)
+    steps = [f"""
+WITH v AS (SELECT row_number() OVER (ORDER BY vec_id) AS r, vec_id, label, list_transform(embedding, lambda c : CAST(floor(1024 * CAST(c AS DOUBLE)) AS BIGINT)) AS x
+           FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c : c IS NULL OR NOT isfinite(c))) = 0),
+y AS (SELECT r, vec_id, label, p, list_slice(x, p * {components} + 1, p * {components} + {components}) AS x FROM v, range(4) t(p)),
+b0 AS (SELECT p, r - 1 AS e, x FROM y WHERE r <= 256)"""]
+    for n in range(5):
+        steps.append(f"d{n} AS (SELECT a.r, a.p, a.vec_id, a.label, a.x, b.e, {distance} AS d FROM y a JOIN b{n} b ON a.p = b.p)")
+        steps.append(f"a{n} AS (SELECT r, p, any_value(vec_id) AS vec_id, any_value(label) AS label, any_value(x) AS x, min(d) AS d, arg_min(e, d * 256 + e) AS e FROM d{n} GROUP BY r, p)")
+        if n < 4:
+            steps.append(f"m{n} AS (SELECT p, e, [{floored}] AS x FROM a{n} GROUP BY p, e)")
+            steps.append(f"b{n + 1} AS (SELECT b.p, b.e, CASE WHEN m.x IS NULL THEN b.x ELSE m.x END AS x FROM b{n} b LEFT JOIN m{n} m ON b.p = m.p AND b.e = m.e)")
+    steps.append("c AS (SELECT r, any_value(vec_id) AS vec_id, any_value(label) AS label, string_agg(printf('%02x', CAST(e AS INT)), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM a4 GROUP BY r)")
+    steps.append("l AS (SELECT label, CAST(sum(error) AS BIGINT) AS label_error FROM c GROUP BY label)")
+    steps.append("h AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM b4)")
+    return ",\n".join(steps) + "\nSELECT vec_id, code, error, label_error, codebooks_sha256 FROM c JOIN l ON c.label IS NOT DISTINCT FROM l.label, h"
+
 ORACLE_SQL = {
+    "op13_vector_codes": _codes_sql(),
     "op2_warc": """
 WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
 f AS (SELECT payload_digest, min(page_id) AS first_id FROM p WHERE payload_bytes >= 100 GROUP BY 1)

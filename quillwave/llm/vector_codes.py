@@ -25,7 +25,7 @@ from .common import broadcast_if_small, written
 
 PARTS, ENTRIES, ROUNDS, SCALE = 4, 256, 4, 1024
 #: Width of a grid cell, in units of a component.
-STEP = 64
+STEP = 48
 #: Cells remembered for each codebook; beyond, the task begins anew with those it meets.
 CELLS = 50_000
 #: Distances worked out at once.
@@ -46,14 +46,17 @@ class Cells:
     def learn(self, cells: np.ndarray) -> None:
         """Adds cells (cell, coordinate): entries that no other entry dominates over the box, in ascending order."""
         found = []
-        size = max(1, PAIRS // self.book.size)
+        size = max(1, PAIRS // len(self.book))
         for at in range(0, len(cells), size):
-            low = cells[at : at + size, None, :] * self.step
-            high = low + (self.step - 1)
-            under, over = low - self.book, self.book - high
-            gap = np.maximum(np.maximum(under, over), 0)
-            far = np.maximum(np.abs(under), np.abs(over))
-            least, most = (gap * gap).sum(2), (far * far).sum(2)
+            some = cells[at : at + size]
+            least, most = (np.zeros((len(some), len(self.book)), np.int64) for _ in range(2))
+            for column, entries in zip(some.T, self.book.T, strict=True):  # a coordinate has few values: their distances are looked up
+                values, which = np.unique(column, return_inverse=True)
+                under = values[:, None] * self.step - entries
+                over = -(under + (self.step - 1))
+                gap, far = np.maximum(np.maximum(under, over), 0), np.maximum(np.abs(under), np.abs(over))
+                least += (gap * gap)[which]
+                most += (far * far)[which]
             found.append(least <= most.min(1, keepdims=True))
         kept = np.concatenate(found)
         counts = kept.sum(1)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import ann, binary_records, decontam, html_text, langid, mixing, secrets, simhash, substring, vector_codes, warc
+from . import ann, binary_records, decontam, html_text, interpolation, langid, mixing, secrets, simhash, substring, vector_codes, warc
 from .common import shared_dir
 
 
@@ -71,6 +71,11 @@ def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("longest")
 
 
+def op11_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score of every document under a model learned from nine tenths of them. Null texts have the end token only; repeated rows count each. An empty table gives no rows."""
+    return interpolation.score(table(spark, sf_dir, "documents"))
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Product code of every vector, with codebooks fitted on all of them. Null, empty and non-finite vectors are dropped; ties go to the lower entry; repeats count each. An empty table gives no rows."""
     return vector_codes.compress(table(spark, sf_dir, "embeddings"))
@@ -87,6 +92,7 @@ QUERIES = {
     "op8_mix": op8_mix,
     "op9_secrets": op9_secrets,
     "op10_decontam": op10_decontam,
+    "op11_lm_score": op11_lm_score,
     "op13_vector_codes": op13_vector_codes,
 }
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import ann, binary_records, decontam, html_text, interpolation, langid, mixing, secrets, simhash, substring, vector_codes, warc
+from . import alignment, ann, binary_records, decontam, html_text, interpolation, langid, mixing, secrets, simhash, substring, vector_codes, warc
 from .common import shared_dir
 
 
@@ -76,6 +76,13 @@ def op11_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interpolation.score(table(spark, sf_dir, "documents"))
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alignment of two tokenizers over every document. Null, empty and not reproducible texts have zeros; ties are all best; repeated rows count each. An empty table gives no rows."""
+    import public_tokenizers
+
+    return alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Product code of every vector, with codebooks fitted on all of them. Null, empty and non-finite vectors are dropped; ties go to the lower entry; repeats count each. An empty table gives no rows."""
     return vector_codes.compress(table(spark, sf_dir, "embeddings"))
@@ -93,6 +100,7 @@ QUERIES = {
     "op9_secrets": op9_secrets,
     "op10_decontam": op10_decontam,
     "op11_lm_score": op11_lm_score,
+    "op12_alignment": op12_alignment,
     "op13_vector_codes": op13_vector_codes,
 }
 

@@ -17,11 +17,13 @@ once in a shard and remembered; `check` tests this against the vocabulary.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import os
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -78,9 +80,13 @@ class Tokenizers:
         texts = [u.decode("utf-8", "replace") for u in units]
         a = [e.ids for e in self.a.encode_batch_fast(texts, add_special_tokens=False)]
         b = self.b.encode([t[1:] for t in texts], num_threads=1) if texts else []
-        of_a, of_b = self.bytes
-        same = [b"".join([of_a[i] for i in x]) == u and b"".join([of_b[i] for i in y]) == u for u, x, y in zip(units, a, b, strict=True)]
-        return a, b, np.array(same, bool)
+        same = np.ones(len(units), bool)
+        sizes, whole = np.fromiter(map(len, units), np.int64, len(units)), b"".join(units)
+        for ids, of, lengths in zip((a, b), self.bytes, self.lengths, strict=True):
+            flat, first, n = _ragged(ids)
+            if b"".join(map(of.__getitem__, flat.tolist())) != whole or (np.diff(np.r_[0, np.cumsum(lengths[flat])][np.r_[first, len(flat)]]) != sizes).any():
+                same &= [b"".join([of[i] for i in x]) == u for u, x in zip(units, ids, strict=True)]
+        return a, b, same
 
 
 _loaded: dict[tuple[str, str], Tokenizers] = {}
@@ -110,7 +116,7 @@ def unit_starts(x: np.ndarray, starts: np.ndarray) -> np.ndarray:
 def _ragged(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(all values, first of each list, length of each)."""
     n = np.fromiter(map(len, lists), np.int64, len(lists))
-    return np.fromiter((v for x in lists for v in x), np.int64, int(n.sum())), np.cumsum(n) - n, n
+    return np.fromiter(itertools.chain.from_iterable(lists), np.int64, int(n.sum())), np.cumsum(n) - n, n
 
 
 class Windows(dict):
@@ -154,13 +160,13 @@ class Windows(dict):
         n = len(windows)
         self.counts.append(np.stack([np.bincount(of[0], minlength=n), np.bincount(of[1], minlength=n), np.bincount(group_of, minlength=n), np.bincount(of[0][i], minlength=n)], 1))
         self.links.append(pair_keys(sides[0][i], sides[1][j]))
-        a, b = ([str(v) for v in x.tolist()] for x in sides)
-        texts: list[list[str]] = [[] for _ in windows]
-        at_a = at_b = 0
-        for w, to_a, to_b in zip(group_of.tolist(), stop_a.tolist(), stop_b.tolist(), strict=True):
-            texts[w].append(f"{','.join(a[at_a:to_a])}|{','.join(b[at_b:to_b])}")
-            at_a, at_b = to_a, to_b
-        self.texts[len(self.texts) - n :] = [";".join(t).encode() for t in texts]
+        joined = []
+        for ids, stops in zip(sides, (stop_a, stop_b), strict=True):
+            lists = pa.ListArray.from_arrays(np.r_[0, stops].astype(np.int32), pa.array(ids).cast(pa.string()))
+            joined.append(pc.binary_join(lists, ","))
+        groups = pc.binary_join_element_wise(*joined, "|")
+        lists = pa.ListArray.from_arrays(np.r_[0, np.cumsum(self.counts[-1][:, 2])].astype(np.int32), groups)
+        self.texts[len(self.texts) - n :] = pc.binary_join(lists, ";").cast(pa.binary()).to_pylist()
 
 
 def pair_keys(a: np.ndarray, b: np.ndarray) -> np.ndarray:

@@ -28,7 +28,7 @@ from .substring import word_hashes
 
 ORDER = 2
 #: Bytes of text in a shard.
-SHARD_BYTES = 8_000_000
+SHARD_BYTES = 5_000_000
 #: Of ten parts of the documents, the one that is scored only, and the one that weights are learned from.
 TEST_PART, DELETED_PART, OF_PARTS = 0, 1, 10
 #: Rounds of expectation-maximisation at most, and the change of a weight below which they end.

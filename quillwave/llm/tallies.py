@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame
 
 #: Keys of all shards that one group holds, about.
-GROUP_KEYS = 3_000_000
+GROUP_KEYS = 1_000_000
 
 SENT = "kind int, part int, shard long, keys binary, counts binary"
 BACK = "kind int, part int, shard long, totals binary, told array<long>"
@@ -87,7 +87,7 @@ def answered(rows: DataFrame, total: Callable[[np.ndarray, np.ndarray, np.ndarra
 
 def summed(distinct: np.ndarray, which: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, list[int]]:
     """The sum of each column of counts for each key; told: keys whose first sum is above the sum of none, or of one, of the others."""
-    sums = np.stack([np.bincount(which, c, len(distinct)) for c in counts.T.astype(float)], 1).astype(np.int64)
+    sums = np.stack([np.bincount(which, c, len(distinct)).astype(np.int64) for c in counts.T], 1)
     return sums, [int((sums[:, 0] > 0).sum()), *(int((sums[:, 0] > sums[:, i]).sum()) for i in range(1, sums.shape[1]))]
 
 

@@ -8,12 +8,13 @@ from __future__ import annotations
 
 import itertools
 from collections.abc import Iterator
+from functools import cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-OTHER, ENDS, WORD, JOINS = 0, 1, 2, 3
 
 def _rejoined(parts: Column, decide) -> Column:
     """The texts of array<struct<text,number>> in one, each with what decide(numbers) gives put before it."""
@@ -30,17 +31,70 @@ def _rejoined(parts: Column, decide) -> Column:
     return F.arrow_udf(run, "string")(parts)
 
 
-def with_breaths(parts: Column, most: int) -> Column:
-    """array<struct<text,kind>> to one text, a comma before a part that JOINS on after `most` words without an end."""
+SPACE, END, LETTER, INNER = 1, 2, 4, 8
 
-    def decide(kinds: list[int]) -> Iterator[str]:
-        words = 0
-        for kind in kinds:
-            due = kind == JOINS and words >= most
-            words = 0 if kind == ENDS else 1 if due else words + (kind != OTHER)
-            yield ", " if due else ""
 
-    return _rejoined(parts, decide)
+@cache
+def _classes() -> np.ndarray:
+    """What each code point is to the tokens: white space, an end, a word's letter, or allowed inside a word."""
+    kinds = np.zeros(0x110000, np.uint8)
+    for i in range(0x110000):
+        c = chr(i)
+        kinds[i] = SPACE * c.isspace() | END * (c in ",.!?\n") | LETTER * (c.isalnum() or c == "_") | INNER * (c in "'-")
+    return kinds
+
+
+def _due(points: np.ndarray, conjunctions: list[str], most: int) -> list[int]:
+    """Places of the conjunctions that get a comma, in the code points of a text.
+
+    Tokens are runs of white space and of other characters. Only conjunctions are gone through one by one: how many words
+    stand between them, and where the last end was, is told by running counts.
+    """
+    kind = _classes()[points]
+    space = kind & SPACE > 0
+    first = np.flatnonzero(np.r_[True, space[1:] != space[:-1]])
+    length = np.diff(np.r_[first, len(points)])
+    ends = np.bitwise_or.reduceat(kind & END, first) > 0
+    word = (np.bitwise_and.reduceat(np.where(kind & (LETTER | INNER), INNER, 0).astype(np.uint8), first) > 0) & (kind[first] & LETTER > 0) & ~ends
+    joins = np.zeros(len(first), bool)
+    for c in conjunctions:
+        some = np.flatnonzero(word & (length == len(c)))
+        low = points[first[some, None] + np.arange(len(c))]
+        low = np.where((low >= 65) & (low <= 90), low + 32, low)
+        joins[some[(low == np.frombuffer(c.encode("utf-32-le"), np.uint32)).all(1)]] = True
+    before = np.cumsum(word) - word
+    fresh = np.maximum.accumulate(np.where(ends, before, 0))
+    out, since = [], 0
+    at = np.flatnonzero(joins)
+    for place, n, start in zip(first[at].tolist(), before[at].tolist(), fresh[at].tolist()):
+        since = max(since, start)
+        if n - since >= most:
+            out.append(place)
+            since = n
+    return out
+
+
+def with_breaths(text: Column, conjunctions: list[str], most: int) -> Column:
+    """The text with a comma before a conjunction that follows `most` words or more without an end; the texts of a batch are looked at in one go."""
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for b in batches:
+            texts = [t or "" for t in b.to_pylist()]
+            whole = "\n".join(texts)
+            due = _due(np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32), conjunctions, most) if whole else []
+            stops = np.cumsum([len(t) + 1 for t in texts])
+            out, i = [], 0
+            for t, stop in zip(texts, stops.tolist()):
+                start, parts, done = stop - len(t) - 1, [], 0
+                while i < len(due) and due[i] < stop:
+                    parts += [t[done : due[i] - start], ", "]
+                    done = due[i] - start
+                    i += 1
+                out.append("".join([*parts, t[done:]]) if parts else t)
+            yield pa.array(out, pa.string(), mask=b.is_null().to_numpy(zero_copy_only=False))
+
+    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(run, "string")(text)
 
 
 def with_clause_commas(parts: Column) -> Column:

@@ -1,4 +1,9 @@
-"""Text normalisation as column functions: everything stays in one projection, inside the row."""
+"""Text normalisation as column functions: everything stays in one projection, inside the row.
+
+Each rule is linear in the text's length. Word lists go in one pass: the patterns name all words of a list at once, and what
+stands for a word is looked up. White space before a phrase is matched from its first character only; where a rule looks back
+to a boundary, the text is cut there first instead of being searched from every place.
+"""
 
 from __future__ import annotations
 
@@ -19,7 +24,29 @@ def _fold(text: Column, pairs) -> Column:
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.regexp_replace(text, r"(?U)^\s+|(?<!\s)\s++\z", "")
+
+
+def _let(value: Column, use) -> Column:
+    """`use`(value), with the value worked out once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _after_last(text: Column, ends: str) -> Column:
+    """What follows the last of the characters `ends`."""
+    return F.substring_index(F.translate(text, ends, ends[0] * len(ends)), ends[0], -1)
+
+
+def _starts(words: list[str]) -> str:
+    """A look at the next character, which tells most places apart from a listed word before anything slower is tried."""
+    letters = {c for w in words for c in (w[0].lower(), w[0].upper())}
+    return f"(?=[{''.join(sorted(letters | {'ſ'} if 's' in letters else letters))}{chr(0x212A) * ('k' in letters)}])"
+
+
+def _looked_up(text: Column, pairs: list[tuple[str, str]]) -> Column:
+    """Whole words of any case replaced in one pass; no replacement holds another listed word."""
+    said = F.create_map(*[F.lit(x) for word, new in pairs for x in (word.replace("\\.", ".").lower(), new)])
+    return _each_match(text, rf"{_starts([w for w, _ in pairs])}{_ANY}\b(?:{'|'.join(word for word, _ in pairs)})\b(?-iU)", lambda m: F.coalesce(F.element_at(said, F.lower(m)), m))
 
 
 def count_words(text: Column) -> Column:
@@ -27,7 +54,7 @@ def count_words(text: Column) -> Column:
 
 
 def expand_abbreviations(text: Column) -> Column:
-    return _fold(text, [(rf"{_ANY}\b{word}\b", full) for word, full in R.ABBREVIATIONS])
+    return _looked_up(text, R.ABBREVIATIONS)
 
 
 def below_thousand(n: int) -> str:
@@ -74,29 +101,30 @@ def normalize_punctuation(text: Column) -> Column:
 
 
 def respell(text: Column) -> Column:
-    return _fold(text, [(rf"{_ANY}\b{word}\b", said) for word, said in R.RESPELLINGS])
+    return _looked_up(text, R.RESPELLINGS)
 
 
 def mark_sounds(text: Column) -> Column:
-    return _fold(text, [(rf"{_ANY}\b{word}\b", f"[{word}](/{sound}/)") for word, sound in R.SOUNDS])
+    return _looked_up(text, [(word, f"[{word}](/{sound}/)") for word, sound in R.SOUNDS])
 
 
 def contract_phrases(text: Column) -> Column:
-    return _fold(text, [(rf"{_ANY}\b{phrase}\b", short) for phrase, short in R.CONTRACTIONS])
+    """Phrases overlap only where the one that begins first is also the first of the list, so that one pass does."""
+    return _looked_up(text, R.CONTRACTIONS)
 
 
 def tag_stress_words(text: Column) -> Column:
     """Wraps the listed words with (-1) or (+1) where no bracket stands before them."""
-    tagged = [(w, "-1") for w in R.LESS_STRESS] + [(w, "+1") for w in R.MORE_STRESS]
-    return _fold(text, [(rf"{_ANY}(?<!\[)\b({w})\b", f"[$1]({n})") for w, n in tagged])
+    tagged = [(R.LESS_STRESS, "-1"), (R.MORE_STRESS, "+1")]
+    return _fold(text, [(rf"{_starts(words)}{_ANY}(?<!\[)\b({'|'.join(words)})\b", f"[$1]({n})") for words, n in tagged])
 
 
 _START = r"(?:^|(?<=\. )|(?<=! )|(?<=\? ))"
 
 
 def _before(phrase: str) -> tuple[str, str]:
-    """A comma before the phrase, if there is none yet."""
-    return rf"{_ANY}(?<!,)\s+({phrase})", ", $1"
+    """A comma before the phrase, if there is none yet; behind a comma with two spaces or more there is."""
+    return rf"{_ANY}(?:(?<![,\s])|(?<=,\s))\s++({phrase})", ", $1"
 
 
 def punctuate(text: Column) -> Column:
@@ -107,7 +135,7 @@ def punctuate(text: Column) -> Column:
         [
             (r"([A-Za-z])\s*\z", "$1."),
             (rf"({_START}Now) ([a-z])", "$1, $2"),
-            (rf"(?U)({_START}(?:{any_of(R.OPENERS)}) (?:{any_of(R.OPENER_WORDS)}) \w+)(?=[^,.!?])", "$1,"),
+            (rf"{_starts(R.OPENERS)}(?U)({_START}(?:{any_of(R.OPENERS)}) (?:{any_of(R.OPENER_WORDS)}) \w+)(?=[^,.!?])", "$1,"),
             _before(f"as (?:you|we) (?:{any_of(R.VERBS)})"),
             _before(rf"(?:{any_of(R.GERUNDS)}) \w"),
             _before(f"with each (?:{any_of(R.BREATH_NOUNS)})"),
@@ -127,24 +155,16 @@ def break_long_clauses(text: Column) -> Column:
     whether the conjunction that opens it was itself a match, because then the clause begins after that conjunction's next letter.
     """
     conj = "|".join(R.CLAUSE_CONJUNCTIONS)
+    clause = lambda p: F.regexp_extract(_after_last(p, ".,\n"), "(?s)[A-Za-z].+", 0)
+    told = lambda c: (c != "").cast("int") + 2 * (count_words(_after_last(c, "!?")) >= R.CLAUSE_WORDS).cast("int")
     pieces = F.split(text, rf" (?=(?:{conj}) [a-z])")
-
-    def told(open_: Column) -> Column:
-        clause = F.regexp_extract(open_, r"([A-Za-z][^,.\n]+)\z", 1)
-        long = count_words(F.regexp_replace(clause, r"(?s)^.*[!?]", "")) >= R.CLAUSE_WORDS
-        return (clause != "").cast("int") + 2 * long.cast("int")
-
-    code = lambda p: told(p) + 4 * told(F.regexp_replace(p, rf"^(?:{conj}) [a-z]", ""))
-    return folds.with_clause_commas(folds.told(pieces, code))
+    clauses = F.transform(pieces, lambda p: F.struct(p.alias("text"), clause(p).alias("a"), clause(F.regexp_replace(p, rf"^(?:{conj}) [a-z]", "")).alias("b")))
+    return folds.with_clause_commas(F.transform(clauses, lambda c: F.struct(c["text"].alias("text"), (told(c["a"]) + 4 * told(c["b"])).alias("number"))))
 
 
 def break_breath_groups(text: Column) -> Column:
     """After 12 words without punctuation a comma before the next conjunction; words and the white space between them are looked at in turn."""
-    tokens = F.split(text, r"(?U)(?<=\s)(?=\S)|(?<=\S)(?=\s)")
-    low = F.array(*map(F.lit, R.BREATH_CONJUNCTIONS))
-    word = lambda t: t.rlike(r"(?U)^\w[\w'-]*\z")
-    kind = lambda t: F.when(t.rlike(r"[,.!?\n]"), folds.ENDS).when(~word(t), folds.OTHER).when(F.array_contains(low, F.lower(t)), folds.JOINS).otherwise(folds.WORD)
-    return folds.with_breaths(folds.told(tokens, kind), R.BREATH_WORDS)
+    return folds.with_breaths(text, R.BREATH_CONJUNCTIONS, R.BREATH_WORDS)
 
 
 def prosody_rules(text: Column) -> Column:
@@ -153,18 +173,17 @@ def prosody_rules(text: Column) -> Column:
 
 def sensory_ellipsis(text: Column) -> Column:
     """`the warmth` to `the... warmth`, unless punctuation stands right before the determiner."""
-    return F.regexp_replace(text, rf"{_ANY}(?<![,.!?—])\b({'|'.join(R.DETERMINERS)})\s+({'|'.join(sorted(R.SENSORY))})\b", "$1... $2")
+    return F.regexp_replace(text, rf"{_starts(R.DETERMINERS)}{_ANY}(?<![,.!?—])\b({'|'.join(R.DETERMINERS)})\s+({'|'.join(sorted(R.SENSORY))})\b", "$1... $2")
 
 
 def vary_sentence_length(text: Column) -> Column:
     """The first comma before a listed conjunction becomes a full stop if ten words or more precede it in the sentence."""
-    pattern = rf"(?U)(.+?), ({'|'.join(R.VARIED_CONJUNCTIONS)})( \w)"
-    whole, prefix, conj, rest = (F.regexp_extract(text, pattern, i) for i in range(4))
-    long_enough = count_words(F.regexp_replace(prefix, r"(?s)^.*[.!?]", "")) >= R.VARIED_WORDS
-    changed = F.concat(prefix, F.lit(". "), F.initcap(conj), rest)
-    head = F.element_at(F.split(text, pattern, 2), 1)
-    tail = F.substr(text, F.length(head) + F.length(whole) + 1)
-    return F.when((whole != "") & long_enough, F.concat(head, changed, tail)).otherwise(text)
+    conj = "|".join(R.VARIED_CONJUNCTIONS)
+    parts = F.split(text, rf"(?U)(?<=[^\n])(?=, (?:{conj}) \w)", 2)  # before the first such comma, and from it on
+    head, rest = lambda p: F.get(p, F.lit(0)), lambda p: F.get(p, F.lit(1))
+    long_enough = lambda p: count_words(_after_last(head(p), "!?.\n")) >= R.VARIED_WORDS
+    changed = lambda p: F.concat(head(p), F.lit(". "), F.initcap(F.regexp_extract(rest(p), rf"^, ({conj})", 1)), F.regexp_replace(rest(p), rf"^, (?:{conj})", ""))
+    return _let(parts, lambda p: F.when(F.size(p) < 2, head(p)).when(long_enough(p), changed(p)).otherwise(F.concat(head(p), rest(p))))
 
 
 def normalize_case_space(text: Column) -> Column:

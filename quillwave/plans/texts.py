@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 from ..functions import rules as R
 from ..functions import text as X
 from ..operators import sentences as N
-from ..session import table
+from ..session import spread, table
 
 PROBE = " Wait 30 sec vs 5 min, i.e 432 Hz; 4-7-8 or 120045: well-being -- yes... Om and chakra. YOU are here, do not stop. Now breathe in the warmth and feel your calm as you exhale"
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", F.concat(F.coalesce("text", F.lit("")), F.lit(PROBE)).alias("text"))
+    return spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.concat(F.coalesce("text", F.lit("")), F.lit(PROBE)).alias("text"))
 
 
 def _column(change, name: str = "text"):
@@ -96,6 +96,53 @@ _BREATHS = DOCS + r", k AS (SELECT doc_id, regexp_extract_all(text, '\s+|\S+') A
 ) + " AS r FROM k) SELECT doc_id, r.out AS text FROM f"
 
 
+_WORD = r"[\p{L}\p{M}\p{N}_]"
+_PHRASES = [f"as (?:you|we) (?:{'|'.join(R.VERBS)})", rf"(?:{'|'.join(R.GERUNDS)}) {_WORD}", f"with each (?:{'|'.join(R.BREATH_NOUNS)})"]
+_CONJ = "|".join(R.CLAUSE_CONJUNCTIONS)
+
+
+def _punctuated() -> str:
+    """The comma rules without lookaround: chr(2) marks where sentences start; runs of white space are taken with what stands before them, twice."""
+    opener = f"((?:{'|'.join(R.OPENERS)}) (?:{'|'.join(R.OPENER_WORDS)}) {_WORD}+"
+    out = r"regexp_replace(text, '([A-Za-z])\s*$', '\1.')"
+    out = rf"regexp_replace({out}, '(^|[.!?] )', '\1' || chr(2), 'g')"
+    out = rf"regexp_replace({out}, '\x02Now ([a-z])', chr(2) || 'Now, \1', 'g')"
+    out = rf"regexp_replace({out}, '\x02{opener})([^,.!?\p{{L}}\p{{M}}\p{{N}}_])', '\1,\2', 'g')"
+    out = rf"regexp_replace({out}, '\x02{opener})({_WORD})([,.!?]|$)', '\1,\2\3', 'g')"
+    out = f"replace({out}, chr(2), '')"
+    for phrase in _PHRASES:
+        for _ in range(2):
+            out = rf"regexp_replace({out}, '(^|[^,\s]|,\s)\s+({phrase})', '\1, \2', 'gi')"
+    return out
+
+
+_CLAUSE = r"regexp_extract(regexp_replace(q, '(?s)^.*[,.\n]', ''), '(?s)[A-Za-z].+')"
+_LONG = r"len(list_filter(regexp_split_to_array(regexp_replace(c, '(?s)^.*[!?]', ''), '\s+'), lambda w : w <> ''))"
+_PIECES_OF = "text"
+for _ in range(3):  # neighbours share a space
+    _PIECES_OF = f"regexp_replace({_PIECES_OF}, ' ({_CONJ}) ([a-z])', chr(1) || '\\1 \\2', 'g')"
+_CLAUSES = DOCS + f", k AS (SELECT doc_id, string_split({_PIECES_OF}, chr(1)) AS m FROM docs), f AS (SELECT doc_id, " + _reduced(
+    "m", {"out": "''", "matched": "false", "joint": "''"},
+    f"list_transform(list_transform([CASE WHEN p.matched THEN regexp_replace(x.s, '^(?:{_CONJ}) [a-z]', '') ELSE x.s END], lambda q : {_CLAUSE}), "
+    f"lambda c : {{'out': p.out || p.joint || x.s, 'matched': c <> '', 'joint': CASE WHEN c <> '' AND {_LONG} >= {R.CLAUSE_WORDS} THEN ', ' ELSE ' ' END, 's': ''}})[1]",
+) + " AS r FROM k) SELECT doc_id, r.out AS text FROM f"
+_TIDY = DOCS + r" SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, ',\s*,', ',', 'g'), ',(\s*[.!?])', '\1', 'g'), ' {2,}', ' ', 'g'), '^\s+|\s+$', '', 'g') AS text FROM docs"
+_SENSORY = DOCS + rf" SELECT doc_id, regexp_replace(text, '(^|[^\p{{L}}\p{{N}}_,.!?—])({'|'.join(R.DETERMINERS)})\s+({'|'.join(sorted(R.SENSORY))})\b', '\1\2... \3', 'gi') AS text FROM docs"
+_VARIED = DOCS + rf""", m AS (SELECT doc_id, text, regexp_extract(text, '([^\n]), ({'|'.join(R.VARIED_CONJUNCTIONS)}) {_WORD}', ['before', 'conj']) AS g, regexp_extract(text, '[^\n], (?:{'|'.join(R.VARIED_CONJUNCTIONS)}) {_WORD}') AS m FROM docs),
+ h AS (SELECT doc_id, text, g.conj AS conj, m, CASE WHEN m <> '' THEN text[:strpos(text, m)] ELSE '' END AS head FROM m)
+ SELECT doc_id, CASE WHEN m <> '' AND len(list_filter(regexp_split_to_array(regexp_replace(head, '(?s)^.*[.!?\n]', ''), '\s+'), lambda w : w <> '')) >= {R.VARIED_WORDS}
+  THEN head || '. ' || upper(conj[1]) || conj[2:] || text[len(head) + 3 + len(conj):] ELSE text END AS text FROM h"""
+_FINISHED = DOCS + rf" SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '({_WORD})\s*(\[pause:)', '\1... \2', 'g'), '\.{{2,}}', '...', 'g'), ' {{2,}}', ' ', 'g'), '^\s+|\s+$', '', 'g') AS text FROM docs"
+
+
+def _chain(*queries: str) -> str:
+    """Each query over the texts of the one before it."""
+    steps = [queries[0]]
+    for q in queries[1:]:
+        steps.append(q.replace(DOCS, f"WITH docs AS (SELECT doc_id, text FROM step{len(steps)})", 1))
+    return "WITH " + ", ".join(f"step{i} AS ({q})" for i, q in enumerate(steps, 1)) + f" SELECT doc_id, text FROM step{len(steps)}"
+
+
 def _by_chars(most: int, full_stop: bool) -> str:
     close = lambda x: f"CASE WHEN {x} <> '' AND NOT regexp_matches({x}, '[.!?…]$') THEN {x} || '.' ELSE {x} END" if full_stop else x
     fold = _reduced("a", {"out": _OUT, "held": "''"}, f"CASE WHEN p.held <> '' AND len(p.held) + 1 + len(x.s) > {most} THEN {{'out': list_append(p.out, p.held), 'held': x.s, 's': ''}} ELSE {{'out': p.out, 'held': CASE WHEN p.held = '' THEN x.s ELSE p.held || ' ' || x.s END, 's': ''}} END")
@@ -120,18 +167,17 @@ QUERIES = {
     "lexicon_sounds": (_column(X.mark_sounds), f"{DOCS} SELECT doc_id, {_words([(w, f'[{w}](/{s}/)') for w, s in R.SOUNDS], 1)} AS text FROM docs"),
     "contract_phrases": (_column(X.contract_phrases), f"{DOCS} SELECT doc_id, {_words(R.CONTRACTIONS)} AS text FROM docs"),
     "tag_stress_words": (_column(X.tag_stress_words), f"{DOCS} SELECT doc_id, {_stressed()} AS text FROM docs"),
-    "prosody_rules": (_column(lambda t: X.tidy_punctuation(X.punctuate(t))), None),
-    "break_long_clauses": (_column(X.break_long_clauses), None),
+    "prosody_rules": (_column(X.prosody_rules), _chain(f"{DOCS} SELECT doc_id, {_punctuated()} AS text FROM docs", _CLAUSES, _BREATHS, _TIDY)),
+    "break_long_clauses": (_column(X.break_long_clauses), _CLAUSES),
     "break_breath_groups": (_column(X.break_breath_groups), _BREATHS),
-    "sensory_ellipsis": (_column(X.sensory_ellipsis), DOCS + rf" SELECT doc_id, regexp_replace(text, '(^|[^\p{{L}}\p{{N}}_,.!?—])({'|'.join(R.DETERMINERS)})\s+({'|'.join(sorted(R.SENSORY))})\b', '\1\2... \3', 'gi') AS text FROM docs"),
-    "vary_sentence_length": (_column(X.vary_sentence_length), None),
+    "sensory_ellipsis": (_column(X.sensory_ellipsis), _SENSORY),
+    "vary_sentence_length": (_column(X.vary_sentence_length), _VARIED),
     "normalize_case_space": (
         _column(X.normalize_case_space),
         DOCS + rf""", n AS (SELECT doc_id, regexp_replace(regexp_replace(text, '\s+', ' ', 'g'), '^ | $', '', 'g') AS t FROM docs),
  p AS (SELECT doc_id, string_split(regexp_replace(regexp_replace(t, '(^|{_EDGE})([A-Z]{{2,}})($|{_EDGE})', '\1' || chr(1) || '\2' || chr(1) || '\3', 'g'), '(^|[^\p{{L}}\p{{N}}_\x01])([A-Z]{{2,}})($|[^\p{{L}}\p{{N}}_\x01])', '\1' || chr(1) || '\2' || chr(1) || '\3', 'g'), chr(1)) AS p FROM n)
  SELECT doc_id, array_to_string(list_transform(range(1, len(p) + 1), lambda i : CASE WHEN i % 2 = 0 THEN lower(p[i]) ELSE p[i] END), '') AS text FROM p""",
     ),
-    "preprocess_text": (_column(X.preprocess_text), None),
     "split_sentences": (lambda s, d: N.split_sentences(_docs(s, d)), f"{DOCS}, {_SENTENCES} SELECT * FROM r"),
     "merge_short_sentences": (lambda s, d: _folded(s, d, lambda t: N.merge_short_sentences(N.sentence_array(t))), f"{DOCS}, {_MERGED} SELECT doc_id, CAST(unnest(range(0, len(m))) AS INT) AS chunk_no, unnest(m) AS chunk FROM merged"),
     "estimate_tokens": (_column(N.estimate_tokens, "tokens"), DOCS + r" SELECT doc_id, CAST(floor(len(list_filter(regexp_split_to_array(text, '\s+'), lambda w : w <> '')) * 1.3) AS INT) AS tokens FROM docs"),
@@ -146,3 +192,5 @@ QUERIES = {
         f"{DOCS}, {_SENTENCES} SELECT doc_id, sent_no, greatest(0.9 * CASE WHEN {_N} < 6 THEN 0.88 WHEN sentence LIKE '%?' THEN 0.95 WHEN sentence LIKE '%...' OR sentence LIKE '%…' THEN 0.92 ELSE 1.0 END, 0.65) AS speed FROM r",
     ),
 }
+_STEPS = ["expand_abbreviations", "expand_number_ranges", "expand_integers", "contract_phrases", "lexicon_sounds", "tag_stress_words", "prosody_rules", "sensory_ellipsis", "vary_sentence_length"]
+QUERIES["preprocess_text"] = (_column(X.preprocess_text), _chain(*(QUERIES[n][1] for n in _STEPS), _FINISHED))

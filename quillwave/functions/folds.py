@@ -100,15 +100,20 @@ def with_breaths(text: Column, conjunctions: list[str], most: int) -> Column:
 def with_clause_commas(parts: Column) -> Column:
     """array<struct<text,code>> to one text, the parts joined by a space, or by a comma where the clause that ends is long.
 
-    Bits of a code: matched and long as the piece stands, then the same if the piece before it matched.
+    Three bits of a code each, matched, long, and a last letter alone (with which the next clause begins): as the piece stands,
+    without the conjunction and the letter that a match before it took, without that letter alone, and behind such a last
+    letter. The next bit says that the piece is a conjunction only, so that a match took the first letter of the piece behind.
     """
 
     def decide(codes: list[int]) -> Iterator[str]:
-        joint, matched = "", 0
+        joint, begin = "", 0
         for code in codes:
             yield joint
-            code >>= 2 * matched
-            joint, matched = ", " if code & 3 == 3 else " ", code & 1
+            if begin == 1 and code & 4096:
+                joint, begin = " ", 2
+            else:
+                code >>= 3 * begin
+                joint, begin = ", " if code & 3 == 3 else " ", 1 if code & 1 else 3 if code & 4 else 0
 
     return _rejoined(parts, decide)
 

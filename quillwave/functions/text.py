@@ -16,6 +16,7 @@ from . import folds
 from . import rules as R
 
 MARK = "\u0001"
+HYPHEN = "\ue000"
 _ANY = "(?iU)"
 
 
@@ -66,7 +67,7 @@ def below_thousand(n: int) -> str:
 
 def number_words(digits: Column) -> Column:
     """A string of digits to words up to 999,999; longer numbers lose leading zeros only."""
-    table = F.array(*[F.lit(below_thousand(i)) for i in range(1000)])
+    table = F.split(F.lit("|".join(below_thousand(i) for i in range(1000))), r"\|")  # one constant for the optimizer, not a thousand
     n = digits.cast("int")
     low = F.get(table, n % 1000)
     high = F.concat(F.get(table, F.floor(n / 1000).cast("int")), F.lit(" thousand"))
@@ -82,8 +83,12 @@ def _each_match(text: Column, pattern: str, change) -> Column:
 
 
 def expand_number_ranges(text: Column) -> Column:
-    """`4-7-8` to `four, seven, eight`."""
-    return _each_match(text, r"(?U:\b\d+(?:-\d+)+\b)", lambda m: F.array_join(F.transform(F.split(m, "-"), number_words), ", "))
+    """`4-7-8` to `four, seven, eight`. Hyphens between digits are marked first, so that the pattern of a range repeats single
+    characters only: a repeated group costs the matcher a frame of its stack each time.
+    """
+    marked = F.regexp_replace(text, r"(?U)(?<=\d)-(?=\d)", HYPHEN)
+    said = _each_match(marked, rf"(?U:\b\d[\d{HYPHEN}]*{HYPHEN}\d+\b)", lambda m: F.array_join(F.transform(F.split(m, HYPHEN), number_words), ", "))
+    return F.translate(said, HYPHEN, "-")
 
 
 def expand_integers(text: Column) -> Column:
@@ -152,14 +157,15 @@ def break_long_clauses(text: Column) -> Column:
     """A comma before and, but, while if the clause before has 8 words or more.
 
     The text is cut before each such conjunction. A piece tells alone whether its end gets a comma; all that is carried is
-    whether the conjunction that opens it was itself a match, because then the clause begins after that conjunction's next letter.
+    how much of it a match before it took, because then the clause begins after that conjunction's next letter.
     """
     conj = "|".join(R.CLAUSE_CONJUNCTIONS)
-    clause = lambda p: F.regexp_extract(_after_last(p, ".,\n"), "(?s)[A-Za-z].+", 0)
-    told = lambda c: (c != "").cast("int") + 2 * (count_words(_after_last(c, "!?")) >= R.CLAUSE_WORDS).cast("int")
+    clause = lambda p: F.regexp_extract(_after_last(p, ".,\n"), "(?s)[A-Za-z].*", 0)
+    told = lambda c: (F.length(c) > 1).cast("int") + 2 * (count_words(_after_last(c, "!?")) >= R.CLAUSE_WORDS).cast("int") + 4 * (F.length(c) == 1).cast("int")
     pieces = F.split(text, rf" (?=(?:{conj}) [a-z])")
-    clauses = F.transform(pieces, lambda p: F.struct(p.alias("text"), clause(p).alias("a"), clause(F.regexp_replace(p, rf"^(?:{conj}) [a-z]", "")).alias("b")))
-    return folds.with_clause_commas(F.transform(clauses, lambda c: F.struct(c["text"].alias("text"), (told(c["a"]) + 4 * told(c["b"])).alias("number"))))
+    clauses = F.transform(pieces, lambda p: F.struct(p.alias("text"), clause(p).alias("a"), clause(F.regexp_replace(p, rf"^(?:{conj}) [a-z]", "")).alias("b"), clause(F.substring(p, 2, 2**31 - 1)).alias("c"), clause(F.concat(F.lit("x "), p)).alias("d"), p.isin(R.CLAUSE_CONJUNCTIONS).alias("bare")))
+    code = lambda c: told(c["a"]) + 8 * told(c["b"]) + 64 * told(c["c"]) + 512 * told(c["d"]) + 4096 * c["bare"].cast("int")
+    return folds.with_clause_commas(F.transform(clauses, lambda c: F.struct(c["text"].alias("text"), code(c).alias("number"))))
 
 
 def break_breath_groups(text: Column) -> Column:

@@ -9,6 +9,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.runs import merged_runs
+from ..session import written
+
 BLOCK = 100_000
 # Fixed limits.
 SILENCE, CLIP, TAIL_DB, TAIL_MS, FLAT, HYGIENE = 0.001, 0.99, -45.0, 50.0, 0.85, (16_000, 4.0, 15.0, -1.0, -45.0)
@@ -53,10 +56,9 @@ def _inspected(signal: DataFrame, window: int) -> DataFrame:
 
 def silence_gaps(signal: DataFrame, rate_hz: float, window: int, threshold: float = SILENCE, max_silence_sec: float = 15.0) -> DataFrame:
     """Runs of quiet frames longer than the limit; a run that reaches the last frame looked at lasts to the end."""
-    order = Window.partitionBy("series_id").orderBy("frame")
-    frames = _inspected(signal, window).withColumn("quiet", F.col("rms") < threshold)
-    runs = frames.withColumn("run", F.sum((~F.col("quiet")).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("last", F.max("frame").over(Window.partitionBy("series_id")))
-    runs = runs.filter("quiet").groupBy("series_id", "run").agg(F.min("frame").alias("a"), F.max("frame").alias("b"), F.first("n").alias("n"), F.first("last").alias("last"))
+    frames = written(_inspected(signal, window))
+    last = frames.groupBy("series_id").agg(F.first("n").alias("n"), F.max("frame").alias("last"))
+    runs = merged_runs(frames.filter(F.col("rms") < threshold), "series_id", "frame").join(last, "series_id")
     end = F.when(F.col("b") == F.col("last"), F.col("n")).otherwise((F.col("b") + 1) * window)
     length = (end - F.col("a") * window) / rate_hz
     return runs.filter(length > max_silence_sec).select("series_id", F.round(F.col("a") * window / rate_hz, 1).alias("start_sec"), F.round(length, 1).alias("duration_sec"))
@@ -142,7 +144,8 @@ def trim_tail_windows(signal: DataFrame, rate_hz: float, window_sec: float = 0.0
     tail per series.
     """
     win = max(1, int(window_sec * rate_hz))
-    rows = remove_offset(signal).withColumn("n", F.max("pos").over(Window.partitionBy("series_id")) + 1)
+    rows = remove_offset(signal)
+    rows = rows.join(signal.groupBy("series_id").agg((F.max("pos") + 1).alias("n")), "series_id")
     back = F.floor((F.col("n") - 1 - F.col("pos")) / win)
     whole = (back + 1) * win + win <= F.col("n")
     level = rows.withColumn("back", back).filter(whole).groupBy("series_id", "back").agg(F.sqrt(F.avg(F.col("value") * F.col("value"))).alias("rms"))

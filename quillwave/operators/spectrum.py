@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.quantiles import exact_quantile
 from ..session import written
 from . import frames as L
 
@@ -62,7 +63,8 @@ def rolloff(spectrum: DataFrame, share: float = ROLLOFF, max_hz: float = MAX_ROL
     frame = Window.partitionBy("series_id", "frame")
     below = F.sum("magnitude").over(frame.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0))
     rows = spectrum.withColumn("below", below).withColumn("all", F.sum("magnitude").over(frame)).filter(F.col("below") >= share * F.col("all"))
-    rows = rows.groupBy("series_id", "frame").agg(F.min("hz").alias("hz")).groupBy("series_id").agg(F.percentile("hz", 0.5).alias("rolloff_hz"))
+    rows = rows.groupBy("series_id", "frame").agg(F.min("hz").alias("rolloff_hz"))
+    rows = exact_quantile(rows, "series_id", "rolloff_hz", 0.5)
     return rows.withColumn("passed", F.col("rolloff_hz") <= max_hz)
 
 
@@ -101,7 +103,9 @@ def onsets(spectrum: DataFrame) -> DataFrame:
 
 def onset_strength(spectrum: DataFrame, most: float = ONSET_RATIO) -> DataFrame:
     """Largest over median onset; 0 if there is next to none."""
-    rows = onsets(spectrum).groupBy("series_id").agg(F.max("strength").alias("top"), F.percentile("strength", 0.5).alias("mid"), F.count(F.lit(1)).alias("n"))
+    found = written(onsets(spectrum))
+    middle = exact_quantile(found, "series_id", "strength", 0.5).withColumnRenamed("strength", "mid")
+    rows = found.groupBy("series_id").agg(F.max("strength").alias("top"), F.count(F.lit(1)).alias("n")).join(middle, "series_id")
     ratio = F.when((F.col("n") < 2) | (F.col("mid") < 1e-8), 0.0).otherwise(F.col("top") / F.col("mid"))
     return rows.select("series_id", ratio.alias("onset_ratio"), (ratio < most).alias("passed"))
 
@@ -149,7 +153,7 @@ def gain_rate(signal: DataFrame, rate_hz: float, window_ms: float = 100.0, most:
     window = max(1, int(window_ms * rate_hz / 1000))
     level = L.sliding_rms(signal, window).select("series_id", "pos", (20 * F.log10(F.sqrt(F.col("env") * F.col("env") + 1e-10))).alias("level"))
     rows = L.blocked(level, 1, 0, lambda w: {"step": F.abs(F.col("level") - F.lag("level").over(w)) * rate_hz})
-    return rows.groupBy("series_id").agg(F.percentile("step", 0.99).alias("rate")).withColumn("passed", F.col("rate") <= most)
+    return exact_quantile(rows.withColumnRenamed("step", "rate"), "series_id", "rate", 0.99).withColumn("passed", F.col("rate") <= most)
 
 
 def metrics(signal: DataFrame, rate_hz: float, size: int, warm=WARM, present=PRESENT, band=BAND, weighted: bool = True, quiet: float = L.SILENCE) -> DataFrame:

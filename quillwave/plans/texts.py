@@ -116,15 +116,16 @@ def _punctuated() -> str:
     return out
 
 
-_CLAUSE = r"regexp_extract(regexp_replace(q, '(?s)^.*[,.\n]', ''), '(?s)[A-Za-z].+')"
+_CLAUSE = r"regexp_extract(regexp_replace(q, '(?s)^.*[,.\n]', ''), '(?s)[A-Za-z].*')"
 _LONG = r"len(list_filter(regexp_split_to_array(regexp_replace(c, '(?s)^.*[!?]', ''), '\s+'), lambda w : w <> ''))"
 _PIECES_OF = "text"
 for _ in range(3):  # neighbours share a space
     _PIECES_OF = f"regexp_replace({_PIECES_OF}, ' ({_CONJ}) ([a-z])', chr(1) || '\\1 \\2', 'g')"
 _CLAUSES = DOCS + f", k AS (SELECT doc_id, string_split({_PIECES_OF}, chr(1)) AS m FROM docs), f AS (SELECT doc_id, " + _reduced(
-    "m", {"out": "''", "matched": "false", "joint": "''"},
-    f"list_transform(list_transform([CASE WHEN p.matched THEN regexp_replace(x.s, '^(?:{_CONJ}) [a-z]', '') ELSE x.s END], lambda q : {_CLAUSE}), "
-    f"lambda c : {{'out': p.out || p.joint || x.s, 'matched': c <> '', 'joint': CASE WHEN c <> '' AND {_LONG} >= {R.CLAUSE_WORDS} THEN ', ' ELSE ' ' END, 's': ''}})[1]",
+    "m", {"out": "''", "taken": "0", "joint": "''"},
+    f"CASE WHEN p.taken = 1 AND x.s IN ('{_CONJ.replace('|', chr(39) + ', ' + chr(39))}') THEN {{'out': p.out || p.joint || x.s, 'taken': 2, 'joint': ' ', 's': ''}} ELSE "
+    f"list_transform(list_transform([CASE p.taken WHEN 1 THEN regexp_replace(x.s, '^(?:{_CONJ}) [a-z]', '') WHEN 2 THEN x.s[2:] WHEN 3 THEN 'x ' || x.s ELSE x.s END], lambda q : {_CLAUSE}), "
+    f"lambda c : {{'out': p.out || p.joint || x.s, 'taken': CASE len(c) WHEN 0 THEN 0 WHEN 1 THEN 3 ELSE 1 END, 'joint': CASE WHEN len(c) > 1 AND {_LONG} >= {R.CLAUSE_WORDS} THEN ', ' ELSE ' ' END, 's': ''}})[1] END",
 ) + " AS r FROM k) SELECT doc_id, r.out AS text FROM f"
 _TIDY = DOCS + r" SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, ',\s*,', ',', 'g'), ',(\s*[.!?])', '\1', 'g'), ' {2,}', ' ', 'g'), '^\s+|\s+$', '', 'g') AS text FROM docs"
 _SENSORY = DOCS + rf" SELECT doc_id, regexp_replace(text, '(^|[^\p{{L}}\p{{N}}_,.!?—])({'|'.join(R.DETERMINERS)})\s+({'|'.join(sorted(R.SENSORY))})\b', '\1\2... \3', 'gi') AS text FROM docs"

@@ -240,19 +240,28 @@ def gated_loudness(signal: DataFrame, rate_hz: float, target_lufs: float = -18.0
     return rows.select("series_id", "lufs", F.when(none, F.lit(1.0)).otherwise(F.pow(F.lit(10.0), (aim - F.col("lufs")) / 20)).alias("gain"))
 
 
-def lookahead_limit(signal: DataFrame, rate_hz: float, threshold_db: float = -1.0, margin_db: float = 0.3, lookahead_ms: float = 2.0, smooth_hz: float = 200.0) -> DataFrame:
+def lookahead_limit(signal: DataFrame, rate_hz: float, threshold_db: float = -1.0, margin_db: float = 0.3, lookahead_ms: float = 2.0, smooth_hz: float = 200.0, oversample: int = 4) -> DataFrame:
     """Each row's gain is the smallest that it or the rows of the next `lookahead_ms` need, or less where a zero-phase low pass
-    at `smooth_hz` (0: none) rounds it. Peaks between samples are not looked for: there is no oversampling.
+    at `smooth_hz` (0: none) rounds it; all channels share it.
+
+    Peaks between samples count: the series is limited at `oversample` times its rate and brought back (1: as it stands). Only
+    series_id, channel, pos and value are kept.
     """
     from ..functions.filters import low_pass, zero_phase
-
-    top, ahead = 10 ** ((threshold_db - margin_db) / 20), max(1, int(rate_hz * lookahead_ms / 1000))
-    own = F.least(F.lit(1.0), F.lit(top) / F.greatest(F.abs("value"), F.lit(1e-12)))
-    rows = blocked(signal, 0, ahead - 1, lambda w: {"gain": F.min(own).over(w.rowsBetween(0, ahead - 1))})
+    from ..functions.resampling import resampled
+
+    rate = rate_hz * oversample
+    top, ahead = 10 ** ((threshold_db - margin_db) / 20), max(1, int(rate * lookahead_ms / 1000))
+    held = lambda v: F.greatest(F.least(v, F.lit(top)), F.lit(-top))
+    fine = written(resampled(signal, oversample, 1)) if oversample > 1 else signal.select("series_id", "channel", "pos", "value")
+    peaks = fine.groupBy("series_id", "pos").agg(F.least(F.lit(1.0), F.lit(top) / F.greatest(F.max(F.abs("value")), F.lit(1e-12))).alias("need"))
+    gains = blocked(peaks, 0, ahead - 1, lambda w: {"gain": F.min("need").over(w.rowsBetween(0, ahead - 1))}).select("series_id", "pos", "gain")
     if smooth_hz > 0:
-        smooth = zero_phase(rows.select("series_id", "pos", F.col("gain").alias("value")), low_pass(min(smooth_hz, 0.45 * rate_hz), rate_hz)).withColumnRenamed("value", "smooth")
-        rows = rows.join(smooth, ["series_id", "pos"]).withColumn("gain", F.least("gain", "smooth")).drop("smooth")
-    return rows.withColumn("value", F.greatest(F.least(F.col("value") * F.col("gain"), F.lit(top)), F.lit(-top)))
+        gains = written(gains)
+        smooth = zero_phase(gains.withColumnRenamed("gain", "value"), low_pass(min(smooth_hz, 0.45 * rate), rate)).withColumnRenamed("value", "smooth")
+        gains = gains.join(smooth, ["series_id", "pos"]).withColumn("gain", F.least("gain", "smooth")).drop("smooth")
+    rows = fine.join(gains, ["series_id", "pos"]).select("series_id", "channel", "pos", held(F.col("value") * F.col("gain")).alias("value"))
+    return resampled(rows, 1, oversample).withColumn("value", held(F.col("value"))) if oversample > 1 else rows
 
 
 def onepole_envelope(signal: DataFrame, rate_hz: float, ms: float = 30.0) -> DataFrame:

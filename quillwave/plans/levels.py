@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.resampling import taps
 from ..operators import frames as L
 from ..sources.fixtures import RATE, SIGNAL_SQL, signal
 
@@ -62,6 +63,18 @@ def _weighted() -> str:
  SELECT series_id, round(lufs, 6) AS lufs, round(CASE WHEN lufs IS NULL OR abs(-21 - lufs) > 40 THEN 1 ELSE pow(10, (-21 - lufs) / 20) END, 6) AS gain FROM n LEFT JOIN g USING (series_id)"""
 
 
+def _taps(up: int, down: int) -> str:
+    h = taps(up, down)
+    return f"(SELECT unnest(range({-(len(h) // 2)}, {len(h) // 2 + 1})) AS k, unnest([{', '.join(repr(float(x)) for x in h)}]) AS h)"
+
+
+#: Four times the rate (a row of the series reaches 40 rows on either side), the gains there, and back.
+_TRUE_PEAKS = W + f""", u AS (SELECT series_id, pos * 4 + k AS pos, sum(value * h) AS value FROM signal, {_taps(4, 1)} GROUP BY 1, 2), n AS (SELECT series_id, max(pos) + 1 AS n FROM signal GROUP BY 1),
+ x AS (SELECT u.* FROM u JOIN n USING (series_id) WHERE pos >= 0 AND pos < 4 * n), g AS (SELECT *, min(least(1, pow(10, -9.3 / 20) / greatest(abs(value), 1e-12))) OVER (PARTITION BY series_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING) AS gain FROM x),
+ y AS (SELECT series_id, pos, greatest(least(value * gain, pow(10, -9.3 / 20)), -pow(10, -9.3 / 20)) AS value FROM g), d AS (SELECT series_id, (pos + k) // 4 AS pos, sum(value * h) AS value FROM y, {_taps(1, 4)} WHERE (pos + k) % 4 = 0 AND pos + k >= 0 GROUP BY 1, 2)
+ SELECT d.series_id, pos, round(greatest(least(value, pow(10, -9.3 / 20)), -pow(10, -9.3 / 20)), 6) AS value FROM d JOIN n USING (series_id) WHERE pos < n"""
+
+
 _ENV = "sqrt(sum(value * value) OVER (PARTITION BY series_id ORDER BY pos ROWS BETWEEN 5 PRECEDING AND 4 FOLLOWING) / 10)"
 QUERIES = {
     "frame_rms": (lambda s, d: _round(L.frame_rms(signal(s, d), 10), "rms", "dbfs"), FRAMES.format(10) + " SELECT series_id, frame, round(rms, 6) AS rms, round(20 * log10(greatest(rms, 1e-10)), 6) AS dbfs FROM f"),
@@ -95,5 +108,6 @@ QUERIES = {
         W + ", n AS (SELECT series_id, max(pos) + 1 AS n FROM signal GROUP BY 1), b AS (SELECT series_id, n, unnest(range(0, (n - 40) // 10 + 1)) AS b FROM n), z AS (SELECT b.series_id, b.b, sum(value * value) / 40 AS z FROM b JOIN signal s ON s.series_id = b.series_id AND s.pos BETWEEN b.b * 10 AND b.b * 10 + 39 GROUP BY 1, 2), h AS (SELECT *, -0.691 + 10 * log10(z) AS l FROM z WHERE z > 0 AND -0.691 + 10 * log10(z) > -70), r AS (SELECT series_id, -0.691 + 10 * log10(avg(z)) - 10 AS gate FROM h GROUP BY 1), g AS (SELECT series_id, -0.691 + 10 * log10(avg(z)) AS lufs FROM h JOIN r USING (series_id) WHERE l > gate GROUP BY 1) SELECT series_id, round(lufs, 6) AS lufs, round(CASE WHEN lufs IS NULL OR abs(-21 - lufs) > 40 THEN 1 ELSE pow(10, (-21 - lufs) / 20) END, 6) AS gain FROM n LEFT JOIN g USING (series_id)",
     ),
     "gated_loudness_weighted": (lambda s, d: _round(L.gated_loudness(signal(s, d), WEIGHTED_RATE), "lufs", "gain"), _weighted()),
-    "lookahead_limit": (lambda s, d: _rows(L.lookahead_limit(signal(s, d), RATE, -9.0, 0.3, 50.0, smooth_hz=0)), W + ", g AS (SELECT *, min(least(1, pow(10, -9.3 / 20) / greatest(abs(value), 1e-12))) OVER (PARTITION BY series_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) AS gain FROM signal) SELECT series_id, pos, round(greatest(least(value * gain, pow(10, -9.3 / 20)), -pow(10, -9.3 / 20)), 6) AS value FROM g"),
+    "lookahead_limit": (lambda s, d: _rows(L.lookahead_limit(signal(s, d), RATE, -9.0, 0.3, 50.0, smooth_hz=0, oversample=1)), W + ", g AS (SELECT *, min(least(1, pow(10, -9.3 / 20) / greatest(abs(value), 1e-12))) OVER (PARTITION BY series_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) AS gain FROM signal) SELECT series_id, pos, round(greatest(least(value * gain, pow(10, -9.3 / 20)), -pow(10, -9.3 / 20)), 6) AS value FROM g"),
+    "true_peak_limit": (lambda s, d: _rows(L.lookahead_limit(signal(s, d), RATE, -9.0, 0.3, 50.0, smooth_hz=0)), _TRUE_PEAKS),
 }

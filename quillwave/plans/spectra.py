@@ -20,6 +20,10 @@ def _spectrum(s: SparkSession, d: str) -> DataFrame:
     return P.dft_frames(signal(s, d), RATE, SIZE)
 
 
+def _features(s: SparkSession, d: str) -> DataFrame:
+    return P.frame_features(signal(s, d), RATE, SIZE)
+
+
 def _r(df: DataFrame, digits: int, *names: str) -> DataFrame:
     return df.withColumns({n: F.round(n, digits) for n in names})
 
@@ -56,19 +60,21 @@ def _bare(query: str) -> str:
 
 QUERIES = {
     "dft_frames": (lambda s, d: _r(_spectrum(s, d), 4, "power", "magnitude"), SPECTRUM + " SELECT series_id, frame, bin, hz, round(power, 4) AS power, round(magnitude, 4) AS magnitude FROM spectrum"),
-    "band_balance": (lambda s, d: _r(P.band_balance(_spectrum(s, d), BANDS["warm"], BANDS["present"]), 6, "warmth", "presence"), SPECTRUM + ", g AS (SELECT series_id, coalesce(sum(psd) FILTER (WHERE hz BETWEEN 1 AND 3), 0) AS a, coalesce(sum(psd) FILTER (WHERE hz BETWEEN 20 AND 50), 0) AS b FROM psd GROUP BY 1) SELECT series_id, round(a, 6) AS warmth, round(b, 6) AS presence, a >= b AS passed FROM g"),
-    "rolloff": (lambda s, d: P.rolloff(_spectrum(s, d)), SPECTRUM + ", c AS (SELECT series_id, frame, hz, sum(magnitude) OVER (PARTITION BY series_id, frame ORDER BY bin) AS b, sum(magnitude) OVER (PARTITION BY series_id, frame) AS t FROM spectrum), r AS (SELECT series_id, frame, min(hz) AS hz FROM c WHERE b >= 0.85 * t GROUP BY 1, 2) SELECT series_id, quantile_cont(hz, 0.5) AS rolloff_hz, quantile_cont(hz, 0.5) <= 8000 AS passed FROM r GROUP BY 1"),
-    "flatness": (lambda s, d: _r(P.flatness(_spectrum(s, d), BANDS["band"]), 4, "flatness"), SPECTRUM + ", g AS (SELECT series_id, exp(avg(ln(greatest(psd, 1e-20)))) / avg(greatest(psd, 1e-20)) AS x FROM psd WHERE hz BETWEEN 10 AND 40 GROUP BY 1) SELECT series_id, round(x, 4) AS flatness, x <= 0.3 AS passed FROM g"),
-    "centroid_variation": (lambda s, d: _r(P.centroid_variation(_spectrum(s, d)), 4, "variation"), SPECTRUM + ", c AS (SELECT series_id, frame, sum(hz * magnitude) / sum(magnitude) AS c FROM spectrum GROUP BY 1, 2), g AS (SELECT series_id, stddev_pop(c) / greatest(avg(c), 1) * 100 AS x FROM c GROUP BY 1) SELECT series_id, round(x, 4) AS variation, x <= 50 AS passed FROM g"),
-    "harmonic_stability": (lambda s, d: _r(P.harmonic_stability(_spectrum(s, d)), 4, "stability"), SPECTRUM + ", p0 AS (SELECT series_id, frame, ((round(12 * log2(hz / 440.0)) % 12) + 12) % 12 AS pitch, sum(power) AS p FROM spectrum WHERE hz > 0 GROUP BY 1, 2, 3), p1 AS (SELECT series_id, frame, pitch, p / greatest(max(p) OVER (PARTITION BY series_id, frame), 1e-20) AS p FROM p0), p2 AS (SELECT *, lag(p) OVER (PARTITION BY series_id, pitch ORDER BY frame) AS q FROM p1), g AS (SELECT series_id, pitch, CASE WHEN stddev_pop(p) < 1e-8 OR count(*) < 2 THEN 1.0 ELSE corr(q, p) END AS c FROM p2 GROUP BY 1, 2) SELECT series_id, round(avg(c), 4) AS stability, avg(c) >= 0.85 AS passed FROM g GROUP BY 1"),
-    "onset_strength": (lambda s, d: _r(P.onset_strength(_spectrum(s, d)), 4, "onset_ratio"), ONSETS + ", g AS (SELECT series_id, max(strength) / quantile_cont(strength, 0.5) AS r FROM ons GROUP BY 1) SELECT series_id, round(r, 4) AS onset_ratio, r < 5 AS passed FROM g"),
-    "onset_density": (lambda s, d: _r(P.onset_density(_spectrum(s, d), _lengths(s, d)), 6, "onsets_per_sec"), ONSETS + ", m AS (SELECT *, avg(strength) OVER (PARTITION BY series_id ORDER BY frame ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS mean, lag(strength) OVER w AS a, lead(strength) OVER w AS b FROM ons WINDOW w AS (PARTITION BY series_id ORDER BY frame)), g AS (SELECT m.series_id, count(*) FILTER (WHERE strength >= coalesce(a, strength) AND strength > coalesce(b, -1) AND strength > 1.5 * mean) / (any_value(n.n) / 100.0) AS r FROM m JOIN n ON m.series_id = n.series_id GROUP BY 1) SELECT series_id, round(r, 6) AS onsets_per_sec, r <= 0.5 AS passed FROM g"),
+    "band_balance": (lambda s, d: _r(P.band_balance(_features(s, d), BANDS["warm"], BANDS["present"]), 6, "warmth", "presence"), SPECTRUM + ", g AS (SELECT series_id, coalesce(sum(psd) FILTER (WHERE hz BETWEEN 1 AND 3), 0) AS a, coalesce(sum(psd) FILTER (WHERE hz BETWEEN 20 AND 50), 0) AS b FROM psd GROUP BY 1) SELECT series_id, round(a, 6) AS warmth, round(b, 6) AS presence, a >= b AS passed FROM g"),
+    "rolloff": (lambda s, d: P.rolloff(_features(s, d)), SPECTRUM + ", c AS (SELECT series_id, frame, hz, sum(magnitude) OVER (PARTITION BY series_id, frame ORDER BY bin) AS b, sum(magnitude) OVER (PARTITION BY series_id, frame) AS t FROM spectrum), r AS (SELECT series_id, frame, min(hz) AS hz FROM c WHERE b >= 0.85 * t GROUP BY 1, 2) SELECT series_id, quantile_cont(hz, 0.5) AS rolloff_hz, quantile_cont(hz, 0.5) <= 8000 AS passed FROM r GROUP BY 1"),
+    "flatness": (lambda s, d: _r(P.flatness(_features(s, d), BANDS["band"]), 4, "flatness"), SPECTRUM + ", g AS (SELECT series_id, exp(avg(ln(greatest(psd, 1e-20)))) / avg(greatest(psd, 1e-20)) AS x FROM psd WHERE hz BETWEEN 10 AND 40 GROUP BY 1) SELECT series_id, round(x, 4) AS flatness, x <= 0.3 AS passed FROM g"),
+    "centroid_variation": (lambda s, d: _r(P.centroid_variation(_features(s, d)), 4, "variation"), SPECTRUM + ", c AS (SELECT series_id, frame, sum(hz * magnitude) / sum(magnitude) AS c FROM spectrum GROUP BY 1, 2), g AS (SELECT series_id, stddev_pop(c) / greatest(avg(c), 1) * 100 AS x FROM c GROUP BY 1) SELECT series_id, round(x, 4) AS variation, x <= 50 AS passed FROM g"),
+    "harmonic_stability": (lambda s, d: _r(P.harmonic_stability(_features(s, d)), 4, "stability"), SPECTRUM + ", p0 AS (SELECT series_id, frame, ((round(12 * log2(hz / 440.0)) % 12) + 12) % 12 AS pitch, sum(power) AS p FROM spectrum WHERE hz > 0 GROUP BY 1, 2, 3), p1 AS (SELECT series_id, frame, pitch, p / greatest(max(p) OVER (PARTITION BY series_id, frame), 1e-20) AS p FROM p0), p2 AS (SELECT *, lag(p) OVER (PARTITION BY series_id, pitch ORDER BY frame) AS q FROM p1), g AS (SELECT series_id, pitch, CASE WHEN stddev_pop(p) < 1e-8 OR count(*) < 2 THEN 1.0 ELSE corr(q, p) END AS c FROM p2 GROUP BY 1, 2) SELECT series_id, round(avg(c), 4) AS stability, avg(c) >= 0.85 AS passed FROM g GROUP BY 1"),
+    "onset_strength": (lambda s, d: _r(P.onset_strength(_features(s, d)), 4, "onset_ratio"), ONSETS + ", g AS (SELECT series_id, max(strength) / quantile_cont(strength, 0.5) AS r FROM ons GROUP BY 1) SELECT series_id, round(r, 4) AS onset_ratio, r < 5 AS passed FROM g"),
+    "onset_density": (lambda s, d: _r(P.onset_density(_features(s, d), _lengths(s, d)), 6, "onsets_per_sec"), ONSETS + ", m AS (SELECT *, avg(strength) OVER (PARTITION BY series_id ORDER BY frame ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS mean, lag(strength) OVER w AS a, lead(strength) OVER w AS b FROM ons WINDOW w AS (PARTITION BY series_id ORDER BY frame)), g AS (SELECT m.series_id, count(*) FILTER (WHERE strength >= coalesce(a, strength) AND strength > coalesce(b, -1) AND strength > 1.5 * mean) / (any_value(n.n) / 100.0) AS r FROM m JOIN n ON m.series_id = n.series_id GROUP BY 1) SELECT series_id, round(r, 6) AS onsets_per_sec, r <= 0.5 AS passed FROM g"),
     "boundary_similarity": (
-        lambda s, d: _r(P.boundary_similarity(_chunks(s, d), 128, RATE, SIZE, least_rows=100), 4, "similarity"),
+        lambda s, d: _r(P.boundary_similarity(_chunks(s, d), 128, RATE, SIZE, least_rows=100, bands=12), 4, "similarity"),
         f"""WITH {SIGNAL_SQL}, c AS (SELECT series_id AS s, pos // 400 AS c, pos % 400 AS p, value, count(*) OVER (PARTITION BY series_id, pos // 400) AS n FROM signal), e AS (SELECT s, 't' AS side, c, n, p - greatest(n - 128, 0) AS p, value FROM c WHERE p >= n - 128 UNION ALL SELECT s, 'h', c, n, p, value FROM c WHERE p < 128),
  fr AS (SELECT s, side, c, unnest(range(0, (least(max(n), 128) - 64) // 32 + 1)) AS frame FROM e GROUP BY 1, 2, 3), x AS (SELECT fr.s, fr.side, fr.c, frame, p - frame * 32 AS k, value - avg(value) OVER (PARTITION BY fr.s, fr.side, fr.c, frame) AS v FROM fr JOIN e ON e.s = fr.s AND e.side = fr.side AND e.c = fr.c AND p BETWEEN frame * 32 AND frame * 32 + 63),
  f AS (SELECT s, side, c, frame, bin, sum(v * (0.5 - 0.5 * cos(2 * pi() * k / 64)) * cos(2 * pi() * bin * k / 64)) AS re, sum(v * (0.5 - 0.5 * cos(2 * pi() * k / 64)) * sin(2 * pi() * bin * k / 64)) AS im FROM x, (SELECT unnest(range(0, 33)) AS bin) GROUP BY 1, 2, 3, 4, 5),
- m AS (SELECT s, side, c, bin, avg((re * re + im * im) * CASE WHEN bin IN (0, 32) THEN 1 ELSE 2 END / 2400.0) AS p FROM f GROUP BY 1, 2, 3, 4), g AS (SELECT a.s, a.c AS boundary, sum(a.p * b.p) / greatest(sqrt(sum(a.p * a.p)) * sqrt(sum(b.p * b.p)), 1e-8) AS cos FROM m a JOIN m b ON a.s = b.s AND a.side = 't' AND b.side = 'h' AND b.c = a.c + 1 AND a.bin = b.bin GROUP BY 1, 2),
+ m AS (SELECT s, side, c, bin, avg((re * re + im * im) * CASE WHEN bin IN (0, 32) THEN 1 ELSE 2 END / 2400.0) AS p FROM f GROUP BY 1, 2, 3, 4),
+ e3 AS (SELECT band, band * 50.0 / 13 AS lo, (band + 1) * 50.0 / 13 AS mi, (band + 2) * 50.0 / 13 AS hi FROM (SELECT unnest(range(0, 12)) AS band)), w AS (SELECT band, bin, greatest(0, least((bin * 100.0 / 64 - lo) / (mi - lo), (hi - bin * 100.0 / 64) / (hi - mi))) * 2 / (hi - lo) AS w FROM e3, (SELECT unnest(range(0, 33)) AS bin)),
+ l AS (SELECT s, side, c, band, sum(p * w) AS p FROM m JOIN w USING (bin) GROUP BY 1, 2, 3, 4), g AS (SELECT a.s, a.c AS boundary, sum(a.p * b.p) / greatest(sqrt(sum(a.p * a.p)) * sqrt(sum(b.p * b.p)), 1e-8) AS cos FROM l a JOIN l b ON a.s = b.s AND a.side = 't' AND b.side = 'h' AND b.c = a.c + 1 AND a.band = b.band GROUP BY 1, 2),
  y AS (SELECT DISTINCT s, c, n FROM c), z AS (SELECT a.s, a.c AS boundary, least(a.n, b.n, 128) AS r FROM y a JOIN y b ON a.s = b.s AND b.c = a.c + 1) SELECT z.s AS series_id, z.boundary, round(CASE WHEN r < 100 THEN 1.0 ELSE coalesce(cos, 1.0) END, 4) AS similarity, CASE WHEN r < 100 THEN 1.0 ELSE coalesce(cos, 1.0) END >= 0.85 AS passed FROM z LEFT JOIN g USING (s, boundary)""",
     ),
     "level_ratio": (lambda s, d: _r(P.level_ratio(*two_signals(s, d), two_signals(s, d)[0].select("pos", (F.abs("value") > 0.1).alias("active"))), 6, "ratio_db"), f"WITH {TWO_SQL}, g AS (SELECT 20 * log10(sqrt(avg(v.value * v.value) + 1e-10) / sqrt(avg(m.value * m.value) + 1e-10)) AS r FROM voice v JOIN music m ON v.pos = m.pos WHERE abs(v.value) > 0.1) SELECT round(r, 6) AS ratio_db, r >= 15 AS passed FROM g"),

@@ -11,6 +11,7 @@ from ..operators import prompts as P
 from ..operators import vectors as V
 from ..session import shared_folder, table
 from ..sources import assets as A
+from ..sources import media as M
 from ..sources.fixtures import RATE, SIGNAL_SQL, signal
 
 PROBE = ", Soft piano: 1.5, warm pads: x, a: b: 2, , deep soundscape"
@@ -52,6 +53,17 @@ def _chunk_ids(s: SparkSession, d: str) -> DataFrame:
     return s.read.parquet(path).groupBy("series_id", F.col("chunk_id").cast("long").alias("chunk_id")).agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("first_pos"))
 
 
+def _media(s: SparkSession, d: str) -> DataFrame:
+    """Every 500 rows of a series as a file; of five files one is cut short and one has no known mark. Then the headers' rows."""
+    path = shared_folder(s)
+    files = M.wave_files(signal(s, d), RATE, 500)
+    content = F.expr("CASE part % 5 WHEN 3 THEN substring(content, 1, 100) WHEN 4 THEN concat(encode('ABCD', 'UTF-8'), substring(content, 5)) ELSE content END")
+    M.write_files(files, F.concat("series_id", F.lit("-"), "part", F.lit(".wav")), content, path)
+    usable, broken = M.split_media(M.scan_media(s, path, "*.wav"))
+    both = usable.withColumn("error", F.lit(None).cast("string")).unionByName(broken, allowMissingColumns=True)
+    return both.select(A.name_parts(F.col("path"))[0].alias("stem"), "bytes", "format", "rate_hz", "channels", "bits", "frames", F.round("seconds", 6).alias("seconds"), "error")
+
+
 def _stems(s: SparkSession, d: str) -> DataFrame:
     path = shared_folder(s)
     A.write_stems(signal(s, d).select(F.floor(F.col("pos") / 1000).alias("job_id"), F.col("series_id").alias("stem"), "pos", "value"), path)
@@ -133,6 +145,10 @@ QUERIES = {
         lambda s, d: (lambda both: both[0].withColumn("accepted", F.lit(True)).unionByName(both[1].withColumn("accepted", F.lit(False))).select("page_id", "accepted"))(A.skip_bad_assets(table(s, d, "pages"), "html", (F.length("html") > 2000) & F.col("html").contains("</article>"))),
         "SELECT page_id, coalesce(len(html) > 2000 AND html LIKE '%</article>%', false) AS accepted FROM pages",
     ),
+    "media_headers": (
+        _media,
+        f"WITH {SIGNAL_SQL}, p AS (SELECT series_id, pos // 500 AS part, max(pos) % 500 + 1 AS n FROM signal GROUP BY 1, 2), e AS (SELECT *, CASE WHEN part % 5 = 4 THEN 'unknown format' WHEN part % 5 = 3 AND 44 + 2 * n > 100 THEN 'truncated' END AS error FROM p) SELECT series_id || '-' || part AS stem, CASE WHEN part % 5 = 3 THEN least(44 + 2 * n, 100) ELSE 44 + 2 * n END AS bytes, CASE WHEN error IS NULL THEN 'wav' END AS format, CASE WHEN error IS NULL THEN 100.0 END AS rate_hz, CASE WHEN error IS NULL THEN 1 END AS channels, CASE WHEN error IS NULL THEN 16 END AS bits, CASE WHEN error IS NULL THEN n END AS frames, CASE WHEN error IS NULL THEN round(n / 100.0, 6) END AS seconds, error FROM e",
+    ),
     "config_overlay": (
         _overlay,
         "WITH a AS (SELECT s_name AS narrator, 'default' AS phase, s_name || '.wav' AS audio_path, 'own' AS transcript FROM supplier), c AS (SELECT 'Supplier#' || lpad(CAST(p_partkey % 150 AS VARCHAR), 9, '0') AS narrator, CASE WHEN p_partkey % 4 = 0 THEN 'default' ELSE p_brand END AS phase, 'Supplier#' || lpad(CAST((p_partkey + 1) % 150 AS VARCHAR), 9, '0') || '.wav' AS audio_path, p_name AS transcript FROM part), u AS (SELECT *, 0 AS layer FROM a UNION ALL SELECT *, 1 FROM c WHERE audio_path IN (SELECT audio_path FROM a)), n AS (SELECT *, row_number() OVER (PARTITION BY narrator, phase ORDER BY layer DESC, audio_path, transcript) AS n FROM u) SELECT narrator, phase, audio_path, transcript FROM n WHERE n = 1",

@@ -8,8 +8,8 @@ is taken at which the wanted share of them is in a probed bucket. Small tables h
 large ones fewer.
 
 Buckets of one first axis meet the queries that probe any of them in one group; only vectors of probed buckets are compared.
-Each group gives out the best few of each query, scored exactly. Queries that found fewer than there are go through all
-rows, in blocks. Equal vectors are one entry that carries the smallest ids, which is all that a list of K can hold of them.
+Each group gives out the best few of each query, scored exactly. Queries that found fewer than there are, and those of a width
+at which too few of the sample's neighbours can be met by probing, go through all rows, in blocks. Equal vectors are one entry that carries the smallest ids, which is all that a list of K can hold of them.
 """
 
 from __future__ import annotations
@@ -28,8 +28,9 @@ from .common import broadcast_if_small, written
 TABLES, K = 10, 5
 #: Share of the sample's true neighbours that the probed buckets hold, and the sample's size in vectors.
 RECALL, SAMPLE = 0.94, 256
-#: Axes of each hash, the query's nearest, that are combined to buckets.
-AXES = 128
+#: Axes of each hash, the query's nearest, that are combined to buckets: all of them up to a width of 256. Where the sample's
+#: neighbours of a wider vector lie beyond, that width is searched exactly.
+AXES = 512
 #: Vectors of one group, and queries of one group, that a task compares; larger groups are dealt in tiles.
 TILE, TILE_QUERIES = 20_000, 4_000
 #: Queries that are compared with all rows at once.
@@ -83,8 +84,8 @@ def _sums(q: np.ndarray, tables: int) -> Iterator[tuple[np.ndarray, np.ndarray,
         yield n[0::2], n[1::2], h[0::2, :, None] + h[1::2, None, :]
 
 
-def needed(q: np.ndarray, neighbours: list[np.ndarray], tables: int) -> Iterator[int]:
-    """How many buckets each query must probe until it meets each of its neighbours (all of them, if it never does)."""
+def needed(q: np.ndarray, neighbours: list[np.ndarray], tables: int) -> Iterator[float]:
+    """How many buckets each query must probe until it meets each of its neighbours; infinite for one beyond the query's AXES."""
     where = [buckets(np.concatenate(neighbours), t) for t in range(tables)]
     stops = np.cumsum([len(x) for x in neighbours])
     for (first, second, sums), own, stop in zip(_sums(q, tables), neighbours, stops, strict=True):
@@ -94,7 +95,7 @@ def needed(q: np.ndarray, neighbours: list[np.ndarray], tables: int) -> Iterator
             i, j = first[t][None] == a[:, None], second[t][None] == b[:, None]
             met = i.any(1) & j.any(1)
             best = np.where(met, np.maximum(best, sums[t][i.argmax(1), j.argmax(1)]), best)
-        yield from (int((sums >= v).sum()) for v in best)
+        yield from (float((sums >= v).sum()) if np.isfinite(v) else np.inf for v in best)
 
 
 def probes(q: np.ndarray, count: int, tables: int) -> Iterator[list[tuple[int, int, np.ndarray]]]:
@@ -258,10 +259,10 @@ def brute_force(packed: DataFrame, kind: str, asked: DataFrame, most: int) -> Da
     return packed.mapInArrow(run, FOUND).withColumn("n", F.row_number().over(best)).filter(F.col("n") <= most).select(*NAMES)
 
 
-def fit(packed: DataFrame, kind: str, k: int = K, tables: int = TABLES, recall: float = RECALL) -> dict[int, int]:
+def fit(packed: DataFrame, kind: str, k: int = K, tables: int = TABLES, recall: float = RECALL) -> dict[int, int | None]:
     """Buckets to probe, by width of the vectors: enough for `recall` of the true neighbours of SAMPLE vectors, compared with all rows.
 
-    The share is raised by two standard errors of the sample, so few neighbours (a small table) are all to be met.
+    None: no number of probes is enough. The share is raised by two standard errors of the sample, so few neighbours (a small table) are all to be met.
     """
     sample = written(packed.select("first").orderBy(F.xxhash64("first"), "first").limit(SAMPLE))
     near = written(brute_force(packed, kind, sample, k + 1).filter("query <> first").select("query", F.col("first").alias("of")))
@@ -270,12 +271,13 @@ def fit(packed: DataFrame, kind: str, k: int = K, tables: int = TABLES, recall:
     pairs: dict[int, list[int]] = {}
     for query, of in near.collect():  # k for each vector of the sample
         pairs.setdefault(query, []).append(of)
-    counts: dict[int, list[int]] = {}
+    counts: dict[int, list[float]] = {}
     for width in {len(units[q]) for q in pairs}:
         own = [q for q in pairs if len(units[q]) == width]
         counts[width] = list(needed(np.stack([units[q] for q in own]), [np.stack([units[o] for o in pairs[q]]) for q in own], tables))
     sure = lambda n: min(1.0, recall + 2 * (recall * (1 - recall) / len(n)) ** 0.5)
-    return {width: int(np.quantile(n, sure(n), method="higher")) for width, n in counts.items()}
+    most = {width: np.quantile(n, sure(n), method="higher") for width, n in counts.items()}
+    return {width: int(n) if np.isfinite(n) else None for width, n in most.items()}
 
 
 def search(vectors: DataFrame, is_query=None, k: int = K, tables: int = TABLES, recall: float = RECALL) -> DataFrame:
@@ -284,7 +286,8 @@ def search(vectors: DataFrame, is_query=None, k: int = K, tables: int = TABLES,
     is_query: a condition on vec_id; by default the ids divisible by 50. Ties go to the smaller vec_id. Null ids, and vectors that
     are null, empty, zero or not finite, take no part; a row that repeats in full counts once. A vec_id with several vectors is
     asked with each of them, so its ranks repeat; it is never its own neighbour. Vectors of different length are never
-    compared. A bucket or a vector may hold any share of the rows. An empty table gives no rows; other columns are not read.
+    compared; above 65,536 numbers they are an error. A bucket or a vector may hold any share of the rows. An empty table gives
+    no rows; other columns are not read.
     """
     rows = written(usable(vectors))
     query = (F.col("vec_id") % 50 == 0) if is_query is None else is_query
@@ -299,13 +302,16 @@ def search(vectors: DataFrame, is_query=None, k: int = K, tables: int = TABLES,
     asked = written(asked.join(entries.select("first", "embedding"), F.col("e") == F.col("embedding")).select("query_id", "first", F.size("embedding").alias("width")))
     packed, kind = _packed(entries)
     packed = written(packed)
-    counts = fit(packed, kind, k, tables, recall)
     widest = packed.agg(F.count(F.lit(1)), F.max(F.octet_length("vector"))).first()
+    if (widest[1] or 0) // int(kind[2]) > 1 << BITS - 1:
+        raise ValueError(f"vectors of {widest[1] // int(kind[2])} numbers; {1 << BITS - 1} is the most")
+    fitted = fit(packed, kind, k, tables, recall)
+    counts, exact = {w: n for w, n in fitted.items() if n is not None}, [w for w, n in fitted.items() if n is None]
     # parts of the second axes: as many as bring a group's vectors near TILE
     axes_ = 1 << max(1, (max(1, (widest[1] or 4) // int(kind[2])) - 1).bit_length() + 1)
     parts = (1 << BITS) // axes_ * max(1, min(axes_, -(-widest[0] // (axes_ * TILE))))
     base = packed.mapInArrow(_in_buckets(kind, tables, parts), "key long, axis int, first long, vector binary")
-    asking = packed.join(broadcast_if_small(written(asked.select(F.col("first").alias("of")).distinct())), F.col("first") == F.col("of"), "left_semi").repartition(packed.sparkSession.sparkContext.defaultParallelism, "first")
+    asking = packed.join(broadcast_if_small(written(asked.filter(~F.col("width").isin(exact)).select(F.col("first").alias("of")).distinct())), F.col("first") == F.col("of"), "left_semi").repartition(packed.sparkSession.sparkContext.defaultParallelism, "first")
     probing = asking.mapInArrow(_probing(kind, tables, parts, counts, max(counts.values(), default=1)), "key long, axes binary, query long, vector binary")
     # tiles: a row per group that has both sides
     count = lambda df, n: df.groupBy("key").agg(F.count(F.lit(1)).alias(n))

@@ -534,6 +534,36 @@ def test_neighbours(spark, monkeypatch):
     assert ann.search(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("width,clustered", [(256, False), (768, False), (768, True)])
+def test_neighbours_of_wide_vectors(spark, width, clustered):
+    r = np.random.default_rng(width)
+    x = r.normal(size=(1_000, width))
+    if clustered:
+        x = r.normal(size=(50, width))[r.integers(0, 50, 1_000)] + 0.5 * x
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = ann.search(df).collect()
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    hit = 0
+    for q in range(0, 1_000, 50):
+        s = unit @ unit[q]
+        s[q] = -9
+        hit += len({g.vec_id for g in got if g.query_id == q} & set(np.argsort(-s)[:5].tolist()))
+    assert len(got) == 100 and hit >= 0.9 * 100
+
+
+def test_vectors_beyond_the_widest_are_an_error(spark):
+    with pytest.raises(ValueError, match="65537"):
+        ann.search(spark.sql("SELECT 1L vec_id, sequence(1, 65537) embedding").withColumn("embedding", F.col("embedding").cast("array<double>")))
+
+
+def test_neighbours_out_of_reach_are_told(monkeypatch):
+    x = np.random.default_rng(5).normal(size=(200, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    assert all(np.isfinite(n) for n in ann.needed(x[:20], [x[i + 100 : i + 101] for i in range(20)], 2))
+    monkeypatch.setattr(ann, "AXES", 8)
+    assert any(np.isinf(n) for n in ann.needed(x[:20], [x[i + 100 : i + 101] for i in range(20)], 2))
+
+
 def slow_neighbours(x, ids, queries, k=5):
     x = x.astype(float)
     norm = np.sqrt((x * x).sum(1))

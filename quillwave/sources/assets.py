@@ -10,6 +10,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.prefix import sum_before
+
 # Fixed values.
 EXTENSIONS = ["wav", "mp3", "flac", "ogg", "m4a", "aiff", "aif"]
 CHUNK_SEC, BYTES_PER_FRAME, FULL_SCALE, EMPTY_ROWS = 20, 4, 32768.0, 48_000
@@ -73,11 +75,13 @@ def pcm_block_ingest(blocks: DataFrame) -> DataFrame:
 
 
 def byte_budget_cutoff(blocks: DataFrame, target_bytes: Column | int) -> DataFrame:
-    """blocks(session, seq, bytes) in order until the target is reached; `kept` bytes of the last one end on a whole frame."""
+    """blocks(session, seq, bytes) in order until the target is reached; `kept` bytes of the last one end on a whole frame.
+
+    A session may hold any share of the rows.
+    """
     target = F.lit(target_bytes) if isinstance(target_bytes, int) else target_bytes
-    before = F.coalesce(F.sum("bytes").over(Window.partitionBy("session").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     aligned = target - target % BYTES_PER_FRAME
-    rows = blocks.withColumn("before", before).filter(F.col("before") < target)
+    rows = sum_before(blocks, "session", "seq", "bytes", "before").filter(F.col("before") < target)
     return rows.withColumn("kept", F.greatest(F.least("bytes", aligned - F.col("before")), F.lit(0))).drop("before")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -30,6 +30,82 @@ def stream_phrases(rows: DataFrame, threshold: float, gap: str = "30 minutes", l
     return spans.filter(F.col("end").cast("double") - F.col("start").cast("double") >= least_sec).select("series_id", "start", "end", "n")
 
 
+class _InOrder(StatefulProcessor):
+    """Rows of a key wait until the watermark has passed them, then go to `fold` in order of time and number, each once.
+
+    fold(key, numbers, values, carry) gives (carry, output); carry is None at a key's beginning. Rows wait as packed records, one
+    state entry per batch. A key has one timer: at its earliest waiting row, or `idle_ms` behind its last one, where its state
+    ends. A silence longer than that begins the key anew however rows were batched.
+    """
+
+    def __init__(self, fold: Callable, number: str, value: str, integer: bool, idle_ms: int | None) -> None:
+        self.fold, self.number, self.value, self.idle = fold, number, value, idle_ms
+        self.record = np.dtype([("ts", "<i8"), ("number", "<i8"), ("value", "<i8" if integer else "<f8")])
+        self.carried = f"carry {'long' if integer else 'double'}, last long"
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "rows binary")
+        self.carry = handle.getValueState("carry", self.carried)
+        self.due = handle.getValueState("due", "ms long")
+
+    def _wake(self, ms: int | None) -> None:
+        if self.due.exists():
+            self.handle.deleteTimer(self.due.get()[0])
+            self.due.clear()
+        if ms is not None:
+            self.handle.registerTimer(ms)
+            self.due.update((ms,))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        p = pd.concat(list(rows))
+        packed = np.empty(len(p), self.record)
+        packed["ts"] = p.ts.to_numpy("datetime64[ms]").astype("i8")
+        packed["number"], packed["value"] = p[self.number].to_numpy("i8"), p[self.value].fillna(0)
+        waits = self.waiting.exists()
+        self.waiting.appendValue((packed.tobytes(),))
+        first = int(packed["ts"].min()) - 1  # a timer goes off when the watermark is behind it
+        if not waits or first < self.due.get()[0]:
+            self._wake(first)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        until = timerValues.getCurrentWatermarkInMs()
+        rows = np.frombuffer(b"".join(r[0] for r in self.waiting.get()), self.record)
+        if not len(rows):
+            self.carry.clear()
+            self.due.clear()
+            return
+        ready, rest = rows[rows["ts"] <= until], rows[rows["ts"] > until]
+        self.waiting.clear()
+        if len(rest):
+            self.waiting.put([(rest.tobytes(),)])
+        ready = ready[np.lexsort((ready["number"], ready["ts"]))]
+        carry, last = self.carry.get() if self.carry.exists() else (None, None)
+        times = ready["ts"]
+        silent = np.diff(np.r_[times[:1] if last is None else last, times]) > self.idle if self.idle is not None else np.zeros(len(ready), bool)
+        cuts = np.flatnonzero(silent).tolist()
+        for a, b in zip([0, *cuts], [*cuts, len(ready)], strict=True):
+            carry = None if a in cuts else carry
+            if b > a:
+                carry, out = self.fold(key, ready["number"][a:b], ready["value"][a:b], carry)
+                yield out
+        if len(ready):
+            last = int(times[-1])
+            self.carry.update((carry, last))
+        self._wake(int(rest["ts"].min()) - 1 if len(rest) else None if self.idle is None else last + self.idle)
+
+    def close(self) -> None:
+        pass
+
+
+def _in_order(rows: DataFrame, by: str, number: str, value: str, late: str, fold: Callable, schema: str, integer: bool = False, idle_sec: float | None = None) -> DataFrame:
+    """`fold` over each key's rows in order of `ts` (whole milliseconds) and `number`; rows later than `late`, or without a time, are dropped."""
+    timed = rows.filter(F.col("ts").isNotNull()).withColumn("ts", F.date_trunc("millisecond", "ts")).withWatermark("ts", late)
+    held = _InOrder(fold, number, value, integer, None if idle_sec is None else int(idle_sec * 1000))
+    return timed.select(by, "ts", number, value).groupBy(by).transformWithStateInPandas(held, schema, "Append", "EventTime")
+
+
 class _Envelope(StatefulProcessor):
     def __init__(self, alpha: float) -> None:
         self.alpha = alpha
@@ -48,9 +124,21 @@ class _Envelope(StatefulProcessor):
         pass
 
 
-def stream_envelope(rows: DataFrame, alpha: float) -> DataFrame:
-    """rows(series_id, event_id, ts, value): the recursive envelope, kept per series from batch to batch."""
-    return rows.groupBy("series_id").transformWithStateInPandas(_Envelope(alpha), "series_id string, event_id long, env double", "Append", "None")
+def stream_envelope(rows: DataFrame, alpha: float, late: str | None = None, idle_sec: float | None = None) -> DataFrame:
+    """rows(series_id, event_id, ts, value): the recursive envelope, kept per series from batch to batch.
+
+    Without `late`, rows must come batch by batch in order. With it, rows up to `late` behind the newest wait for the watermark
+    and the result is that of the batch operator; a series silent for more than `idle_sec` begins anew and its state ends.
+    """
+    schema = "series_id string, event_id long, env double"
+    if late is None:
+        return rows.groupBy("series_id").transformWithStateInPandas(_Envelope(alpha), schema, "Append", "None")
+
+    def fold(key, numbers, values, carry):
+        mean = decayed(values**2, alpha, carry or 0.0)
+        return float(mean[-1]), pd.DataFrame({"series_id": key[0], "event_id": numbers, "env": np.sqrt(np.maximum(mean, 1e-12))})
+
+    return _in_order(rows, "series_id", "event_id", "value", late, fold, schema, idle_sec=idle_sec)
 
 
 class _Silence(StatefulProcessor):
@@ -114,9 +202,26 @@ class _Budget(StatefulProcessor):
         pass
 
 
-def stream_byte_budget(blocks: DataFrame, target_bytes: int) -> DataFrame:
-    """blocks(session, seq, bytes): blocks until the session's target; later ones are refused, the last is cut on a whole frame."""
-    return blocks.groupBy("session").transformWithStateInPandas(_Budget(target_bytes), "session long, seq long, kept long", "Append", "None")
+def stream_byte_budget(blocks: DataFrame, target_bytes: int, late: str | None = None, idle_sec: float | None = None) -> DataFrame:
+    """blocks(session, seq, bytes): blocks until the session's target; later ones are refused, the last is cut on a whole frame.
+
+    Without `late`, blocks must come batch by batch in order. With it (and a column ts), blocks up to `late` behind the newest
+    wait for the watermark and go out in order of ts and seq, whatever batch brought them, as `byte_budget_cutoff` gives them;
+    equal ones count each, null bytes are 0. A session silent for more than `idle_sec` has ended: its state goes, and blocks
+    that follow are a new session's.
+    """
+    schema = "session long, seq long, kept long"
+    if late is None:
+        return blocks.groupBy("session").transformWithStateInPandas(_Budget(target_bytes), schema, "Append", "None")
+    aligned = target_bytes - target_bytes % 4
+
+    def fold(key, numbers, values, carry):
+        total = (carry or 0) + np.cumsum(values)
+        before = total - values
+        out = pd.DataFrame({"session": key[0], "seq": numbers, "kept": np.maximum(np.minimum(values, aligned - before), 0)})
+        return int(total[-1]), out[before < target_bytes]
+
+    return _in_order(blocks, "session", "seq", "bytes", late, fold, schema, integer=True, idle_sec=idle_sec)
 
 
 def stream_progress(events: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillwave.functions.recursion import linear_ema
+from quillwave.sources.assets import byte_budget_cutoff
 from quillwave.streaming import operators as O
 
 SCHEMA = "series_id string, event_id long, ts timestamp, value double"
@@ -62,6 +63,69 @@ def test_budget(spark, rows, tmp_path):
     assert len(got) == 151 and sum(k for _, k in got) == 1_500
 
 
+@pytest.fixture(scope="module")
+def shuffled(spark, tmp_path_factory):
+    """(folder with six files, rows out of order within and between neighbouring files, the rows): (key, number, second, bytes)."""
+    r = np.random.default_rng(5)
+    ts = 1_700_000_000 + np.cumsum(r.integers(0, 4, 600))
+    data = [(int(r.random() < 0.3), i, int(t), int(r.integers(0, 40))) for i, t in enumerate(ts)]
+    data += [(9, 600, int(ts[-1]) + 10_000, 1)]  # moves the watermark past all others
+    order = sorted(range(600), key=lambda i: i + r.integers(0, 120)) + [600]
+    folder = str(tmp_path_factory.mktemp("shuffled"))
+    for k in range(6):
+        part = spark.createDataFrame([data[i] for i in order[k * 101 : k * 101 + 101]], "session long, seq long, t long, bytes long")
+        part.select("session", "seq", F.timestamp_seconds("t").alias("ts"), "bytes").coalesce(1).write.mode("append").parquet(folder)
+    return folder, data
+
+
+BLOCKS = "session long, seq long, ts timestamp, bytes long"
+
+
+def run_blocks(spark, folder, change, tmp_path):
+    spark.conf.set(*O.STATE_STORE)
+    out = change(spark.readStream.schema(BLOCKS).option("maxFilesPerTrigger", 1).parquet(folder))
+    query = out.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert query.lastProgress.batchId >= 5  # several batches
+    return spark.read.schema(out.schema).parquet(str(tmp_path / "out"))
+
+
+def test_budget_of_blocks_out_of_order_is_that_of_the_batch(spark, shuffled, tmp_path):
+    got = run_blocks(spark, shuffled[0], lambda s: O.stream_byte_budget(s, 2_003, late="10 minutes"), tmp_path)
+    batch = spark.createDataFrame([(k, i, n) for k, i, _, n in shuffled[1] if k != 9], "session long, seq long, bytes long")
+    want = byte_budget_cutoff(batch, 2_003).select("session", "seq", "kept")
+    assert sorted(got.collect()) == sorted(want.collect()) and got.count() > 150
+
+
+def test_envelope_of_rows_out_of_order_is_that_of_the_batch(spark, shuffled, tmp_path):
+    rows = lambda s: s.selectExpr("cast(session as string) AS series_id", "seq AS event_id", "ts", "cast(bytes as double) AS value")
+    got = {(r.series_id, r.event_id): r.env for r in run_blocks(spark, shuffled[0], lambda s: O.stream_envelope(rows(s), 0.9, late="10 minutes"), tmp_path).collect()}
+    mean, want = {}, {}
+    for k, i, _, n in shuffled[1]:
+        mean[k] = 0.9 * mean.get(k, 0.0) + (1 - 0.9) * n * n
+        want[str(k), i] = max(mean[k], 1e-12) ** 0.5
+    got.pop(("9", 600), None)
+    assert len(got) == 600 and all(np.isclose(got[k], want[k]) for k in got)
+
+
+def test_silent_sessions_end_however_batched(spark, tmp_path):
+    folder = str(tmp_path / "in")
+    at = 1_700_000_000
+    for part in ([(1, 0, at, 8), (1, 2, at + 20, 8)], [(1, 1, at + 10, 8), (1, 3, at + 200, 8)], [(1, 4, at + 210, 8), (2, 0, at + 5_000, 4)], [(1, 5, at + 150, 99), (2, 1, None, 4), (2, 2, at + 9_000, None)]):
+        rows = spark.createDataFrame(part, "session long, seq long, t long, bytes long").select("session", "seq", F.timestamp_seconds("t").alias("ts"), "bytes")
+        rows.coalesce(1).write.mode("append").parquet(folder)
+    got = run_short(spark, folder, lambda s: O.stream_byte_budget(s, 12, late="30 seconds", idle_sec=100.0), tmp_path)
+    # session 1 keeps 8 and 4 of its first blocks; after the silence the count begins anew; block 5 is too late
+    assert got == [(1, 0, 8), (1, 1, 4), (1, 3, 8), (1, 4, 4), (2, 0, 4)]
+
+
+def run_short(spark, folder, change, tmp_path):
+    spark.conf.set(*O.STATE_STORE)
+    out = change(spark.readStream.schema(BLOCKS).option("maxFilesPerTrigger", 1).parquet(folder))
+    out.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+    return sorted(tuple(r) for r in spark.read.schema(out.schema).parquet(str(tmp_path / "out")).collect())
+
+
 def test_latest_message_wins(spark, rows, tmp_path):
     source = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(rows[0])
     events = source.select(F.col("series_id").alias("job_id"), (F.col("event_id") / 400).alias("fraction"), F.col("event_id").cast("string").alias("message"))

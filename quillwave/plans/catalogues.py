@@ -11,6 +11,7 @@ from ..operators import prompts as P
 from ..operators import vectors as V
 from ..session import shared_folder, table
 from ..sources import assets as A
+from ..sources import indexed as X
 from ..sources import media as M
 from ..sources.fixtures import RATE, SIGNAL_SQL, signal
 
@@ -70,6 +71,14 @@ def _stems(s: SparkSession, d: str) -> DataFrame:
     return s.read.parquet(path).groupBy(F.col("job_id").cast("long").alias("job_id"), "stem").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 6).alias("total"))
 
 
+def _indexed(s: SparkSession, d: str) -> DataFrame:
+    """The stems of all jobs but the first, out of an indexed table."""
+    path = shared_folder(s)
+    X.write_stem_table(signal(s, d).select(F.floor(F.col("pos") / 100).alias("job_id"), F.col("series_id").alias("stem"), "pos", "value"), path)
+    rows = X.read_between(s, path, low={"job_id": 1})
+    return rows.groupBy("job_id", "stem").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("first_pos"), F.round(F.sum("value"), 6).alias("total"))
+
+
 def _blends(s: SparkSession, d: str) -> DataFrame:
     rows = table(s, d, "embeddings").filter("vec_id IS NOT NULL")
     k = F.col("vec_id") % 4
@@ -160,6 +169,7 @@ QUERIES = {
     "byte_budget_cutoff": (_budget, "WITH e AS (SELECT user_id AS session, event_id AS seq, len(props) * 7 AS bytes, coalesce(sum(len(props) * 7) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM events) SELECT session, seq, bytes, CAST(greatest(least(bytes, 1000 - before), 0) AS BIGINT) AS kept FROM e WHERE before < 1003"),
     "write_chunks": (_chunk_ids, f"WITH {SIGNAL_SQL} SELECT series_id, pos // 2000 AS chunk_id, count(*) AS n, min(pos) AS first_pos FROM signal GROUP BY 1, 2"),
     "write_stems": (_stems, f"WITH {SIGNAL_SQL} SELECT pos // 1000 AS job_id, series_id AS stem, count(*) AS n, round(sum(value), 6) AS total FROM signal GROUP BY 1, 2"),
+    "indexed_stems": (_indexed, f"WITH {SIGNAL_SQL} SELECT pos // 100 AS job_id, series_id AS stem, count(*) AS n, min(pos) AS first_pos, round(sum(value), 6) AS total FROM signal WHERE pos // 100 >= 1 GROUP BY 1, 2"),
     "blend_vectors": (lambda s, d: _vec(V.blend_vectors(_blends(s, d), _embeddings(s, d))), BLENDS + ", s AS (SELECT blend, dim, round(sum(weight * x), 6) AS x FROM l GROUP BY 1, 2) SELECT blend, list(x ORDER BY dim) AS vector FROM s GROUP BY 1"),
     "slerp_pair": (lambda s, d: _vec(_slerp(s, d)), "WITH p AS (SELECT a.vec_id AS pair, a.embedding::DOUBLE[] AS a, b.embedding::DOUBLE[] AS b FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1 WHERE a.vec_id % 2 = 0), w AS (SELECT *, acos(greatest(least(list_dot_product(a, b) / (sqrt(list_dot_product(a, a)) * sqrt(list_dot_product(b, b))), 1), -1)) AS o FROM p) SELECT pair, list_transform(range(1, len(a) + 1), lambda i : round(CASE WHEN abs(sin(o)) < 1e-6 THEN 0.7 * a[i] + 0.3 * b[i] ELSE sin(0.7 * o) / sin(o) * a[i] + sin(0.3 * o) / sin(o) * b[i] END, 6)) AS vector FROM w"),
     "slerp_blend": (

@@ -822,6 +822,36 @@ def test_decontamination(spark, docs, nothing):
     assert not any(r.contaminated for r in decontam.report(docs, benchmark.limit(0)).collect())
 
 
+def test_decontamination_of_items_that_share_a_passage(spark):
+    """A passage that all items begin with, repeated items, columns with clashing names; one block and several give the same."""
+    shared = " ".join(f"p{i}" for i in range(14))
+    items = [(i, f"{shared} own{i} a{i} b{i}") for i in range(300)] + [(i, f"{shared} own{i} a{i} b{i}") for i in range(0, 300, 3)] + [(None, shared), (900, "p1 p2"), (900, "p2 p3")]
+    rows = [(d, f"x{d} {shared} y{d} " + ("own7 a7 b7" if d == 4 else "")) for d in range(12)] + [(20, None), (21, ""), (22, "p2 p3 p4"), (23, f"{shared} own7 a7 b7"), (23, f"{shared} own7 a7 b7")]
+    docs = spark.createDataFrame([(d, t, 1, 2, 3) for d, t in rows], "doc_id long, text string, __h int, __found int, f int")
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    want = sorted(((d, *slow_hits(t, items)) for d, t in rows), key=repr)
+    names = ("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    for size in (decontam.BLOCK_BYTES, 4_000):
+        assert found(decontam.report(docs, benchmark, block_bytes=size), *names) == want
+        kept = decontam.decontaminate(docs, benchmark, block_bytes=size)
+        assert kept.columns == docs.columns and sorted(kept.collect()) == sorted(r for r in docs.collect() if r.doc_id in (20, 21))
+
+
+def test_a_passage_of_all_items_costs_a_document_its_own_length():
+    import tracemalloc
+
+    shared = " ".join(f"p{i}" for i in range(40)).encode()
+    tests = decontam.Tests.of([(i, shared + b" own%d" % i) for i in range(20_000)])
+    assert len(tests.sets) == 1
+    tracemalloc.start()
+    digests = {}
+    for _ in range(10):
+        got = list(decontam._one_shard([b"x " + shared] * 1_000, tests, "items", 0, digests))
+        assert len(got) == 1_000 and {(r["n_items"], len(r["hits"])) for r in got} == {(20_000, 1)}
+    assert tracemalloc.get_traced_memory()[1] < 50e6 and len(digests) == 1
+    tracemalloc.stop()
+
+
 def test_tests_of_a_block_take_bounded_memory():
     import tracemalloc
 

@@ -23,6 +23,7 @@ def _r(df: DataFrame, *names: str) -> DataFrame:
 
 
 def _vec(df: DataFrame, name: str = "vector") -> DataFrame:
+    """Components to 6 digits; what rounds to zero is 0.0, never -0.0 (DuckDB keeps the sign, so the SQL adds 0.0)."""
     return df.withColumn(name, F.transform(name, lambda x: F.round(x, 6)))
 
 
@@ -170,7 +171,7 @@ QUERIES = {
     "write_chunks": (_chunk_ids, f"WITH {SIGNAL_SQL} SELECT series_id, pos // 2000 AS chunk_id, count(*) AS n, min(pos) AS first_pos FROM signal GROUP BY 1, 2"),
     "write_stems": (_stems, f"WITH {SIGNAL_SQL} SELECT pos // 1000 AS job_id, series_id AS stem, count(*) AS n, round(sum(value), 6) AS total FROM signal GROUP BY 1, 2"),
     "indexed_stems": (_indexed, f"WITH {SIGNAL_SQL} SELECT pos // 100 AS job_id, series_id AS stem, count(*) AS n, min(pos) AS first_pos, round(sum(value), 6) AS total FROM signal WHERE pos // 100 >= 1 GROUP BY 1, 2"),
-    "blend_vectors": (lambda s, d: _vec(V.blend_vectors(_blends(s, d), _embeddings(s, d))), BLENDS + ", s AS (SELECT blend, dim, round(sum(weight * x), 6) AS x FROM l GROUP BY 1, 2) SELECT blend, list(x ORDER BY dim) AS vector FROM s GROUP BY 1"),
+    "blend_vectors": (lambda s, d: _vec(V.blend_vectors(_blends(s, d), _embeddings(s, d))), BLENDS + ", s AS (SELECT blend, dim, round(sum(weight * x), 6) + 0.0 AS x FROM l GROUP BY 1, 2) SELECT blend, list(x ORDER BY dim) AS vector FROM s GROUP BY 1"),
     "slerp_pair": (lambda s, d: _vec(_slerp(s, d)), "WITH p AS (SELECT a.vec_id AS pair, a.embedding::DOUBLE[] AS a, b.embedding::DOUBLE[] AS b FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1 WHERE a.vec_id % 2 = 0), w AS (SELECT *, acos(greatest(least(list_dot_product(a, b) / (sqrt(list_dot_product(a, a)) * sqrt(list_dot_product(b, b))), 1), -1)) AS o FROM p) SELECT pair, list_transform(range(1, len(a) + 1), lambda i : round(CASE WHEN abs(sin(o)) < 1e-6 THEN 0.7 * a[i] + 0.3 * b[i] ELSE sin(0.7 * o) / sin(o) * a[i] + sin(0.3 * o) / sin(o) * b[i] END, 6)) AS vector FROM w"),
     "slerp_blend": (
         lambda s, d: _vec(V.slerp_blend(_blends(s, d), _embeddings(s, d))),

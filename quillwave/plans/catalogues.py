@@ -177,7 +177,7 @@ QUERIES = {
         lambda s, d: _vec(V.slerp_blend(_blends(s, d), _embeddings(s, d))),
         "WITH RECURSIVE i AS MATERIALIZED (SELECT 'b' || (vec_id // 4) AS blend, row_number() OVER (PARTITION BY vec_id // 4 ORDER BY vec_id % 4) - 1 AS k, CASE vec_id % 4 WHEN 0 THEN 0.6 WHEN 1 THEN 0.3 WHEN 2 THEN 0.1 ELSE -0.05 END::DOUBLE AS w, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id IS NOT NULL), r AS (SELECT blend, k, w AS s, e AS v FROM i WHERE k = 0 UNION ALL SELECT blend, k, s, list_transform(range(1, len(v) + 1), lambda j : CASE WHEN abs(sin(o)) < 1e-6 THEN (1 - t) * v[j] + t * e[j] ELSE sin((1 - t) * o) / sin(o) * v[j] + sin(t * o) / sin(o) * e[j] END) FROM (SELECT i.blend, i.k, r.s + i.w AS s, i.w / (r.s + i.w) AS t, r.v, i.e, acos(greatest(least(list_dot_product(v, e) / (sqrt(list_dot_product(v, v)) * sqrt(list_dot_product(e, e))), 1), -1)) AS o FROM r JOIN i ON i.blend = r.blend AND i.k = r.k + 1)) SELECT blend, list_transform(v, lambda x : round(x, 6)) AS vector FROM r QUALIFY row_number() OVER (PARTITION BY blend ORDER BY k DESC) = 1",
     ),
-    "extrapolate_blend": (lambda s, d: _vec(V.extrapolate_blend(_blends(s, d), _embeddings(s, d))), BLENDS + ", s AS (SELECT blend, dim, sum(weight * x) AS x, sum(x * x) FILTER (WHERE ordinal = 0) AS own FROM l GROUP BY 1, 2), n AS (SELECT blend, sqrt(sum(own)) / sqrt(sum(x * x)) AS k FROM s GROUP BY 1) SELECT s.blend, list(round(x * k, 6) ORDER BY dim) AS vector FROM s JOIN n ON s.blend = n.blend GROUP BY 1"),
+    "extrapolate_blend": (lambda s, d: _vec(V.extrapolate_blend(_blends(s, d), _embeddings(s, d))), BLENDS + ", s AS (SELECT blend, dim, sum(weight * x) AS x, sum(x * x) FILTER (WHERE ordinal = top) AS own FROM (SELECT *, min(ordinal) OVER (PARTITION BY blend) AS top FROM l) GROUP BY 1, 2), n AS (SELECT blend, CASE WHEN sqrt(sum(own)) > 1e-6 AND sqrt(sum(x * x)) > 1e-6 THEN sqrt(sum(own)) / sqrt(sum(x * x)) ELSE 1.0 END AS k FROM s GROUP BY 1) SELECT s.blend, list(round(x * k, 6) + 0.0 ORDER BY dim) AS vector FROM s JOIN n ON s.blend = n.blend GROUP BY 1"),
     "jitter_vectors": (lambda s, d: V.jitter_vectors(_embeddings(s, d)), None),
     "resolve_spec": (lambda s, d: _r(_resolved(s, d), "weight"), RESOLVED + " SELECT spec, ordinal, id, round(weight, 6) AS weight, method FROM res"),
     "any_member": (lambda s, d: V.any_member(_resolved(s, d), table(s, d, "embeddings").filter("label = 1").select(F.col("vec_id").cast("string").alias("id"))), RESOLVED + " SELECT spec, bool_or(id IN (SELECT CAST(vec_id AS VARCHAR) FROM embeddings WHERE label = 1)) AS member FROM res GROUP BY 1"),

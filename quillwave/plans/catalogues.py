@@ -172,7 +172,7 @@ QUERIES = {
     "write_stems": (_stems, f"WITH {SIGNAL_SQL} SELECT pos // 1000 AS job_id, series_id AS stem, count(*) AS n, round(sum(value), 6) AS total FROM signal GROUP BY 1, 2"),
     "indexed_stems": (_indexed, f"WITH {SIGNAL_SQL} SELECT pos // 100 AS job_id, series_id AS stem, count(*) AS n, min(pos) AS first_pos, round(sum(value), 6) AS total FROM signal WHERE pos // 100 >= 1 GROUP BY 1, 2"),
     "blend_vectors": (lambda s, d: _vec(V.blend_vectors(_blends(s, d), _embeddings(s, d))), BLENDS + ", s AS (SELECT blend, dim, round(sum(weight * x), 6) + 0.0 AS x FROM l GROUP BY 1, 2) SELECT blend, list(x ORDER BY dim) AS vector FROM s GROUP BY 1"),
-    "slerp_pair": (lambda s, d: _vec(_slerp(s, d)), "WITH p AS (SELECT a.vec_id AS pair, a.embedding::DOUBLE[] AS a, b.embedding::DOUBLE[] AS b FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1 WHERE a.vec_id % 2 = 0), w AS (SELECT *, acos(greatest(least(list_dot_product(a, b) / (sqrt(list_dot_product(a, a)) * sqrt(list_dot_product(b, b))), 1), -1)) AS o FROM p) SELECT pair, list_transform(range(1, len(a) + 1), lambda i : round(CASE WHEN abs(sin(o)) < 1e-6 THEN 0.7 * a[i] + 0.3 * b[i] ELSE sin(0.7 * o) / sin(o) * a[i] + sin(0.3 * o) / sin(o) * b[i] END, 6)) AS vector FROM w"),
+    "slerp_pair": (lambda s, d: _vec(_slerp(s, d)), "WITH p AS (SELECT a.vec_id AS pair, a.embedding::DOUBLE[] AS a, b.embedding::DOUBLE[] AS b FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1 WHERE a.vec_id % 2 = 0), w AS (SELECT *, acos(greatest(least(list_dot_product(a, b) / (sqrt(list_dot_product(a, a)) * sqrt(list_dot_product(b, b))), 1), -1)) AS o FROM p) SELECT pair, list_transform(range(1, len(a) + 1), lambda i : round(CASE WHEN abs(sin(o)) < 1e-6 THEN 0.7 * a[i] + 0.3 * b[i] ELSE sin(0.7 * o) / sin(o) * a[i] + sin(0.3 * o) / sin(o) * b[i] END, 6) + 0.0) AS vector FROM w"),
     "slerp_blend": (
         lambda s, d: _vec(V.slerp_blend(_blends(s, d), _embeddings(s, d))),
         "WITH RECURSIVE i AS MATERIALIZED (SELECT 'b' || (vec_id // 4) AS blend, row_number() OVER (PARTITION BY vec_id // 4 ORDER BY vec_id % 4) - 1 AS k, CASE vec_id % 4 WHEN 0 THEN 0.6 WHEN 1 THEN 0.3 WHEN 2 THEN 0.1 ELSE -0.05 END::DOUBLE AS w, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id IS NOT NULL), r AS (SELECT blend, k, w AS s, e AS v FROM i WHERE k = 0 UNION ALL SELECT blend, k, s, list_transform(range(1, len(v) + 1), lambda j : CASE WHEN abs(sin(o)) < 1e-6 THEN (1 - t) * v[j] + t * e[j] ELSE sin((1 - t) * o) / sin(o) * v[j] + sin(t * o) / sin(o) * e[j] END) FROM (SELECT i.blend, i.k, r.s + i.w AS s, i.w / (r.s + i.w) AS t, r.v, i.e, acos(greatest(least(list_dot_product(v, e) / (sqrt(list_dot_product(v, v)) * sqrt(list_dot_product(e, e))), 1), -1)) AS o FROM r JOIN i ON i.blend = r.blend AND i.k = r.k + 1)) SELECT blend, list_transform(v, lambda x : round(x, 6) + 0.0) AS vector FROM r QUALIFY row_number() OVER (PARTITION BY blend ORDER BY k DESC) = 1",

@@ -16,7 +16,7 @@ def _both(spark, folder, rows, name):
 NEAR_ZERO = [(i, v, 0) for i, v in enumerate([[1.0, 0.0, -1e-7], [0.0, 1.0, -1e-7], [0.6, 0.8, -1e-7], [0.8, 0.6, -1e-7]])]
 
 
-@pytest.mark.parametrize("name", ["blend_vectors", "extrapolate_blend", "slerp_blend"])
+@pytest.mark.parametrize("name", ["blend_vectors", "extrapolate_blend", "slerp_blend", "slerp_pair"])
 def test_small_negative_values_become_plain_zero(spark, tmp_path, name):
     got, told = _both(spark, tmp_path, NEAR_ZERO, name)
     assert got == told and all(v.endswith(", 0.0]") for v in got.values())

@@ -4,6 +4,7 @@ import random
 import re
 import time
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from quillwave.functions import quantiles, runs
 from quillwave.functions import rules as R
 from quillwave.functions import text as X
+from quillwave.plans import texts as texts_plan
 
 
 def groups():
@@ -120,6 +122,14 @@ def test_rules_equal_slow_ones(spark, rule, plain):
     assert [(t, got[t]) for t in samples() if got[t] != (None if t is None else plain(t))] == []
 
 
+def test_sql_of_clauses_sees_each_of_a_run_of_conjunctions():
+    texts = ["! and and but b c d e f g h andy but and and x", ", and and but but b c d e f g h and k", "\n and and but b c d e f g h and andy", "one two three four five six seven eight and and and and x"]
+    db = duckdb.connect()
+    db.execute("CREATE TABLE documents AS SELECT unnest(range(0, len(t))) AS doc_id, unnest(t) AS text FROM (SELECT ?::VARCHAR[] AS t)", [texts])
+    told = dict(db.execute(texts_plan.QUERIES["break_long_clauses"][1].replace(texts_plan.DOCS, "WITH docs AS (SELECT * FROM documents)")).fetchall())
+    assert told == {i: claused(t) for i, t in enumerate(texts)}
+
+
 def test_rules_are_linear(spark):
     """Texts of 200,000 characters that hold no boundary, only conjunctions, only spaces or only commas."""
     long = ["word stream " * 17_000, "a and b " * 25_000, " " * 200_000, "x, " * 66_000, "and " * 50_000, "1-2" * 60_000]

@@ -37,12 +37,18 @@ def merge_base_tags(prompts: DataFrame) -> DataFrame:
 
 def build_caption(text: Column) -> Column:
     """Base tags of which no word over three letters occurs in the prompt, the prompt, and the suffix unless it is said."""
-    low = F.lower(F.regexp_replace(text, r"^\s+|\s+$", ""))
+    own = F.regexp_replace(text, r"^\s+|(?<!\s)\s++$", "")
     words = F.array(*[F.struct(F.lit(t).alias("tag"), F.array(*[F.lit(w) for w in t.split() if len(w) > 3] or [F.lit("\u0000")]).alias("words")) for t in CAPTION_TAGS])
-    kept = F.transform(F.filter(words, lambda t: ~F.exists(t["words"], lambda w: F.contains(low, w))), lambda t: t["tag"])
-    own = F.regexp_replace(text, r"^\s+|\s+$", "")
-    end = F.when(F.contains(low, F.lit("no vocal")) | F.contains(low, F.lit("instrumental")), F.array().cast("array<string>")).otherwise(F.array(F.lit(SUFFIX)))
-    return F.regexp_replace(F.array_join(F.filter(F.concat(kept, F.array(own), end), lambda p: p != ""), ", "), r"^\s+|\s*,*$", "")
+
+    def made(p: Column) -> Column:
+        """`p`: the prompt as it is and in lower case, worked out once; a tag's test reads it some forty times."""
+        low = p["low"]
+        kept = F.transform(F.filter(words, lambda t: ~F.exists(t["words"], lambda w: F.contains(low, w))), lambda t: t["tag"])
+        end = F.when(F.contains(low, F.lit("no vocal")) | F.contains(low, F.lit("instrumental")), F.array().cast("array<string>")).otherwise(F.array(F.lit(SUFFIX)))
+        return F.array_join(F.filter(F.concat(kept, F.array(p["own"]), end), lambda x: x != ""), ", ")
+
+    told = F.transform(F.array(own), lambda o: F.struct(o.alias("own"), F.lower(o).alias("low")))
+    return F.regexp_replace(F.get(F.transform(told, made), F.lit(0)), r"^\s+|\s*,*$", "")
 
 
 def section_template(jobs: DataFrame, seconds: str = "duration_sec") -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import segments as S
 from ..operators import timeline as T
 from ..session import shared_folder, table
-from ..sources import assets
+from ..sources import assets, media
 from ..sources.fixtures import SCRIPTS_SQL, scripts
 from . import sql
 
@@ -68,9 +68,10 @@ def _backgrounds(spark: SparkSession, d: str) -> DataFrame:
 
 def _scan(spark: SparkSession, d: str) -> DataFrame:
     path = shared_folder(spark)
-    scripts(spark, d).write.partitionBy("script_id").text(path)  # a file per script
-    found = assets.scan_scripts(spark, path).select("path", F.expr("substring(text, 1, length(text) - 1)").alias("text"))  # without the writer's last line end
-    number = F.regexp_extract("path", r"script_id=(\d+)", 1).cast("long")
+    # a file per script, written by the tasks into one folder: no folder per script to make, move and list
+    media.write_files(scripts(spark, d), F.concat(F.col("script_id").cast("string"), F.lit(".txt")), F.col("text").cast("binary"), path)
+    found = assets.scan_scripts(spark, path)
+    number = F.regexp_extract("path", r"(\d+)\.txt$", 1).cast("long")
     return found.select(number.alias("script_id"), F.length("text").alias("n_chars_read"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 

@@ -771,6 +771,25 @@ def test_many_keys_outside_the_rules(spark):
     assert len(seen) > 3 and seen[-1].rstrip("\0").endswith("k9" * 20)
 
 
+def test_network_learns_from_all_findings_and_tokens(spark, monkeypatch):
+    """No sample: every distinct labelled context trains, calibrates or sets the threshold, over several shards; order does not matter."""
+    r = random.Random(6)
+    key = lambda n: "".join(r.choices("ABCDEFGHJKLMNPQRSTUVWXYZabcdefghjkmnpqrstuvwxyz0123456789", k=n))
+    texts = [f"{w} token = {key(30)} end" for w in lines(7, 2_300, 3)] + [f"{w} see {key(30)} there" for w in lines(9, 200, 3)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    monkeypatch.setattr(secrets, "SHARD", 600)
+    scanned = secrets.scan(df)
+    found = [c for t in texts for c in secrets.scan_text(t)[1] if c[0] != "odd"]
+    sure = {c for k, *_, c in found if k in secrets.RULES}
+    net, again = secrets.fit(scanned), secrets.fit(scanned.repartition(7))
+    assert net.counts["findings"] == len(sure) > 2_000 and net.counts["others"] == len({c for *_, c in found} - sure) > 2_000 and net.counts["shards"] > 3
+    part = secrets.labelled(scanned).groupBy("part").agg(F.count("*").alias("n"), F.count_if("secret").alias("s")).collect()
+    assert net.counts["calibrated"] == next(p.n for p in part if p.part == 0) and net.counts["cut"] == next(p.s for p in part if p.part == 4)
+    assert net.recall >= secrets.RECALL and net.counts == again.counts and np.array_equal(net.flat(), again.flat()) and (net.scale, net.threshold) == (again.scale, again.threshold)
+    got = secrets.report(df).filter("doc_id >= 2300 and spans like '%model:%'").count()
+    assert got >= 0.95 * 200, got
+
+
 def test_network_gradients():
     net = secrets.CharNet(1)
     x, y = secrets.encode([secrets.context("a key = 0123abcd end", 8, 16), secrets.context("plain words only", 6, 11)]), np.array([1.0, 0.0])

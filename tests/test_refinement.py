@@ -138,3 +138,20 @@ def test_rules_are_linear(spark):
     began = time.time()
     df.select(X.preprocess_text(F.col("t")).alias("x")).write.format("noop").mode("overwrite").save()
     assert time.time() - began < 60  # minutes and more with a rule that is quadratic
+
+
+def test_word_rules_equal_column_patterns(spark):
+    """The word rules in Arrow batches against one column pattern each, on letters that fold, marks, digits and signs beyond ASCII."""
+    r = random.Random(5)
+    tokens = ["sec", "ſec", "MIN", "mİn", "mın", "i.e", "iXe", "kHz", "Khz", "om", "chakras", "you are", "YOU ARE", "cannot", "stress", "[calm", "calm", "ſtill", "the", "a", "your", "warmth", "glow", "é", "́", "𝐀", "𝟎", "Ⓐ", "‍", "_", "5", "-", ",", "—", " ", "  ", " ", "\x1c", "\n", "."]
+    texts = [""] + ["".join(t if r.random() < 0.4 else t + " " for t in r.choices(tokens, k=r.randint(1, 30))) for _ in range(1_500)]
+    df = spark.createDataFrame([(t,) for t in [*texts, None]], "t string").repartition(3)
+    words = lambda pairs: lambda t: X._each_match(t, rf"(?iU)\b(?:{'|'.join(w for w, _ in pairs)})\b(?-iU)", lambda m: F.coalesce(F.element_at(F.create_map(*[F.lit(x) for w, new in pairs for x in (w.replace("\\.", ".").lower(), new)]), F.lower(m)), m))
+    tags = lambda t: X._fold(t, [(rf"(?iU)(?<!\[)\b({'|'.join(w)})\b", f"[$1]({n})") for w, n in ((R.LESS_STRESS, "-1"), (R.MORE_STRESS, "+1"))])
+    dots = lambda t: F.regexp_replace(t, rf"(?iU)(?<![,.!?—])\b({'|'.join(R.DETERMINERS)})\s+({'|'.join(sorted(R.SENSORY))})\b", "$1... $2")
+    sounds = [(w, f"[{w}](/{s}/)") for w, s in R.SOUNDS]
+    rules = [(X.expand_abbreviations, words(R.ABBREVIATIONS)), (X.contract_phrases, words(R.CONTRACTIONS)), (X.mark_sounds, words(sounds)), (X.tag_stress_words, tags), (X.sensory_ellipsis, dots)]
+    t = F.col("t")
+    got = df.select("t", *[F.struct(new(t).alias("new"), old(t).alias("old")).alias(new.__name__) for new, old in rules]).collect()
+    assert [(new.__name__, row["t"], row[new.__name__]) for row in got for new, _ in rules if row[new.__name__]["new"] != row[new.__name__]["old"]] == []
+    assert all(any(row[new.__name__]["new"] != row["t"] for row in got) for new, _ in rules)
